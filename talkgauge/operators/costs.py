@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkgauge import constants as c
-from talkgauge import schemas
 from talkgauge.functions import numbers
 
 COST = "DECIMAL(18,10)"
@@ -28,7 +27,7 @@ def price_table(spark: SparkSession) -> DataFrame:
             for model, given, made in c.PRICES_PER_1K
         ]
     )
-    return spark.range(1).select(F.inline(rows)).select(*schemas.PRICE.fieldNames())
+    return spark.range(1).select(F.inline(rows))
 
 
 def price_lookup(usage: DataFrame, prices: DataFrame) -> DataFrame:

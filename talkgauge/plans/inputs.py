@@ -33,13 +33,16 @@ class Inputs:
 
     def messages(self) -> DataFrame:
         """Message rows, about 20 seconds apart."""
+        return self._messages(self.table("conversations"))
+
+    def _messages(self, rows: DataFrame) -> DataFrame:
         speaker = (
             F.when(F.col("role") == "assistant", "agent")
             .when(F.col("role") == "user", "client")
             .otherwise("system")
         )
         offset = F.col("conv_id") * 37 + F.col("turn") * 20 + F.length("text") % 13
-        return self.table("conversations").select(
+        return rows.select(
             "conv_id",
             F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("session_id"),
             F.col("turn").alias("msg_index"),
@@ -224,6 +227,14 @@ class Inputs:
             ),
         )
 
+    def _stream(self, name: str) -> DataFrame:
+        """A table as a stream; the pattern matches a single file and a folder of files."""
+        schema = self.table(name).schema
+        return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{name}.parquet*")
+
     def event_stream(self) -> DataFrame:
-        schema = self.table("events").schema
-        return self.spark.readStream.schema(schema).parquet(f"{self.folder}/events.parquet")
+        return self._stream("events")
+
+    def message_stream(self) -> DataFrame:
+        rows = self._messages(self._stream("conversations"))
+        return rows.withColumn("ts", F.col("ts").cast("timestamp"))

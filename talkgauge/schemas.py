@@ -1,40 +1,33 @@
-"""Explicit schemas of every record type, so that no read ever infers one."""
+"""Explicit schemas (DDL) of every record type, so that no read ever infers one."""
 
-from pyspark.sql import types as T
+SCENARIO = "scenario_index INT, name STRING, variables MAP<STRING, STRING>"
 
-
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-SCENARIO = _struct("scenario_index INT, name STRING, variables MAP<STRING, STRING>")
-
-MESSAGE = _struct(
+MESSAGE = (
     "session_id STRING, msg_index BIGINT, speaker STRING, content STRING, ts TIMESTAMP_NTZ"
 )
 
-RESULT = _struct(
+RESULT = (
     "batch_id STRING, export_timestamp STRING, scenario_index BIGINT, scenario STRING,"
     " session_id STRING, prompt_version STRING, status STRING, error STRING,"
     " total_turns INT, duration_seconds DOUBLE, score INT, comment STRING,"
     " evaluation_status STRING, start_time TIMESTAMP_NTZ, end_time TIMESTAMP_NTZ"
 )
 
-RESULT_CSV = _struct(
+RESULT_CSV = (
     "session_id STRING, scenario STRING, prompt_version STRING, score INT, comment STRING,"
     " turns INT, start_ts STRING, status STRING, duration_seconds DOUBLE,"
     " evaluation_status STRING"
 )
 
-TOKEN_USAGE = _struct(
+TOKEN_USAGE = (
     "session_id STRING, model STRING, prompt_tokens BIGINT, completion_tokens BIGINT,"
     " total_tokens BIGINT, cost_estimate DECIMAL(18,10), timestamp TIMESTAMP_NTZ"
 )
 
-CONVERSATION_LOG = _struct(
+CONVERSATION_LOG = (
     "session_id STRING, turn_number INT, role STRING, content STRING, tool_calls STRING,"
     " tool_results STRING, total_turns INT, final_score INT, evaluator_comment STRING,"
     " status STRING, timestamp TIMESTAMP_NTZ, event_type STRING"
 )
 
-PRICE = _struct("model STRING, input_per_1k DECIMAL(12,8), output_per_1k DECIMAL(12,8)")
+PRICE = "model STRING, input_per_1k DECIMAL(12,8), output_per_1k DECIMAL(12,8)"

@@ -6,13 +6,8 @@ Each function takes a streaming DataFrame and returns one; `run_available` and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from talkgauge import constants as c
 
@@ -44,78 +39,34 @@ def stream_batch_progress(results: DataFrame) -> DataFrame:
 
 
 def stream_conversation_timeout(
-    records: DataFrame,
+    starts: DataFrame,
+    completions: DataFrame,
     delay: str = "10 minutes",
     timeout_seconds: int = c.TIMEOUT_SECONDS,
-    retention_hours: int = 24,
 ) -> DataFrame:
-    """Sessions that run past the limit without a completion record in time.
+    """Sessions without a completion record within the limit after their start.
 
-    `records(session_id, ts TIMESTAMP, completed BOOLEAN)`.  A session is emitted once,
-    when the watermark passes its start plus the limit.  The rows of a session within one
-    batch of input are combined before the shuffle, so a very busy session sends a row per
-    task and not one per message; its state is a start and a completion time, forgotten
-    `retention_hours` after the session was decided and last heard of.
+    `starts(session_id, ts)` holds the first turn of each session, `completions(session_id,
+    ts)` the completion records.  An outer join of the two streams, bounded in time, emits
+    a session once the watermark has passed its limit; starts and completions that are
+    decided leave the state by themselves.
     """
-    limit = timeout_seconds * 1000
-    retention = retention_hours * 3_600_000
-
-    def combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["done_at"] = frame["ts"].where(frame["completed"].fillna(False).astype(bool))
-            yield frame.groupby("session_id", as_index=False).agg(
-                ts=("ts", "min"), last_ts=("ts", "max"), done_at=("done_at", "min")
-            )[["session_id", "ts", "last_ts", "done_at"]]
-
-    def millis(value: object) -> int | None:
-        return None if value is None or pd.isna(value) else int(pd.Timestamp(value).value // 1_000_000)
-
-    def track(
-        key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        start, done, closed = state.get if state.exists else (None, None, False)
-        if state.hasTimedOut and closed:
-            state.remove()
-            return
-        for frame in frames:
-            first = millis(frame["ts"].min())
-            ended = millis(frame["done_at"].min())
-            start = first if start is None else min(start, first)
-            if ended is not None:
-                done = ended if done is None else min(done, ended)
-        deadline = start + limit
-        watermark = state.getCurrentWatermarkMs()
-        in_time = done is not None and done <= deadline
-        passed = watermark >= deadline
-        emit = passed and not in_time and not closed
-        closed = closed or passed
-        state.update((start, done, closed))
-        state.setTimeoutTimestamp(watermark + retention if closed else deadline)
-        if emit:
-            yield pd.DataFrame(
-                {
-                    "session_id": [key[0]],
-                    "started_at": [pd.Timestamp(start, unit="ms")],
-                    "deadline": [pd.Timestamp(deadline, unit="ms")],
-                }
-            )
-
-    combined = (
-        records.select("session_id", F.col("ts").cast("timestamp").alias("ts"), "completed")
-        .mapInPandas(
-            combine,
-            "session_id STRING, ts TIMESTAMP, last_ts TIMESTAMP, done_at TIMESTAMP",
-        )
-        .withWatermark("last_ts", delay)
+    started = starts.select("session_id", F.col("ts").alias("started_at")).withWatermark(
+        "started_at", delay
     )
-    return combined.groupBy("session_id").applyInPandasWithState(
-        track,
-        outputStructType=T.StructType.fromDDL(
-            "session_id STRING, started_at TIMESTAMP, deadline TIMESTAMP"
-        ),
-        stateStructType=T.StructType.fromDDL("start BIGINT, done BIGINT, closed BOOLEAN"),
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.EventTimeTimeout,
+    done = completions.select(
+        F.col("session_id").alias("_done_id"), F.col("ts").alias("_done_at")
+    ).withWatermark("_done_at", delay)
+    limit = F.expr(f"INTERVAL {int(timeout_seconds)} SECONDS")
+    in_time = (
+        (F.col("session_id") == F.col("_done_id"))
+        & (F.col("_done_at") >= F.col("started_at"))
+        & (F.col("_done_at") <= F.col("started_at") + limit)
+    )
+    return (
+        started.join(done, in_time, "left_outer")
+        .filter(F.col("_done_id").isNull())
+        .select("session_id", "started_at", (F.col("started_at") + limit).alias("deadline"))
     )
 
 
