@@ -35,13 +35,10 @@ def catalog_search(catalog: DataFrame, searches: DataFrame) -> DataFrame:
     )
     patterns = wanted.select("_query", "_category").distinct()
     keyed = patterns.withColumn("_gram", F.substring("_query", 1, _GRAM))
-    needed = keyed.select("_gram").distinct()
     items = catalog.select(
         "item_id", "name", F.col("category").alias("item_category"), "price"
     ).withColumn("_name", F.lower("name"))
-    pieces = items.withColumn("_gram", F.explode(_grams_of(F.col("_name")))).join(
-        needed, "_gram", "left_semi"
-    )
+    pieces = items.withColumn("_gram", F.explode(_grams_of(F.col("_name"))))
     matches = (
         pieces.join(keyed, "_gram")
         .filter(

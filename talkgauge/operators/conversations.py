@@ -50,30 +50,49 @@ def end_detection(messages: DataFrame, **markers: Iterable[str]) -> DataFrame:
     return messages.withColumn("ends", F.coalesce(ends_conversation(**markers), F.lit(False)))
 
 
-def _timed(messages: DataFrame, block_rows: int) -> DataFrame:
-    """Add `_elapsed`: seconds from the first message to the message before this one."""
-    blocked = blocks.with_block(messages, "msg_index", block_rows)
+def _clocked(flags: DataFrame, first_speaker: str, block_rows: int) -> DataFrame:
+    """Add `turn_number` and `_elapsed`, seconds from the first to the previous message.
+
+    Both are taken in one pass over the blocks of each session; the state carried into
+    later blocks is joined in only for sessions that have them.
+    """
+    opens = F.when(F.col("speaker") == first_speaker, 1).otherwise(0)
+    blocked = blocks.with_block(flags.withColumn("_opens", opens), "msg_index", block_rows)
     by_block = Window.partitionBy("session_id").orderBy(blocks.BLOCK)
-    inside = Window.partitionBy("session_id", blocks.BLOCK).orderBy("msg_index")
+    earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         blocked.groupBy("session_id", blocks.BLOCK)
         .agg(
+            F.sum("_opens").alias("_block_turns"),
             F.min_by("ts", "msg_index").alias("_first_ts"),
             F.max_by("ts", "msg_index").alias("_last_ts"),
         )
         .select(
             "session_id",
             blocks.BLOCK,
-            F.first("_first_ts").over(by_block).alias("_start"),
+            F.sum("_block_turns").over(earlier).alias("_carried_turns"),
+            F.first("_first_ts").over(earlier).alias("_carried_start"),
             F.lag("_last_ts").over(by_block).alias("_carried_ts"),
         )
+        .filter(F.col("_carried_turns").isNotNull())
     )
-    previous = F.coalesce(F.col("_previous_ts"), F.col("_carried_ts"))
+    inside = Window.partitionBy("session_id", blocks.BLOCK).orderBy("msg_index")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    start = F.coalesce("_carried_start", "_inside_start")
+    previous = F.coalesce("_inside_ts", "_carried_ts")
     return (
-        blocked.withColumn("_previous_ts", F.lag("ts").over(inside))
-        .join(carried, ["session_id", blocks.BLOCK])
-        .withColumn("_elapsed", text.seconds_between(F.col("_start"), previous))
-        .drop("_previous_ts", "_carried_ts", "_start", blocks.BLOCK)
+        blocked.withColumns(
+            {
+                "_inside_turns": F.sum("_opens").over(so_far),
+                "_inside_start": F.first("ts").over(so_far),
+                "_inside_ts": F.lag("ts").over(inside),
+            }
+        )
+        .join(carried, ["session_id", blocks.BLOCK], "left")
+        .withColumn(
+            "turn_number", F.col("_inside_turns") + F.coalesce("_carried_turns", F.lit(0))
+        )
+        .withColumn("_elapsed", text.seconds_between(start, previous))
     )
 
 
@@ -83,39 +102,38 @@ def cut_points(
     max_turns: int | None = None,
     timeout_seconds: float | None = None,
     block_rows: int = blocks.BLOCK_ROWS,
-    use_timeout: bool = True,
     **markers: Iterable[str],
 ) -> DataFrame:
     """Where each conversation stops: one row per session.
 
-    `end_index` is the first ending message (kept), `max_turns_index` the agent message
-    of the last allowed exchange (kept), `timeout_index` the first message of the first
-    exchange that would start too late (not kept); NULL where a rule never applies.
-    Only flags travel through the shuffles, never the message text.
+    `agent_end_index` and `client_end_index` are the first messages of each side that end
+    the call (kept), `max_turns_index` the agent message of the last allowed exchange
+    (kept), `timeout_index` the first message of the first exchange that would start too
+    late (not kept); NULL where a rule never applies.  Only flags travel through the
+    shuffles, never the message text; rules whose column is not used are not computed.
     """
     max_turns = max_turns or c.MAX_TURNS
     timeout_seconds = timeout_seconds or c.TIMEOUT_SECONDS
     flags = end_detection(messages, **markers).select(
         "session_id", "msg_index", "speaker", "ts", "ends"
     )
-    numbered = number_turns(flags, first_speaker, block_rows)
-    index = F.col("msg_index")
-    aggregates = [
-        F.min(F.when(F.col("ends"), index)).alias("end_index"),
-        F.min_by("speaker", F.when(F.col("ends"), index)).alias("end_speaker"),
-        F.min(
-            F.when((F.col("speaker") == "agent") & (F.col("turn_number") >= max_turns), index)
-        ).alias("max_turns_index"),
-        F.max(index).alias("last_index"),
-    ]
-    if use_timeout:
-        numbered = _timed(numbered, block_rows)
-        late = (F.col("speaker") == first_speaker) & (F.col("_elapsed") > timeout_seconds)
-        aggregates.append(F.min(F.when(late, index)).alias("timeout_index"))
-    cuts = numbered.groupBy("session_id").agg(*aggregates)
-    if not use_timeout:
-        cuts = cuts.withColumn("timeout_index", F.lit(None).cast("bigint"))
-    return cuts
+    agent, client = F.col("speaker") == "agent", F.col("speaker") == "client"
+    late = (F.col("speaker") == first_speaker) & (F.col("_elapsed") > timeout_seconds)
+
+    def first_where(condition: Column) -> Column:
+        return F.min(F.when(condition, F.col("msg_index")))
+
+    return (
+        _clocked(flags, first_speaker, block_rows)
+        .groupBy("session_id")
+        .agg(
+            first_where(agent & F.col("ends")).alias("agent_end_index"),
+            first_where(client & F.col("ends")).alias("client_end_index"),
+            first_where(agent & (F.col("turn_number") >= max_turns)).alias("max_turns_index"),
+            first_where(late).alias("timeout_index"),
+            F.max("msg_index").alias("last_index"),
+        )
+    )
 
 
 def _keep_until(
@@ -141,14 +159,11 @@ def cut_at_end(
     **markers: Iterable[str],
 ) -> DataFrame:
     """Keep messages up to and including the one that ends the conversation."""
-    cuts = cut_points(
-        messages, first_speaker, max_turns, None, block_rows, use_timeout=False, **markers
-    )
-    kept = cuts.select(
-        "session_id",
-        F.least("end_index", "max_turns_index", "last_index").alias("_last_kept"),
+    cuts = cut_points(messages, first_speaker, max_turns, None, block_rows, **markers)
+    last_kept = F.least("agent_end_index", "client_end_index", "max_turns_index", "last_index")
+    return _keep_until(
+        messages, cuts.select("session_id", last_kept.alias("_last_kept")), block_rows
     )
-    return _keep_until(messages, kept, block_rows)
 
 
 def cut_at_timeout(
@@ -162,29 +177,25 @@ def cut_at_timeout(
     The clock is read only before an exchange starts and has to be strictly past the
     limit, so an exchange that has begun is always kept whole.
     """
-    limit = timeout_seconds or c.TIMEOUT_SECONDS
-    timed = _timed(messages.select("session_id", "msg_index", "speaker", "ts"), block_rows)
-    late = (F.col("speaker") == first_speaker) & (F.col("_elapsed") > limit)
-    kept = timed.groupBy("session_id").agg(
-        F.coalesce(
-            F.min(F.when(late, F.col("msg_index"))) - 1, F.max("msg_index")
-        ).alias("_last_kept")
+    cuts = cut_points(messages, first_speaker, None, timeout_seconds, block_rows)
+    last_kept = F.coalesce(F.col("timeout_index") - 1, F.col("last_index"))
+    return _keep_until(
+        messages, cuts.select("session_id", last_kept.alias("_last_kept")), block_rows
     )
-    return _keep_until(messages, kept, block_rows)
 
 
 def end_reason(cuts: DataFrame) -> DataFrame:
     """Why each conversation stopped, from `cut_points`; the earliest rule decides."""
-    stop = F.least("end_index", "max_turns_index")
+    stop = F.least("agent_end_index", "client_end_index", "max_turns_index")
     timed_out = F.col("timeout_index").isNotNull() & (
         stop.isNull() | (F.col("timeout_index") <= stop)
     )
-    by_marker = F.col("end_index").isNotNull() & (F.col("end_index") == stop)
     reason = (
-        F.when(timed_out, F.lit("timeout"))
-        .when(by_marker, F.concat(F.col("end_speaker"), F.lit("_end")))
-        .when(stop.isNotNull(), F.lit("max_turns"))
-        .otherwise(F.lit("failed"))
+        F.when(timed_out, "timeout")
+        .when(F.col("agent_end_index") == stop, "agent_end")
+        .when(F.col("client_end_index") == stop, "client_end")
+        .when(stop.isNotNull(), "max_turns")
+        .otherwise("failed")
     )
     last_kept = F.coalesce(
         F.when(timed_out, F.col("timeout_index") - 1), stop, F.col("last_index")
@@ -228,36 +239,47 @@ def transcript_text(
     Concatenating the parts of a session in order gives its whole transcript.  Sessions
     listed in `sessions` without any message get a transcript of header and footer only.
     """
-    history = conversation_history(
-        messages.filter(F.col("speaker") != "system"), part_rows
+    label = F.when(F.col("speaker") == "agent", c.AGENT_LABEL).otherwise(c.CLIENT_LABEL)
+    line = F.concat(
+        F.lit(f"{c.TURN_WORD} "),
+        F.col("turn_number").cast("string"),
+        F.lit(" - "),
+        label,
+        F.lit(": "),
+        F.coalesce("content", F.lit("")),
+        F.lit("\n\n"),
+    )
+    part = F.floor(F.col("msg_index") / F.lit(part_rows)).cast("bigint")
+    lines = messages.filter(F.col("speaker") != "system").select(
+        "session_id", part.alias("part"), "msg_index", line.alias("line")
     )
+    # Header and footer join in as lines of their own: before the first message of part 0,
+    # after the last message of the last part.
     ends = messages.groupBy("session_id").agg(F.max("msg_index").alias("_last"))
     if sessions is not None:
         ends = sessions.select("session_id").distinct().join(ends, "session_id", "left")
-    last_part = F.floor(F.coalesce(F.col("_last"), F.lit(0)) / F.lit(part_rows)).cast("bigint")
-    parts = ends.select(
-        "session_id",
-        last_part.alias("_last_part"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), last_part)).alias("part"),
-    )
+    last = F.coalesce(F.col("_last"), F.lit(0))
+    last_part = F.floor(last / F.lit(part_rows)).cast("bigint")
 
-    def line(entry: Column) -> Column:
-        label = F.when(entry["speaker"] == "agent", c.AGENT_LABEL).otherwise(c.CLIENT_LABEL)
-        return F.concat(
-            F.lit(f"{c.TURN_WORD} "),
-            entry["turn"].cast("string"),
-            F.lit(" - "),
-            label,
-            F.lit(": "),
-            entry["content"],
-            F.lit("\n\n"),
+    def edge(at_part: Column, index: Column, value: str) -> Column:
+        return F.struct(
+            at_part.alias("part"), index.cast("bigint").alias("msg_index"), F.lit(value).alias("line")
         )
 
-    body = F.coalesce(F.array_join(F.transform("history", line), ""), F.lit(""))
-    header = F.when(F.col("part") == 0, c.TRANSCRIPT_HEADER).otherwise("")
-    footer = F.when(F.col("part") == F.col("_last_part"), c.TRANSCRIPT_FOOTER).otherwise("")
-    return parts.join(history, ["session_id", "part"], "left").select(
-        "session_id", "part", F.concat(header, body, footer).alias("transcript")
+    edges = ends.select(
+        "session_id",
+        F.inline(
+            F.array(
+                edge(F.lit(0).cast("bigint"), F.lit(-1), c.TRANSCRIPT_HEADER),
+                edge(last_part, last + 1, c.TRANSCRIPT_FOOTER),
+            )
+        ),
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("msg_index", "line")))
+    return (
+        lines.unionByName(edges)
+        .groupBy("session_id", "part")
+        .agg(F.array_join(F.transform(ordered, lambda e: e["line"]), "").alias("transcript"))
     )
 
 
@@ -301,22 +323,27 @@ def client_context(messages: DataFrame, system_prompts: DataFrame) -> DataFrame:
     return _model_context(messages, system_prompts, roles, None)
 
 
-def context_at(context: DataFrame, requests: DataFrame) -> DataFrame:
+def context_at(
+    context: DataFrame, requests: DataFrame, part_rows: int = PART_ROWS
+) -> DataFrame:
     """Chat arrays for requested messages: `requests(session_id, msg_index)`, one per session.
 
-    Only the entries before the requested message are collected, which the turn limit
-    of a conversation bounds.
+    One row per request and part of `part_rows` entries; the parts in order are the whole
+    context, and a conversation of usual length has one.
     """
     wanted = requests.select("session_id", F.col("msg_index").alias("_at"))
     entry = F.struct("msg_index", "role", "content")
+    # the two opening entries have the indexes -2 and -1
+    part = F.floor((F.col("msg_index") + 2) / F.lit(part_rows)).cast("bigint")
     return (
         context.join(wanted, "session_id")
         .filter(F.col("msg_index") < F.col("_at"))
-        .groupBy("session_id", F.col("_at").alias("msg_index"))
+        .groupBy("session_id", F.col("_at").alias("msg_index"), part.alias("part"))
         .agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
         .select(
             "session_id",
             "msg_index",
+            "part",
             F.transform(
                 "_entries", lambda e: F.struct(e["role"].alias("role"), e["content"].alias("content"))
             ).alias("messages"),

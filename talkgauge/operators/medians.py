@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # bracket below always holds the middle ranks.
 _ACCURACY = 10_000
 _BRACKET = (0.4995, 0.5005)
+# The values of a group are compared with its bracket in this many independent shares.
+_SHARES = 16
 
 
 def grouped_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -43,8 +45,18 @@ def grouped_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str])
             F.col("_q")[1].alias("_to"),
         )
     )
-    counted = values.groupBy(*group, "_value").agg(F.count("*").alias("_count"))
-    bounded = counted.join(bracket, group).filter(F.col("_value") <= F.col("_to"))
+    shares = F.array(*[F.lit(k) for k in range(_SHARES)])
+    counted = (
+        values.groupBy(*group, "_value")
+        .agg(F.count("*").alias("_count"))
+        .withColumn("_share", F.pmod(F.hash("_value"), F.lit(_SHARES)))
+    )
+    shared_bracket = bracket.withColumn("_share", F.explode(shares))
+    bounded = (
+        counted.join(shared_bracket, [*group, "_share"])
+        .filter(F.col("_value") <= F.col("_to"))
+        .drop("_share")
+    )
     below = bounded.groupBy(*group).agg(
         F.coalesce(
             F.sum(F.when(F.col("_value") < F.col("_from"), F.col("_count"))), F.lit(0)

@@ -7,7 +7,7 @@ failed evaluations and ten shapes of evaluator replies.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkgauge.operators import blocks, conversations, costs
@@ -16,9 +16,30 @@ from talkgauge.session import prepare_session
 FIRST_SPEAKER = "client"
 MARKERS = {"agent_markers": ("end",), "client_markers": ("und",)}
 
-
-def _is(column: str, divisor: int, rest: int) -> Column:
-    return F.col(column) % divisor == rest
+# Known schemas, so that opening a table starts no job.
+BASE_TABLES = {
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+    "events": (
+        "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE,"
+        " props STRING"
+    ),
+    "customer": (
+        "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING"
+    ),
+    "orders": (
+        "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE,"
+        " o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"
+    ),
+    "lineitem": (
+        "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT,"
+        " l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE,"
+        " l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ"
+    ),
+    "part": (
+        "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT,"
+        " p_retailprice DOUBLE"
+    ),
+}
 
 
 class Inputs:
@@ -29,28 +50,34 @@ class Inputs:
         self.folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(BASE_TABLES[name]).parquet(f"{self.folder}/{name}.parquet")
+
+    def _stream(self, name: str) -> DataFrame:
+        """A table as a stream; the pattern matches a single file and a folder of files."""
+        reader = self.spark.readStream.schema(BASE_TABLES[name])
+        return reader.parquet(f"{self.folder}/{name}.parquet*")
+
+    def event_stream(self) -> DataFrame:
+        return self._stream("events")
+
+    def message_stream(self) -> DataFrame:
+        rows = self._messages(self._stream("conversations"))
+        return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
     def messages(self) -> DataFrame:
         """Message rows, about 20 seconds apart."""
         return self._messages(self.table("conversations"))
 
     def _messages(self, rows: DataFrame) -> DataFrame:
-        speaker = (
-            F.when(F.col("role") == "assistant", "agent")
-            .when(F.col("role") == "user", "client")
-            .otherwise("system")
-        )
-        offset = F.col("conv_id") * 37 + F.col("turn") * 20 + F.length("text") % 13
-        return rows.select(
+        return rows.selectExpr(
             "conv_id",
-            F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("session_id"),
-            F.col("turn").alias("msg_index"),
-            speaker.alias("speaker"),
-            F.col("text").alias("content"),
-            F.timestamp_add(
-                "SECOND", offset, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-            ).alias("ts"),
+            "concat('conv-', cast(conv_id AS STRING)) AS session_id",
+            "turn AS msg_index",
+            "CASE role WHEN 'assistant' THEN 'agent' WHEN 'user' THEN 'client' ELSE 'system' END"
+            " AS speaker",
+            "text AS content",
+            "timestampadd(SECOND, conv_id * 37 + turn * 20 + length(text) % 13,"
+            " TIMESTAMP_NTZ '2024-01-01 00:00:00') AS ts",
         )
 
     def numbered(self) -> DataFrame:
@@ -58,183 +85,136 @@ class Inputs:
 
     def sessions(self) -> DataFrame:
         """One row per conversation with the sizes the other tables are made of."""
-        return (
-            self.table("conversations")
-            .groupBy("conv_id")
-            .agg(
-                F.count_if(F.col("role") == "assistant").alias("agent_msgs"),
-                F.sum(F.length("text")).alias("n_chars"),
-            )
-            .withColumn("session_id", F.concat(F.lit("conv-"), F.col("conv_id").cast("string")))
+        return self.table("conversations").groupBy("conv_id").agg(
+            F.expr("count_if(role = 'assistant') AS agent_msgs"),
+            F.expr("sum(length(text)) AS n_chars"),
+            F.expr("concat('conv-', cast(conv_id AS STRING)) AS session_id"),
         )
 
     def results(self) -> DataFrame:
-        """Result rows in four batches."""
-        failed = _is("conv_id", 11, 5)
-        starts = self.table("events").select(F.col("event_id").alias("conv_id"), "ts")
-        duration = F.when(~failed, F.col("n_chars").cast("double") / 8)
-        comment = (
-            F.when(_is("conv_id", 6, 0), F.lit('say "hi", ok'))
-            .when(_is("conv_id", 6, 1), F.lit("two\nlines"))
-            .when(_is("conv_id", 6, 3), F.lit("back\\slash"))
-            .when(_is("conv_id", 6, 4), F.lit("Привет, мир"))
-            .when(_is("conv_id", 6, 5), F.lit("cr\r\nlf"))
+        """Result rows in four batches; the events give the start times."""
+        starts = self.table("events").selectExpr("event_id AS conv_id", "ts")
+        sized = self.sessions().withColumn(
+            "duration", F.expr("CASE WHEN conv_id % 11 <> 5 THEN cast(n_chars AS DOUBLE) / 8 END")
         )
-
-        def numbered(prefix: str, divisor: int) -> Column:
-            return F.concat(F.lit(prefix), (F.col("conv_id") % divisor).cast("string"))
-
-        end = F.timestamp_add("MICROSECOND", (duration * 1_000_000).cast("bigint"), F.col("ts"))
-        return (
-            self.sessions()
-            .join(starts, "conv_id")
-            .select(
-                "session_id",
-                F.col("conv_id").alias("scenario_index"),
-                numbered("batch-", 4).alias("batch_id"),
-                F.when(~_is("conv_id", 19, 18), numbered("scenario_", 7)).alias("scenario"),
-                F.when(_is("conv_id", 2, 0), "v1").otherwise("v2").alias("prompt_version"),
-                (F.col("conv_id") % 3).cast("int").alias("seed"),
-                F.when(failed, "failed")
-                .when(_is("conv_id", 23, 22), "running")
-                .otherwise("completed")
-                .alias("status"),
-                F.when(failed | _is("conv_id", 13, 4), 1)
-                .otherwise((1 + F.col("n_chars") % 3).cast("int"))
-                .alias("score"),
-                comment.alias("comment"),
-                F.when(failed, None)
-                .when(_is("conv_id", 13, 4), "failed")
-                .otherwise("success")
-                .alias("evaluation_status"),
-                F.when(~_is("conv_id", 17, 3), F.col("agent_msgs").cast("int")).alias("total_turns"),
-                duration.alias("duration_seconds"),
-                F.col("ts").alias("start_time"),
-                end.alias("end_time"),
-            )
+        return sized.join(starts, "conv_id").selectExpr(
+            "session_id",
+            "conv_id AS scenario_index",
+            "concat('batch-', cast(conv_id % 4 AS STRING)) AS batch_id",
+            "CASE WHEN conv_id % 19 <> 18 THEN concat('scenario_', cast(conv_id % 7 AS STRING)) END"
+            " AS scenario",
+            "CASE WHEN conv_id % 2 = 0 THEN 'v1' ELSE 'v2' END AS prompt_version",
+            "cast(conv_id % 3 AS INT) AS seed",
+            "CASE WHEN conv_id % 11 = 5 THEN 'failed' WHEN conv_id % 23 = 22 THEN 'running'"
+            " ELSE 'completed' END AS status",
+            "CASE WHEN conv_id % 11 = 5 OR conv_id % 13 = 4 THEN 1"
+            " ELSE cast(1 + n_chars % 3 AS INT) END AS score",
+            "CASE conv_id % 6 WHEN 0 THEN 'say \"hi\", ok' WHEN 1 THEN concat('two', chr(10), 'lines')"
+            " WHEN 3 THEN r'back\\slash' WHEN 4 THEN 'Привет, мир'"
+            " WHEN 5 THEN concat('cr', chr(13), chr(10), 'lf') END AS comment",
+            "CASE WHEN conv_id % 11 = 5 THEN NULL WHEN conv_id % 13 = 4 THEN 'failed'"
+            " ELSE 'success' END AS evaluation_status",
+            "CASE WHEN conv_id % 17 <> 3 THEN cast(agent_msgs AS INT) END AS total_turns",
+            "duration AS duration_seconds",
+            "ts AS start_time",
+            "timestampadd(MICROSECOND, cast(duration * 1000000 AS BIGINT), ts) AS end_time",
         )
 
     def token_log(self) -> DataFrame:
         """Usage of every request: all earlier text is the prompt, the message the reply."""
-        model = (
-            F.when(_is("conv_id", 5, 0), "gpt-4o")
-            .when(_is("conv_id", 5, 1), "gpt-4")
-            .when(_is("conv_id", 5, 2), "gpt-3.5-turbo")
-            .when(_is("conv_id", 5, 3), "gpt-4o-mini")
-            .otherwise("unlisted")
-        )
-        sized = (
-            self.messages()
-            .filter(F.col("speaker") != "system")
-            .select("conv_id", "session_id", "msg_index", "ts", F.length("content").alias("n"))
+        sized = self.messages().where("speaker <> 'system'").selectExpr(
+            "conv_id", "session_id", "msg_index", "ts", "length(content) AS n"
         )
         spoken = blocks.running_total(
             sized, ["conv_id"], "msg_index", F.col("n"), "earlier", include_current=False
         )
-        return spoken.select(
+        return spoken.selectExpr(
             "conv_id",
             "session_id",
             "msg_index",
-            F.col("ts").alias("timestamp"),
-            model.alias("model"),
-            F.floor(F.col("earlier") / 4).cast("bigint").alias("prompt_tokens"),
-            F.floor(F.col("n") / 4).cast("bigint").alias("completion_tokens"),
-        ).withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
+            "ts AS timestamp",
+            "CASE conv_id % 5 WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'gpt-4' WHEN 2 THEN 'gpt-3.5-turbo'"
+            " WHEN 3 THEN 'gpt-4o-mini' ELSE 'unlisted' END AS model",
+            "earlier div 4 AS prompt_tokens",
+            "cast(n div 4 AS BIGINT) AS completion_tokens",
+            "earlier div 4 + n div 4 AS total_tokens",
+        )
 
     def usage(self) -> DataFrame:
         return costs.request_cost(self.token_log(), costs.price_table(self.spark))
 
     def replies(self) -> DataFrame:
         """One raw evaluator reply per conversation, in ten shapes."""
-        shapes = [
-            '{"score":3,"comment":"ok"}',
-            '{"score":2,"comment":"fine"}',
-            '{"score":1,"comment":"bad"}',
-            '{"score":2.0,"comment":"float"}',
-            '{"score":"3","comment":"text"}',
-            '{"score":5,"comment":"range"}',
-            '{"error":"e","score":3}',
-            "not json",
-            "[1,2]",
-            '{"score":3,"comment":"  "}',
-        ]
-        raw = F.element_at(
-            F.array(*[F.lit(s) for s in shapes]), (F.col("conv_id") % 10 + 1).cast("int")
+        return self.sessions().selectExpr(
+            "conv_id",
+            "session_id",
+            """CASE conv_id % 10 WHEN 0 THEN '{"score":3,"comment":"ok"}'
+               WHEN 1 THEN '{"score":2,"comment":"fine"}'
+               WHEN 2 THEN '{"score":1,"comment":"bad"}'
+               WHEN 3 THEN '{"score":2.0,"comment":"float"}'
+               WHEN 4 THEN '{"score":"3","comment":"text"}'
+               WHEN 5 THEN '{"score":5,"comment":"range"}'
+               WHEN 6 THEN '{"error":"e","score":3}'
+               WHEN 7 THEN 'not json'
+               WHEN 8 THEN '[1,2]'
+               ELSE '{"score":3,"comment":"  "}' END AS raw""",
         )
-        return self.sessions().select("conv_id", "session_id", raw.alias("raw"))
 
     def jobs(self) -> DataFrame:
         """One batch job per event."""
-        statuses = ["completed", "running", "failed", "cancelled", "pending"]
-        status = F.element_at(
-            F.array(*[F.lit(s) for s in statuses]), (F.col("event_id") % 5 + 1).cast("int")
+        kinds = self.table("events").selectExpr(
+            "*",
+            "CASE event_id % 5 WHEN 0 THEN 'completed' WHEN 1 THEN 'running' WHEN 2 THEN 'failed'"
+            " WHEN 3 THEN 'cancelled' ELSE 'pending' END AS status",
+            "event_id % 9 + 1 AS total",
+        )
+        sized = kinds.selectExpr(
+            "*", "CASE WHEN status IN ('completed', 'failed') THEN total ELSE total % 3 END AS done"
         )
-        total = F.col("event_id") % 9 + 1
-        done = F.when(F.col("status").isin("completed", "failed"), total).otherwise(total % 3)
-        return (
-            self.table("events")
-            .withColumn("status", status)
-            .select(
-                F.concat(F.lit("batch-"), F.col("event_id").cast("string")).alias("batch_id"),
-                "status",
-                F.col("ts").alias("created_at"),
-                F.when(F.col("status") != "pending", F.timestamp_add("SECOND", F.lit(5), "ts")).alias(
-                    "started_at"
-                ),
-                F.when(
-                    F.col("status").isin("completed", "failed", "cancelled"),
-                    F.timestamp_add("SECOND", F.lit(65), "ts"),
-                ).alias("completed_at"),
-                total.alias("total_scenarios"),
-                done.alias("completed_scenarios"),
-                F.when(F.col("status") == "failed", F.lit(1).cast("bigint"))
-                .otherwise(F.lit(0).cast("bigint"))
-                .alias("failed_scenarios"),
-                (100 * done / total).alias("progress_percentage"),
-                F.when(F.col("status") == "failed", "stopped").alias("error_message"),
-            )
+        return sized.selectExpr(
+            "concat('batch-', cast(event_id AS STRING)) AS batch_id",
+            "status",
+            "ts AS created_at",
+            "CASE WHEN status <> 'pending' THEN timestampadd(SECOND, 5, ts) END AS started_at",
+            "CASE WHEN status IN ('completed', 'failed', 'cancelled')"
+            " THEN timestampadd(SECOND, 65, ts) END AS completed_at",
+            "total AS total_scenarios",
+            "done AS completed_scenarios",
+            "cast(if(status = 'failed', 1, 0) AS BIGINT) AS failed_scenarios",
+            "100 * done / total AS progress_percentage",
+            "CASE WHEN status = 'failed' THEN 'stopped' END AS error_message",
         )
 
     def scenarios(self) -> DataFrame:
         """The scenario list of each batch; some entries have no name."""
-        index = F.col("scenario_index")
-        name = F.when(index % 5 != 0, F.concat(F.lit("named_"), (index % 7).cast("string")))
-        return self.results().select("batch_id", "scenario_index", name.alias("name"))
+        return self.results().selectExpr(
+            "batch_id",
+            "scenario_index",
+            "CASE WHEN scenario_index % 5 <> 0"
+            " THEN concat('named_', cast(scenario_index % 7 AS STRING)) END AS name",
+        )
 
     def attempts(self) -> tuple[DataFrame, DataFrame]:
         """(conversations, exceptions): scenarios that ran, and those that raised instead."""
         rows = self.results()
-        raised = F.col("scenario_index") % 9 == 8
-        index = F.col("scenario_index").cast("string")
-        error = F.when(F.col("scenario_index") % 2 == 0, F.concat(F.lit("lost "), index))
-        ran = rows.filter(~raised).withColumn(
-            "error", F.when(F.col("status") == "failed", error)
+        error = (
+            "CASE WHEN status = 'failed' AND scenario_index % 2 = 0"
+            " THEN concat('lost ', cast(scenario_index AS STRING)) END AS error"
         )
-        exceptions = rows.filter(raised).select(
-            "batch_id", "scenario_index", F.concat(F.lit("boom "), index).alias("error")
+        ran = rows.where("scenario_index % 9 <> 8").selectExpr("*", error)
+        exceptions = rows.where("scenario_index % 9 = 8").selectExpr(
+            "batch_id",
+            "scenario_index",
+            "concat('boom ', cast(scenario_index AS STRING)) AS error",
         )
         return ran, exceptions
 
     def event_usage(self, events: DataFrame) -> DataFrame:
         """Events as token usage: the type is the model, the value in cents the tokens."""
-        tokens = F.round(F.col("value") * 100).cast("bigint")
-        return events.select(
+        tokens = "cast(round(value * 100) AS BIGINT)"
+        return events.selectExpr(
             "ts",
-            F.col("event_type").alias("model"),
-            tokens.alias("total_tokens"),
-            (tokens * F.lit("0.0001").cast("decimal(5,4)")).cast("decimal(18,10)").alias(
-                "cost_estimate"
-            ),
+            "event_type AS model",
+            f"{tokens} AS total_tokens",
+            f"cast({tokens} * 0.0001BD AS DECIMAL(18,10)) AS cost_estimate",
         )
-
-    def _stream(self, name: str) -> DataFrame:
-        """A table as a stream; the pattern matches a single file and a folder of files."""
-        schema = self.table(name).schema
-        return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{name}.parquet*")
-
-    def event_stream(self) -> DataFrame:
-        return self._stream("events")
-
-    def message_stream(self) -> DataFrame:
-        rows = self._messages(self._stream("conversations"))
-        return rows.withColumn("ts", F.col("ts").cast("timestamp"))

@@ -845,7 +845,8 @@ def peak_concurrency(i: Inputs) -> DataFrame:
 @_query
 def order_total(i: Inputs) -> DataFrame:
     orders = i.table("orders").select(F.col("o_orderkey").alias("order_id"))
-    prices = i.table("part").select("p_partkey", F.col("p_retailprice").alias("price"))
+    price = F.col("p_retailprice").cast("DECIMAL(12,2)")  # once per part, not once per line
+    prices = i.table("part").select("p_partkey", price.alias("price"))
     lines = i.table("lineitem")
     items = lines.join(prices, lines["l_partkey"] == prices["p_partkey"], "left").select(
         F.col("l_orderkey").alias("order_id"), "price", F.col("l_quantity").alias("quantity")
