@@ -32,8 +32,13 @@ def running_total(
     name: str,
     include_current: bool = True,
     block_rows: int = BLOCK_ROWS,
+    keep_block: bool = False,
 ) -> DataFrame:
-    """Running sum of `value` in each group, ordered by the integer column `position`."""
+    """Running sum of `value` in each group, ordered by the integer column `position`.
+
+    With `keep_block` the block column stays, and so does the partitioning by group and
+    block, for whoever goes on to aggregate by them.
+    """
     blocked = with_block(df.withColumn("_value", value), position, block_rows)
     last = 0 if include_current else -1
     inside = (
@@ -51,12 +56,13 @@ def running_total(
         .filter(F.col("_carried").isNotNull())
     )
     total = F.coalesce(F.col("_inside"), F.lit(0)) + F.coalesce(F.col("_carried"), F.lit(0))
-    return (
+    summed = (
         blocked.withColumn("_inside", F.sum("_value").over(inside))
         .join(carried, [*keys, BLOCK], "left")
         .withColumn(name, total)
-        .drop("_value", "_inside", "_carried", BLOCK)
+        .drop("_value", "_inside", "_carried")
     )
+    return summed if keep_block else summed.drop(BLOCK)
 
 
 def spread_over_blocks(per_group: DataFrame, last_position: Column, block_rows: int) -> DataFrame:

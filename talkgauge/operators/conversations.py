@@ -21,7 +21,10 @@ PART_ROWS = 1000
 
 
 def number_turns(
-    messages: DataFrame, first_speaker: str = "agent", block_rows: int = blocks.BLOCK_ROWS
+    messages: DataFrame,
+    first_speaker: str = "agent",
+    block_rows: int = blocks.BLOCK_ROWS,
+    keep_block: bool = False,
 ) -> DataFrame:
     """Add `turn_number`: the exchange a message belongs to, from 1.
 
@@ -29,7 +32,13 @@ def number_turns(
     """
     opens = F.when(F.col("speaker") == first_speaker, 1).otherwise(0)
     return blocks.running_total(
-        messages, ["session_id"], "msg_index", opens, "turn_number", block_rows=block_rows
+        messages,
+        ["session_id"],
+        "msg_index",
+        opens,
+        "turn_number",
+        block_rows=block_rows,
+        keep_block=keep_block,
     )
 
 
@@ -211,12 +220,16 @@ def total_turns(messages: DataFrame) -> DataFrame:
     )
 
 
-def conversation_history(messages: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """The ordered history of each conversation as arrays.
+def conversation_history(
+    messages: DataFrame, first_speaker: str = "agent", part_rows: int = PART_ROWS
+) -> DataFrame:
+    """The ordered, numbered history of each conversation as arrays.
 
     One row per session and part; a part holds `part_rows` consecutive messages, so every
-    conversation of usual length is part 0 and no array grows without bound.
+    conversation of usual length is part 0 and no array grows without bound.  Turns are
+    numbered in the same parts, so message texts are shuffled once.
     """
+    numbered = number_turns(messages, first_speaker, part_rows, keep_block=True)
     entry = F.struct(
         "msg_index",
         F.col("turn_number").alias("turn"),
@@ -224,62 +237,57 @@ def conversation_history(messages: DataFrame, part_rows: int = PART_ROWS) -> Dat
         "content",
         F.col("ts").alias("timestamp"),
     )
-    part = F.floor(F.col("msg_index") / F.lit(part_rows)).cast("bigint")
-    return (
-        messages.groupBy("session_id", part.alias("part"))
-        .agg(F.array_sort(F.collect_list(entry)).alias("history"))
+    return numbered.groupBy("session_id", F.col(blocks.BLOCK).alias("part")).agg(
+        F.array_sort(F.collect_list(entry)).alias("history")
     )
 
 
 def transcript_text(
-    messages: DataFrame, sessions: DataFrame | None = None, part_rows: int = PART_ROWS
+    messages: DataFrame,
+    sessions: DataFrame | None = None,
+    first_speaker: str = "agent",
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """The text an evaluator reads, one row per session and part.
 
     Concatenating the parts of a session in order gives its whole transcript.  Sessions
     listed in `sessions` without any message get a transcript of header and footer only.
     """
-    label = F.when(F.col("speaker") == "agent", c.AGENT_LABEL).otherwise(c.CLIENT_LABEL)
-    line = F.concat(
-        F.lit(f"{c.TURN_WORD} "),
-        F.col("turn_number").cast("string"),
-        F.lit(" - "),
-        label,
-        F.lit(": "),
-        F.coalesce("content", F.lit("")),
-        F.lit("\n\n"),
-    )
-    part = F.floor(F.col("msg_index") / F.lit(part_rows)).cast("bigint")
-    lines = messages.filter(F.col("speaker") != "system").select(
-        "session_id", part.alias("part"), "msg_index", line.alias("line")
+    spoken = messages.withColumn(
+        "content", F.when(F.col("speaker") != "system", F.coalesce("content", F.lit("")))
     )
-    # Header and footer join in as lines of their own: before the first message of part 0,
-    # after the last message of the last part.
-    ends = messages.groupBy("session_id").agg(F.max("msg_index").alias("_last"))
-    if sessions is not None:
-        ends = sessions.select("session_id").distinct().join(ends, "session_id", "left")
-    last = F.coalesce(F.col("_last"), F.lit(0))
-    last_part = F.floor(last / F.lit(part_rows)).cast("bigint")
-
-    def edge(at_part: Column, index: Column, value: str) -> Column:
-        return F.struct(
-            at_part.alias("part"), index.cast("bigint").alias("msg_index"), F.lit(value).alias("line")
+    history = conversation_history(spoken, first_speaker, part_rows)
+    last_part = F.floor(F.max("msg_index") / F.lit(part_rows)).cast("bigint")
+    last_parts = messages.groupBy("session_id").agg(last_part.alias("part"))
+
+    def line(entry: Column) -> Column:
+        label = F.when(entry["speaker"] == "agent", c.AGENT_LABEL).otherwise(c.CLIENT_LABEL)
+        return F.concat(
+            F.lit(f"{c.TURN_WORD} "),
+            entry["turn"].cast("string"),
+            F.lit(" - "),
+            label,
+            F.lit(": "),
+            entry["content"],
+            F.lit("\n\n"),
         )
 
-    edges = ends.select(
-        "session_id",
-        F.inline(
-            F.array(
-                edge(F.lit(0).cast("bigint"), F.lit(-1), c.TRANSCRIPT_HEADER),
-                edge(last_part, last + 1, c.TRANSCRIPT_FOOTER),
-            )
-        ),
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("msg_index", "line")))
-    return (
-        lines.unionByName(edges)
-        .groupBy("session_id", "part")
-        .agg(F.array_join(F.transform(ordered, lambda e: e["line"]), "").alias("transcript"))
+    # a system message has no line, and array_join leaves NULLs out
+    body = F.array_join(F.transform("history", line), "")
+    header = F.when(F.col("part") == 0, c.TRANSCRIPT_HEADER).otherwise("")
+    footer = F.when(F.col("_is_last"), c.TRANSCRIPT_FOOTER).otherwise("")
+    transcripts = history.join(
+        last_parts.withColumn("_is_last", F.lit(True)), ["session_id", "part"], "left"
+    ).select("session_id", "part", F.concat(header, body, footer).alias("transcript"))
+    if sessions is None:
+        return transcripts
+    silent = sessions.select("session_id").distinct().join(last_parts, "session_id", "left_anti")
+    return transcripts.unionByName(
+        silent.select(
+            "session_id",
+            F.lit(0).cast("bigint").alias("part"),
+            F.lit(c.TRANSCRIPT_HEADER + c.TRANSCRIPT_FOOTER).alias("transcript"),
+        )
     )
 
 

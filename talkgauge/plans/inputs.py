@@ -76,7 +76,7 @@ class Inputs:
             "CASE role WHEN 'assistant' THEN 'agent' WHEN 'user' THEN 'client' ELSE 'system' END"
             " AS speaker",
             "text AS content",
-            "timestampadd(SECOND, conv_id * 37 + turn * 20 + length(text) % 13,"
+            "timestampadd(SECOND, conv_id * 37 + turn * 20 + conv_id * turn % 13,"
             " TIMESTAMP_NTZ '2024-01-01 00:00:00') AS ts",
         )
 

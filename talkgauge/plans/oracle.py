@@ -40,7 +40,7 @@ WITH msgs AS (
          CASE role WHEN 'assistant' THEN 'agent' WHEN 'user' THEN 'client' ELSE 'system' END AS speaker,
          text AS content,
          TIMESTAMP '2024-01-01 00:00:00'
-           + to_seconds(conv_id * 37 + turn * 20 + length(text) % 13) AS ts,
+           + to_seconds(conv_id * 37 + turn * 20 + conv_id * turn % 13) AS ts,
          CAST(SUM(CASE WHEN role = 'user' THEN 1 ELSE 0 END)
            OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS turn_number
   FROM conversations),

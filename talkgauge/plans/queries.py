@@ -470,7 +470,7 @@ def job_status_view(i: Inputs) -> DataFrame:
 @_query
 def evaluator_request(i: Inputs) -> DataFrame:
     requests = evaluation.evaluator_request(
-        conversations.transcript_text(i.numbered()), EVALUATOR_PROMPT
+        conversations.transcript_text(i.messages(), None, FIRST_SPEAKER), EVALUATOR_PROMPT
     )
     return requests.select("session_id", "part", F.inline("messages"))
 
@@ -501,7 +501,7 @@ def result_rows(i: Inputs) -> DataFrame:
 
 @_query
 def conversation_history(i: Inputs) -> DataFrame:
-    history = conversations.conversation_history(i.numbered())
+    history = conversations.conversation_history(i.messages(), FIRST_SPEAKER)
     entries = history.select("session_id", "part", F.posexplode("history").alias("pos", "e"))
     return _iso(
         entries.select(
@@ -513,7 +513,7 @@ def conversation_history(i: Inputs) -> DataFrame:
 
 @_query
 def transcript_text(i: Inputs) -> DataFrame:
-    return conversations.transcript_text(i.numbered(), i.results())
+    return conversations.transcript_text(i.messages(), i.results(), FIRST_SPEAKER)
 
 
 @_query
@@ -634,8 +634,9 @@ def evaluate_batch(i: Inputs) -> DataFrame:
             raise ValueError("no answer")
         return '{"score":%d,"comment":"%d characters"}' % (1 + size % 4, size)
 
-    kept = conversations.cut_at_end(i.numbered(), FIRST_SPEAKER, **MARKERS)
-    transcripts = conversations.transcript_text(kept, part_rows=2 * c.MAX_TURNS + 1)
+    kept = conversations.cut_at_end(i.messages(), FIRST_SPEAKER, **MARKERS)
+    # the turn limit bounds a conversation, so each is one part
+    transcripts = conversations.transcript_text(kept, None, FIRST_SPEAKER, 2 * c.MAX_TURNS + 1)
     asked = transcripts.join(i.results(), "session_id").select(
         F.col("scenario_index").alias("conversation_index"),
         F.when(F.col("scenario_index") % 10 != 9, F.col("session_id")).alias("session_id"),

@@ -117,7 +117,7 @@ def test_random_conversations_equal_replay(spark, block_rows):
 
 
 def test_transcript(spark):
-    df = ops.number_turns(frame(spark, conversation("s", ["Привет", "Да", "Пока"])))
+    df = frame(spark, conversation("s", ["Привет", "Да", "Пока"]))
     sessions = spark.createDataFrame([("s",), ("empty",)], "session_id string")
     out = {r.session_id: r.transcript for r in ops.transcript_text(df, sessions).collect()}
     head, foot = "=== РАЗГОВОР ДЛЯ ОЦЕНКИ ===\n\n", "=== КОНЕЦ РАЗГОВОРА ==="
@@ -128,7 +128,7 @@ def test_transcript(spark):
 
 
 def test_long_transcripts_come_in_parts_that_lose_nothing(spark):
-    df = ops.number_turns(frame(spark, conversation("s", [f"m{i}" for i in range(25)])))
+    df = frame(spark, conversation("s", [f"m{i}" for i in range(25)]))
     whole = ops.transcript_text(df).first().transcript
     parts = sorted((r.part, r.transcript) for r in ops.transcript_text(df, part_rows=4).collect())
     assert len(parts) == 7 and "".join(t for _, t in parts) == whole
