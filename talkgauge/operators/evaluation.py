@@ -22,27 +22,24 @@ def parse_evaluation(replies: DataFrame, raw: str = "raw") -> DataFrame:
     )
 
 
-def _as_text(value: Column) -> Column:
+def _spoken(kind: Column, text_of_value: Column) -> Column:
     """Text of a JSON value inside a sentence."""
-    as_string = value.cast("string")
     return (
-        F.when(strict_json.kind(value) == "VOID", F.lit("None"))
-        .when(strict_json.kind(value) == "BOOLEAN", F.initcap(as_string))
-        .otherwise(as_string)
+        F.when(kind == "VOID", F.lit("None"))
+        .when(kind == "BOOLEAN", F.initcap(text_of_value))
+        .otherwise(text_of_value)
     )
 
 
-def _is_falsy(value: Column) -> Column:
-    kind = strict_json.kind(value)
-    as_string = value.cast("string")
+def _is_falsy(kind: Column, text_of_value: Column) -> Column:
     is_zero = kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT") & (
-        as_string.try_cast("double") == 0
+        text_of_value.try_cast("double") == 0
     )
     return (
         (kind == "VOID")
-        | ((kind == "BOOLEAN") & (as_string == "false"))
+        | ((kind == "BOOLEAN") & (text_of_value == "false"))
         | is_zero
-        | (kind.isin("ARRAY", "OBJECT") & as_string.isin("[]", "{}"))
+        | (kind.isin("ARRAY", "OBJECT") & text_of_value.isin("[]", "{}"))
     )
 
 
@@ -53,48 +50,57 @@ def _invalid(reply_kind: Column, reply: Column) -> Column:
     )
 
 
-def score_is_valid(reply: Column) -> Column:
-    """A JSON integer 1, 2 or 3; `true` counts as the integer 1."""
-    score = strict_json.field(reply, "score")
-    kind = strict_json.kind(score)
-    number = strict_json.field(reply, "score", "bigint")
-    return F.coalesce(
-        ((kind == "BIGINT") & number.isin(*c.VALID_SCORES))
-        | ((kind == "BOOLEAN") & (score.cast("string") == "true")),
-        F.lit(False),
-    )
-
-
 def validate_score(parsed: DataFrame) -> DataFrame:
-    """Add `score_valid` and `score` (the fallback score wherever it is not valid)."""
-    reply = F.col("reply")
-    usable = (F.col("reply_kind") == "OBJECT") & ~_invalid(F.col("reply_kind"), reply)
-    valid = usable & score_is_valid(reply)
-    number = F.coalesce(strict_json.field(reply, "score", "int"), F.lit(1))
-    score = F.when(valid, number).otherwise(F.lit(c.FALLBACK_SCORE)).cast("int")
-    return parsed.withColumn("score_valid", valid).withColumn("score", score)
+    """Add `score_valid` and `score` (the fallback score wherever it is not valid).
+
+    Valid is a JSON integer 1, 2 or 3; `true` counts as the integer 1.
+    """
+    reply, reply_kind = F.col("reply"), F.col("reply_kind")
+    typed = parsed.withColumn("_score", strict_json.field(reply, "score")).withColumns(
+        {
+            "_score_kind": strict_json.kind(F.col("_score")),
+            "_score_text": F.col("_score").cast("string"),
+        }
+    )
+    usable = (reply_kind == "OBJECT") & ~_invalid(reply_kind, reply)
+    is_integer = (F.col("_score_kind") == "BIGINT") & F.col("_score_text").isin(
+        *[str(score) for score in c.VALID_SCORES]
+    )
+    is_true = (F.col("_score_kind") == "BOOLEAN") & (F.col("_score_text") == "true")
+    valid = usable & F.coalesce(is_integer | is_true, F.lit(False))
+    number = F.coalesce(F.col("_score_text").try_cast("int"), F.lit(1))
+    return (
+        typed.withColumn("score_valid", valid)
+        .withColumn("score", F.when(F.col("score_valid"), number).otherwise(F.lit(c.FALLBACK_SCORE)))
+        .drop("_score", "_score_kind", "_score_text")
+    )
 
 
 def normalize_comment(validated: DataFrame) -> DataFrame:
     """Add `comment`: the evaluator's comment or the fixed text that stands in for it."""
-    reply = F.col("reply")
-    value = strict_json.field(reply, "comment")
-    missing = value.isNull()
-    is_text = strict_json.kind(value) == "STRING"
-    spoken = F.when(missing, F.lit("")).otherwise(_as_text(value))
-    plain = (
-        F.when(missing, F.lit(""))
-        .when(is_text, value.cast("string"))
-        .when(_is_falsy(value), F.lit(c.COMMENT_ABSENT))
-        .otherwise(_as_text(value))
-    )
-    of_object = F.when(
-        F.col("score_valid"), F.when(text.is_blank(plain), F.lit(c.COMMENT_BLANK)).otherwise(plain)
-    ).otherwise(F.concat(F.lit(c.COMMENT_BAD_SCORE_PREFIX), spoken))
-    comment = F.when(
-        _invalid(F.col("reply_kind"), reply), F.lit(c.COMMENT_INVALID_REPLY)
-    ).when(F.col("reply_kind") == "OBJECT", of_object)
-    return validated.withColumn("comment", comment)
+    reply, reply_kind = F.col("reply"), F.col("reply_kind")
+    typed = validated.withColumn("_comment", strict_json.field(reply, "comment")).withColumns(
+        {
+            "_comment_kind": strict_json.kind(F.col("_comment")),
+            "_comment_text": F.col("_comment").cast("string"),
+        }
+    )
+    kind, value = F.col("_comment_kind"), F.col("_comment_text")
+    missing = F.col("_comment").isNull()
+    spoken = F.when(missing, F.lit("")).otherwise(_spoken(kind, value))
+    plain = F.when(_is_falsy(kind, value), F.lit(c.COMMENT_ABSENT)).otherwise(spoken)
+    comment = (
+        F.when(_invalid(reply_kind, reply), F.lit(c.COMMENT_INVALID_REPLY))
+        .when((reply_kind == "OBJECT") & F.col("score_valid"), F.col("_plain"))
+        .when(reply_kind == "OBJECT", F.concat(F.lit(c.COMMENT_BAD_SCORE_PREFIX), F.col("_spoken")))
+    )
+    blank = F.when(text.is_blank(F.col("_plain")), F.lit(c.COMMENT_BLANK)).otherwise(F.col("_plain"))
+    return (
+        typed.withColumns({"_spoken": spoken, "_plain": plain})
+        .withColumn("_plain", blank)
+        .withColumn("comment", comment)
+        .drop("_comment", "_comment_kind", "_comment_text", "_spoken", "_plain")
+    )
 
 
 def _failure_text(reply_kind: Column) -> Column:
