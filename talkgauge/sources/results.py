@@ -79,8 +79,12 @@ def list_result_files(spark: SparkSession, path: str, batch_id: str | None = Non
 
 
 def _below(path: str) -> Column:
-    """The part of `filepath` below a folder."""
-    return F.substring_index("filepath", path.rstrip("/") + "/", -1)
+    """The named part of `filepath` below a folder.
+
+    Spark gives part files random names, which say nothing about a batch.
+    """
+    below = F.substring_index("filepath", path.rstrip("/") + "/", -1)
+    return F.regexp_replace(below, r"(^|/)part-\d+-[^/]*$", "")
 
 
 def logs_for_batch(spark: SparkSession, path: str, batch_id: str) -> DataFrame:

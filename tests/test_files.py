@@ -186,6 +186,16 @@ def test_logs_for_batch_reads_only_its_folder(spark, tmp_path):
     assert files.logs_for_batch(spark, str(tmp_path / "logs"), "b1").collect() == [("x",)]
 
 
+def test_random_part_names_do_not_count(spark, tmp_path):
+    spark.createDataFrame([("b1", "x"), ("b2", "y")], "batch_id string, value string").write.partitionBy(
+        "batch_id"
+    ).text(str(tmp_path / "logs"))
+    for digit in "0123456789abcdef":  # single characters that random names are bound to contain
+        found = files.list_result_files(spark, str(tmp_path / "logs"), digit).collect()
+        folders = {r.filepath.split("/")[-2] for r in found}
+        assert folders == {f for f in ("batch_id=b1", "batch_id=b2") if digit in f}
+
+
 def test_appending_twice_keeps_both(spark, tmp_path):
     df = spark.createDataFrame([("s", datetime(2025, 6, 8, 10, 0))], "session_id string, timestamp timestamp_ntz")
     for _ in range(2):
