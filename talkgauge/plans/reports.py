@@ -264,9 +264,15 @@ def _open_object(*fields: str) -> Column:
     return F.regexp_replace(F.to_json(F.struct(*fields)), r"\}$", ",")
 
 
-def results_envelope(results: DataFrame) -> DataFrame:
-    """The `{batch_id, results: [...], total_results}` document of every batch, as lines."""
+def results_envelope(results: DataFrame, batches: DataFrame | None = None) -> DataFrame:
+    """The `{batch_id, results: [...], total_results}` document of every batch, as lines.
+
+    Batches listed in `batches` without results get an empty list.
+    """
     totals = results.groupBy("batch_id").agg(F.count("*").alias("_n"))
+    if batches is not None:
+        listed = batches.select("batch_id").distinct().join(totals, "batch_id", "left")
+        totals = listed.withColumn("_n", F.coalesce("_n", F.lit(0)))
     headers = totals.select(
         "batch_id", F.concat(_open_object("batch_id"), F.lit('"results":[')).alias("line")
     )

@@ -93,7 +93,11 @@ def document(path):
 
 
 def test_result_envelope_is_one_json_document_per_batch(spark, results, tmp_path):
-    sinks.write_document(reports.results_envelope(results.repartition(5)), str(tmp_path / "e"))
+    batches = spark.createDataFrame([("b0",), ("b1",), ("none",)], "batch_id string")
+    sinks.write_document(reports.results_envelope(results.repartition(5), batches), str(tmp_path / "e"))
+    assert json.loads(document(tmp_path / "e" / "batch_id=none")) == {
+        "batch_id": "none", "results": [], "total_results": 0,
+    }
     for batch in ("b0", "b1"):
         doc = json.loads(document(tmp_path / "e" / f"batch_id={batch}"))
         want = [i for i in range(len(AWKWARD)) if f"b{i % 2}" == batch]
