@@ -50,3 +50,20 @@ def held_out(key: str | Column, parts: int) -> Column:
     """Whether crc32 of the id as text leaves remainder 0; a null id counts as the empty text."""
     column = F.col(key) if isinstance(key, str) else key
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % parts == 0
+
+
+def fresh(taken: list[str], *wanted: str) -> list[str]:
+    """Column names that begin as wanted and that no column has yet, whatever their case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(frame: DataFrame, results: list[str]) -> DataFrame:
+    """The frame without columns that a result will replace."""
+    named = {r.lower() for r in results}
+    return frame.select(*[F.col(f"`{c}`") for c in frame.columns if c.lower() not in named])

@@ -6,7 +6,7 @@ are recovered backwards.  Spaces before a part that no piece joins to it follow
 spaces only; these share one score, so the leftmost pair is joined first.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows are
-answered one by one; other columns stay, and a clash with a result column raises an error.
+answered one by one; other columns stay, but a result column replaces one of its name.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkgauge.llm import bpe
+from talkgauge.llm.frames import fresh, without
 from talkgauge.llm.text import batches, column_bytes, gather, word_hashes
 
 _SPACE, _MARK = 0x20, "▁"
@@ -184,30 +185,30 @@ class _Spelling:
         return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", with_ids: bool = False) -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", with_ids: bool = False, with_text: bool = True) -> DataFrame:
     """Add ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``, and ``ids`` if asked for.
 
     ``ids_sha256`` is of the decimal ids joined by commas, ``decoded_sha256`` of the decoded text.
     The model's tables are bounded by its vocabulary and broadcast; the file is read on the driver.
     """
-    clash = {"n_tokens", "ids_sha256", "decoded_sha256", "ids", "_prepared"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"documents already have {sorted(clash)}")
-    shared = docs.sparkSession.sparkContext.broadcast(PieceModel.load(model_path))
-    # the model writes a space before every text and keeps its own sign for spaces as a space
-    value = F.coalesce(F.col(text), F.lit(""))
-    prepared = F.when(value == "", "").otherwise(F.concat(F.lit(" "), F.replace(value, F.lit(_MARK), F.lit(" "))))
     added = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     if with_ids:
         added.add("ids", T.ArrayType(T.IntegerType()))
-    schema = T.StructType([*docs.schema.fields, *added.fields])
+    value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    # the model writes a space before every text and keeps its own sign for spaces as a space
+    prepared = F.when(value == "", "").otherwise(F.concat(F.lit(" "), F.replace(value, F.lit(_MARK), F.lit(" "))))
+    (ready,) = fresh([*docs.columns, *added.names], "_prepared")
+    source = docs.withColumn(ready, prepared)
+    source = without(source, added.names if with_text else [*added.names, text])
+    shared = docs.sparkSession.sparkContext.broadcast(PieceModel.load(model_path))
+    schema = T.StructType([f for f in source.schema.fields if f.name != ready] + added.fields)
 
     def run(arrivals):
         model = shared.value
         letters = _Spelling(model.piece_bytes())
         numbers = _Spelling([b"%d," % i for i in range(len(model.pieces))])
-        for rows in batches(arrivals, "_prepared", _BATCH):
-            ids, ids_at, parts, at = encode_texts(model, rows["_prepared"])
+        for rows in batches(arrivals, ready, _BATCH):
+            ids, ids_at, parts, at = encode_texts(model, rows[ready])
             shown, spelled, sizes = numbers.of(ids, ids_at), letters.of(ids, ids_at), np.diff(ids_at)
             totals = np.concatenate(([0], np.cumsum(sizes[parts])))
             counts, shas, backs, lists = totals[at[1:]] - totals[at[:-1]], [], [], []
@@ -220,12 +221,12 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", with_ids
             columns = [pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(backs, pa.string())]
             if with_ids:
                 columns.append(pa.array(lists, pa.list_(pa.int32())))
-            kept = rows.drop_columns(["_prepared"])
+            kept = rows.drop_columns([ready])
             for name, column in zip(added.names, columns):
                 kept = kept.append_column(name, column)
             yield from kept.combine_chunks().to_batches()
 
-    return docs.withColumn("_prepared", prepared).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def decode_ids(model: PieceModel, ids: list[int]) -> str:

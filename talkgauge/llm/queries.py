@@ -7,18 +7,25 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talkgauge.llm import pieces
+from talkgauge.llm import decontaminate, oracle, pieces
 from talkgauge.llm.frames import table
 
 
 def op3_piece_ids(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return pieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+    return pieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), with_text=False)
+
+
+def op10_benchmark_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.find_benchmark(docs, table(spark, folder, "benchmark"), with_text=False)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_piece_ids": op3_piece_ids}
+    found = [op3_piece_ids, op10_benchmark_overlap]
+    return {f.__name__: f for f in found}
 
 
 def oracle_queries() -> dict[str, str]:
-    return {}
+    return {"op10_benchmark_overlap": oracle.OP10}
