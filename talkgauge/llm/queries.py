@@ -7,8 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talkgauge.llm import decontaminate, oracle, pieces
-from talkgauge.llm.frames import table
+from talkgauge.llm import decontaminate, language, oracle, pieces
+from talkgauge.llm.frames import held_out, table
+
+
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language.fit_language(docs.select("doc_id", "text", "lang"), ~held_out("doc_id", 5))
+    asked = docs.select("doc_id", held_out("doc_id", 5).alias("held_out"), "text")
+    return language.predict_language(asked, model, with_text=False)
 
 
 def op3_piece_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,7 +30,7 @@ def op10_benchmark_overlap(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_piece_ids, op10_benchmark_overlap]
+    found = [op1_language, op3_piece_ids, op10_benchmark_overlap]
     return {f.__name__: f for f in found}
 
 
