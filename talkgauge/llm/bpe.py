@@ -80,7 +80,6 @@ class Merges:
         self._automaton(reached)
         self.memo_keys = np.full(1 << 19, -1, dtype=np.int64)
         self.memo = np.zeros(1 << 19, dtype=bool)
-        del self._pairs
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("memo")}
@@ -91,7 +90,7 @@ class Merges:
         self.memo = np.zeros(1 << 19, dtype=bool)
 
     def may_follow(self, a: int, b: int) -> bool:
-        """The test for one pair, while the merges are still being collected."""
+        """The test for one pair."""
         limit = int(_NONE)
         rank, left, right, pairs = self.rank, self.left, self.right, self._pairs
         while True:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talkgauge.llm import decontaminate, language, oracle, pieces
+from talkgauge.llm import counts, decontaminate, language, oracle, pieces
 from talkgauge.llm.frames import held_out, table
 
 
@@ -23,6 +23,11 @@ def op3_piece_ids(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), with_text=False)
 
 
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), with_text=False)
+
+
 def op10_benchmark_overlap(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = decontaminate.find_benchmark(docs, table(spark, folder, "benchmark"), with_text=False)
@@ -30,7 +35,7 @@ def op10_benchmark_overlap(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language, op3_piece_ids, op10_benchmark_overlap]
+    found = [op1_language, op3_piece_ids, op5_token_counts, op10_benchmark_overlap]
     return {f.__name__: f for f in found}
 
 
