@@ -18,6 +18,7 @@ count one token each; repeated rows are answered one by one; a result column rep
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import unicodedata
@@ -249,12 +250,14 @@ class WordTokenizer:
 
     merges: bpe.Merges
     specials: list[str]
+    key: str  # digest of the file
 
     @classmethod
     def load(cls, path: str) -> WordTokenizer:
         """Read a file with merges of byte signs and word ends, lower case and dropped white space."""
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
+        with open(path, "rb") as file:
+            content = file.read()
+        spec = json.loads(content)
         vocabulary, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         specials = [t["content"] for t in spec["added_tokens"]]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
@@ -269,7 +272,7 @@ class WordTokenizer:
                     symbols[-1] += 256
                 tokens[number] = tuple(symbols)
         merges = [(vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in spec["model"]["merges"]]
-        return cls(bpe.Merges(tokens, merges), specials)
+        return cls(bpe.Merges(tokens, merges), specials, hashlib.sha256(content).hexdigest())
 
 
 class Counter:
@@ -317,7 +320,7 @@ def _lowered(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
-_COUNTERS: dict[int, Counter] = {}
+_COUNTERS: dict[str, Counter] = {}
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, text: str = "text", with_text: bool = True) -> DataFrame:
@@ -327,8 +330,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, text:
     source = without(docs.withColumn(value, F.col(f"`{text}`")), results if with_text else [*results, text])
     source = source.withColumn("n_bytes", F.coalesce(F.octet_length(value), F.lit(0)).cast("long"))
     schema = T.StructType([f for f in source.schema.fields if f.name != value] + [T.StructField("n_tokens", T.LongType())])
-    shared = docs.sparkSession.sparkContext.broadcast(WordTokenizer.load(tokenizer_path))
-    key = id(shared)
+    tokenizer = WordTokenizer.load(tokenizer_path)
+    shared, key = docs.sparkSession.sparkContext.broadcast(tokenizer), tokenizer.key
 
     def run(arrivals):
         from talkgauge.llm import counts

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talkgauge.llm import counts, decontaminate, language, oracle, pieces
+from talkgauge.llm import counts, decontaminate, language, oracle, pieces, toxicity
 from talkgauge.llm.frames import held_out, table
 
 
@@ -28,6 +28,13 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), with_text=False)
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, table(spark, folder, "labels"), ~held_out("doc_id", 5))
+    asked = docs.select("doc_id", held_out("doc_id", 5).alias("held_out"), "text")
+    return toxicity.score_toxicity(asked, model, with_text=False)
+
+
 def op10_benchmark_overlap(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = decontaminate.find_benchmark(docs, table(spark, folder, "benchmark"), with_text=False)
@@ -35,7 +42,7 @@ def op10_benchmark_overlap(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language, op3_piece_ids, op5_token_counts, op10_benchmark_overlap]
+    found = [op1_language, op3_piece_ids, op5_token_counts, op8_toxicity, op10_benchmark_overlap]
     return {f.__name__: f for f in found}
 
 
