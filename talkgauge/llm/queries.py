@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talkgauge.llm import counts, decontaminate, language, oracle, pieces, toxicity
+from talkgauge.llm import counts, decontaminate, language, near, oracle, pieces, toxicity
 from talkgauge.llm.frames import held_out, table
 
 
@@ -23,6 +23,11 @@ def op3_piece_ids(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), with_text=False)
 
 
+def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return near.near_duplicates(docs).select("doc_id", "class_id", "n_links", "linked_texts")
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), with_text=False)
@@ -42,7 +47,7 @@ def op10_benchmark_overlap(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language, op3_piece_ids, op5_token_counts, op8_toxicity, op10_benchmark_overlap]
+    found = [op1_language, op3_piece_ids, op4_near_duplicates, op5_token_counts, op8_toxicity, op10_benchmark_overlap]
     return {f.__name__: f for f in found}
 
 
