@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talkgauge.llm import counts, decontaminate, language, near, oracle, pieces, toxicity
+from talkgauge.llm import counts, decontaminate, language, near, oracle, pieces, ppm, toxicity
 from talkgauge.llm.frames import held_out, table
 
 
@@ -33,6 +33,10 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), with_text=False)
 
 
+def op7_matching_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return ppm.score_texts(table(spark, folder, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = toxicity.fit_toxicity(docs, table(spark, folder, "labels"), ~held_out("doc_id", 5))
@@ -47,7 +51,7 @@ def op10_benchmark_overlap(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language, op3_piece_ids, op4_near_duplicates, op5_token_counts, op8_toxicity, op10_benchmark_overlap]
+    found = [op1_language, op3_piece_ids, op4_near_duplicates, op5_token_counts, op7_matching_scores, op8_toxicity, op10_benchmark_overlap]
     return {f.__name__: f for f in found}
 
 
