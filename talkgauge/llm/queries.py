@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talkgauge.llm import counts, decontaminate, language, near, oracle, pieces, ppm, toxicity
+from talkgauge.llm import counts, decontaminate, language, near, oracle, pieces, ppm, topk, toxicity
 from talkgauge.llm.frames import held_out, table
 
 
@@ -44,6 +44,11 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_toxicity(asked, model, with_text=False)
 
 
+def op9_top_inner_products(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = topk.quantised(table(spark, folder, "embeddings"))
+    return topk.exact_top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def op10_benchmark_overlap(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = decontaminate.find_benchmark(docs, table(spark, folder, "benchmark"), with_text=False)
@@ -51,9 +56,9 @@ def op10_benchmark_overlap(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language, op3_piece_ids, op4_near_duplicates, op5_token_counts, op7_matching_scores, op8_toxicity, op10_benchmark_overlap]
+    found = [op1_language, op3_piece_ids, op4_near_duplicates, op5_token_counts, op7_matching_scores, op8_toxicity, op9_top_inner_products, op10_benchmark_overlap]
     return {f.__name__: f for f in found}
 
 
 def oracle_queries() -> dict[str, str]:
-    return {"op10_benchmark_overlap": oracle.OP10}
+    return {"op9_top_inner_products": oracle.OP9, "op10_benchmark_overlap": oracle.OP10}
