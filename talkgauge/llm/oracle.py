@@ -43,3 +43,25 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+OP2 = r"""
+WITH body AS (
+  SELECT page_id,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '')
+    || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+    || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '')
+    || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM pages
+),
+single AS (SELECT page_id, sha256(record) AS hash, strlen(record) AS length, count(*) AS copies FROM body GROUP BY ALL),
+placed AS (
+  SELECT *, CAST(('0x' || substr(hash, 1, 8)) AS BIGINT) % greatest(1, CAST(ceil((SELECT count(*) FROM single) / 1000) AS BIGINT)) AS archive FROM single
+),
+laid AS (
+  SELECT *, coalesce(sum(length) OVER (PARTITION BY archive ORDER BY hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset" FROM placed
+)
+SELECT CAST(archive AS BIGINT) AS archive, CAST("offset" AS BIGINT) AS "offset", page_id, CAST(copies AS BIGINT) AS copies,
+  CASE WHEN page_id % 97 = 5 THEN 'missing' ELSE 'corrupt' END AS status, CAST(length AS BIGINT) AS left_length,
+  hash AS left_hash
+FROM laid WHERE page_id % 61 = 7 OR page_id % 97 = 5
+"""

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from talkgauge.llm import counts, decontaminate, language, near, oracle, pieces, ppm, topk, toxicity
+from talkgauge.llm import counts, decontaminate, fixity, language, near, oracle, pieces, ppm, topk, toxicity
 from talkgauge.llm.frames import held_out, table
 
 
@@ -18,6 +19,17 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict_language(asked, model, with_text=False)
 
 
+def op2_replica_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Damage in a second replica of all pages: one page id in 61 overwritten, one in 97 lost."""
+    pages = table(spark, folder, "pages")
+    wrong, lost = (F.coalesce(F.col("page_id") % n == k, F.lit(False)) for n, k in ((61, 7), (97, 5)))
+    archives = fixity.page_archives(pages, wrong, lost)
+    left = archives.select("archive", "offset", "length", "hash")
+    right = archives.where("other_hash is not null").selectExpr("archive", "offset", "other_length AS length", "other_hash AS hash")
+    found = fixity.audit(left, right).drop("right_length", "right_hash")
+    return found.join(archives.select("archive", "offset", "page_id", "copies"), ["archive", "offset"])
+
+
 def op3_piece_ids(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return pieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), with_text=False)
@@ -56,9 +68,9 @@ def op10_benchmark_overlap(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language, op3_piece_ids, op4_near_duplicates, op5_token_counts, op7_matching_scores, op8_toxicity, op9_top_inner_products, op10_benchmark_overlap]
+    found = [op1_language, op2_replica_audit, op3_piece_ids, op4_near_duplicates, op5_token_counts, op7_matching_scores, op8_toxicity, op9_top_inner_products, op10_benchmark_overlap]
     return {f.__name__: f for f in found}
 
 
 def oracle_queries() -> dict[str, str]:
-    return {"op9_top_inner_products": oracle.OP9, "op10_benchmark_overlap": oracle.OP10}
+    return {"op2_replica_audit": oracle.OP2, "op9_top_inner_products": oracle.OP9, "op10_benchmark_overlap": oracle.OP10}
