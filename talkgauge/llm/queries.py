@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkgauge.llm import counts, decontaminate, fixity, language, near, oracle, pieces, ppm, topk, toxicity
+from talkgauge.llm import counts, decontaminate, fixity, language, licenses, near, oracle, pieces, ppm, topk, toxicity
 from talkgauge.llm.frames import held_out, table
 
 
@@ -45,6 +45,10 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), with_text=False)
 
 
+def op6_license_notices(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
 def op7_matching_scores(spark: SparkSession, folder: str) -> DataFrame:
     return ppm.score_texts(table(spark, folder, "documents"))
 
@@ -68,7 +72,7 @@ def op10_benchmark_overlap(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language, op2_replica_audit, op3_piece_ids, op4_near_duplicates, op5_token_counts, op7_matching_scores, op8_toxicity, op9_top_inner_products, op10_benchmark_overlap]
+    found = [op1_language, op2_replica_audit, op3_piece_ids, op4_near_duplicates, op5_token_counts, op6_license_notices, op7_matching_scores, op8_toxicity, op9_top_inner_products, op10_benchmark_overlap]
     return {f.__name__: f for f in found}
 
 
