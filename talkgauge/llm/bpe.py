@@ -19,7 +19,7 @@ class IntMap:
     """A fixed map from non-negative int64 keys to int32 values with vectorised look-ups."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length() + 1)
+        self.bits = max(4, int(1.6 * len(keys)).bit_length())  # 30 to 60 % of the places are taken
         size = 1 << self.bits
         self.keys = np.full(size, -1, dtype=np.int64)
         self.values = np.full(size, -1, dtype=np.int32)
