@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _GRAM = 3
+# Some pieces occur in most names; rows of one piece are spread over so many parts.
+_SHARES = 16
 
 
 def _grams_of(name: Column) -> Column:
@@ -17,7 +19,20 @@ def _grams_of(name: Column) -> Column:
         return F.when(F.length(name) >= size, cut).otherwise(F.array().cast("array<string>"))
 
     sizes = [pieces(size) for size in range(1, _GRAM + 1)]
-    return F.array_distinct(F.concat(F.array(F.lit("")), *sizes))
+    return F.array_distinct(F.concat(*sizes))
+
+
+def _of_categories(items: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Items of the categories that contain a pattern's category, by the pieces of category names."""
+    names = items.select("item_category").distinct().withColumn("_own", F.lower("item_category"))
+    pieces = F.concat(F.array(F.lit("")), _grams_of(F.col("_own")))
+    keyed = patterns.withColumn("_gram", F.substring("_category", 1, _GRAM))
+    found = (
+        names.select("*", F.explode(pieces).alias("_gram"))
+        .join(keyed, "_gram")
+        .filter(F.col("_own").contains(F.col("_category")))
+    )
+    return items.join(found.select("item_category", "_query", "_category"), "item_category")
 
 
 def catalog_search(catalog: DataFrame, searches: DataFrame) -> DataFrame:
@@ -28,24 +43,35 @@ def catalog_search(catalog: DataFrame, searches: DataFrame) -> DataFrame:
     `position` for catalogue order.  The substring test runs as an equi-join: the first
     three characters of the query (all of it when shorter) have to occur in the name, so
     they are looked up among the name's pieces and the candidates are then verified.
-    Equal searches are looked up once.
+    Equal searches are looked up once.  Each piece is spread over several parts of the
+    catalogue, to which its patterns are sent, and both sides are shuffled: the exploded
+    catalogue is far larger than its files, so no estimate of theirs may make it a broadcast.
+    An empty query asks for categories only, which are few, and needs no pieces of names.
     """
     wanted = searches.select(
         "search_id", F.lower("query").alias("_query"), F.lower("category").alias("_category")
     )
     patterns = wanted.select("_query", "_category").distinct()
-    keyed = patterns.withColumn("_gram", F.substring("_query", 1, _GRAM))
     items = catalog.select(
-        "item_id", "name", F.col("category").alias("item_category"), "price"
-    ).withColumn("_name", F.lower("name"))
-    pieces = items.withColumn("_gram", F.explode(_grams_of(F.col("_name"))))
-    matches = (
-        pieces.join(keyed, "_gram")
-        .filter(
-            F.col("_name").contains(F.col("_query"))
-            & F.lower("item_category").contains(F.col("_category"))
-        )
-        .drop("_gram", "_name")
+        "item_id",
+        "name",
+        F.col("category").alias("item_category"),
+        "price",
+        F.lower("name").alias("_name"),
+    )
+    share = F.pmod(F.xxhash64("item_id"), F.lit(_SHARES)).cast("int")
+    pieces = items.select("*", share.alias("_share"), F.explode(_grams_of(F.col("_name"))).alias("_gram"))
+    every_share = F.explode(F.array(*[F.lit(k) for k in range(_SHARES)]))
+    keyed = patterns.filter(F.col("_query") != "").select(
+        "*", F.substring("_query", 1, _GRAM).alias("_gram"), every_share.alias("_share")
+    )
+    by_name = pieces.hint("merge").join(keyed, ["_gram", "_share"]).filter(
+        F.col("_name").contains(F.col("_query"))
+        & F.lower("item_category").contains(F.col("_category"))
+    )
+    columns = ["_query", "_category", "item_id", "name", "item_category", "price"]
+    matches = by_name.select(*columns).unionByName(
+        _of_categories(items, patterns.filter(F.col("_query") == "")).select(*columns)
     )
     return wanted.join(matches, ["_query", "_category"]).select(
         "search_id",

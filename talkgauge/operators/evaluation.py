@@ -153,21 +153,37 @@ def join_evaluation(conversations: DataFrame, evaluations: DataFrame) -> DataFra
     return conversations.join(wanted, "session_id", "left")
 
 
+def whole_transcripts(parts: DataFrame) -> DataFrame:
+    """One text per session from its transcript parts, in order.
+
+    A request to an evaluator is one text whatever the number of messages and the order of
+    speakers; cut conversations first (`cut_at_end`), which bounds them by their turns.
+    """
+    pieces = F.array_sort(F.collect_list(F.struct("part", "transcript")))
+    return parts.groupBy("session_id").agg(
+        F.array_join(F.transform(pieces, lambda p: p["transcript"]), "").alias("transcript")
+    )
+
+
 def evaluator_request(transcripts: DataFrame, prompt: str) -> DataFrame:
-    """The two chat messages of an evaluation request, per transcript part."""
+    """The two chat messages of an evaluation request, one row per session.
+
+    `transcripts(session_id, part, transcript)` as `transcript_text` returns them.
+    """
 
     def message(role: str, content: Column) -> Column:
         return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
     messages = F.array(message("system", F.lit(prompt)), message("user", F.col("transcript")))
-    return transcripts.select("session_id", "part", messages.alias("messages"))
+    return whole_transcripts(transcripts).select("session_id", messages.alias("messages"))
 
 
 def evaluate_batch(conversations: DataFrame, judge: Callable[[str], str]) -> DataFrame:
     """Ask `judge` about every transcript, then read its replies.
 
-    `conversations(conversation_index, session_id, scenario, transcript)`; a judge that
-    raises fails only its own conversation.  Runs where the rows are, batch by batch.
+    `conversations(conversation_index, session_id, scenario, transcript)`, one row each with
+    its whole transcript (`whole_transcripts`); a judge that raises fails only its own
+    conversation.  Runs where the rows are, batch by batch.
     """
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

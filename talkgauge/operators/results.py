@@ -149,7 +149,8 @@ def csv_columns(
             return F.lit(value)
         return F.coalesce(F.col(column), F.lit(value))
 
-    start = text.iso_timestamp(F.col("start_time"))
+    known = "start_time" in results.columns
+    start = text.iso_timestamp(F.col("start_time")) if known else F.lit("")
     return [
         default("session_id", "").alias("session_id"),
         default("scenario", "").alias("scenario"),

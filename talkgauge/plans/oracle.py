@@ -327,7 +327,7 @@ SELECT u.session_id, COUNT(*) AS requests, CAST(SUM(u.total_tokens) AS BIGINT) A
 FROM usage u JOIN results r ON u.session_id = r.session_id
 WHERE r.batch_id = 'batch-1' GROUP BY u.session_id""",
     "write_results_ndjson": """
-SELECT session_id, '2024-02-01 12:00:00' AS export_timestamp, comment,
+SELECT batch_id, session_id, '2024-02-01 12:00:00' AS export_timestamp, comment,
        scenario IS NOT NULL AS has_scenario, duration_seconds IS NOT NULL AS has_duration,
        strftime(start_time, '%Y-%m-%dT%H:%M:%S.%f') AS start_time FROM results""",
     "write_results_csv": _csv(c.DEFAULT_PROMPT_VERSION, True),
@@ -409,9 +409,14 @@ SELECT batch_id, status, 100 * completed_scenarios / total_scenarios AS progress
        {_iso('started_at')} AS started_at, {_iso('completed_at')} AS completed_at, error_message
 FROM jobs""",
     "evaluator_request": f"""
-SELECT session_id, part, 'system' AS role, 'Grade the conversation.' AS content
-FROM ({_transcript('msgs')})
-UNION ALL SELECT session_id, part, 'user', transcript FROM ({_transcript('msgs')})""",
+SELECT session_id, 'system' AS role, 'Grade the conversation.' AS content
+FROM ({_transcript('kept')})
+UNION ALL SELECT session_id, 'user', transcript FROM ({_transcript('kept')})""",
+    "read_prompt_templates": """
+SELECT c_name, c_mktsegment AS template_name, 'rendered' AS render_status,
+       CASE WHEN c_mktsegment = 'MACHINERY' THEN 'You are a MACHINERY.'
+            ELSE 'You speak for ' || c_mktsegment || '.' || chr(10) || 'Greet ' || c_name || '!' END AS prompt
+FROM customer""",
     "request_cost": """
 SELECT session_id, msg_index, model, total_tokens, CAST(cost_estimate AS DOUBLE) AS cost_estimate
 FROM usage""",
@@ -644,7 +649,7 @@ _EXTRA_WITH = {
     "catalog_search": _SEARCHES,
     "catalog_search_totals": _SEARCHES,
     "customer_history": """
-bought AS (
+bought AS MATERIALIZED (
   SELECT o_custkey, l_partkey,
          row_number() OVER (PARTITION BY o_custkey ORDER BY SUM(l_quantity) DESC, l_partkey) AS place
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey)""",
@@ -658,10 +663,17 @@ kept AS (
 }
 
 
+_EXTRA_WITH["evaluator_request"] = _EXTRA_WITH["evaluate_batch"]
+# Queries over base tables alone, without the derived inputs above.
+_BASE_ONLY = {"customer_history"}
+
+
 def oracle_queries() -> dict[str, str]:
     statements = {}
     for name, select in _SELECTS.items():
         extra = _EXTRA_WITH.get(name)
         head = f"{_WITH.rstrip()},\n{extra.strip()}" if extra else _WITH
+        if name in _BASE_ONLY:
+            head = f"WITH {extra.strip()}"
         statements[name] = f"{head.strip()}\n{select.strip()}"
     return statements

@@ -268,6 +268,7 @@ def write_results_ndjson(i: Inputs) -> DataFrame:
     sinks.write_results_ndjson(i.results(), path, _exported_at())
     line = F.col("value")
     return i.spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.get_json_object(line, "$.batch_id").alias("batch_id"),
         F.get_json_object(line, "$.session_id").alias("session_id"),
         F.get_json_object(line, "$.export_timestamp").alias("export_timestamp"),
         F.get_json_object(line, "$.comment").alias("comment"),
@@ -406,6 +407,24 @@ def expired_batches(i: Inputs) -> DataFrame:
 # --- projections --------------------------------------------------------------
 
 
+@_query
+def read_prompt_templates(i: Inputs) -> DataFrame:
+    """Each customer's prompt from the template of their segment; one segment has no file."""
+    path = scratch_path(i.spark, "templates")
+    customers = i.table("customer").select("c_name", "c_mktsegment")
+    segments = customers.select("c_mktsegment").distinct()
+    text_of = F.concat(F.lit("You speak for "), "c_mktsegment", F.lit(".\nGreet {session_id}!"))
+    segments.filter(F.col("c_mktsegment") != "MACHINERY").select(
+        F.col("c_mktsegment").alias("template_name"), text_of.alias("value")
+    ).write.partitionBy("template_name").text(path)
+    names = [row[0] for row in segments.collect()]  # as many as there are templates
+    read = scenarios.read_prompt_templates(i.spark, path, names)
+    joined = customers.join(read, customers["c_mktsegment"] == read["template_name"])
+    empty = F.create_map().cast("map<string,string>")
+    prompt, status = templates.render(F.col("template"), empty, F.col("c_name"))
+    return joined.select("c_name", "template_name", prompt.alias("prompt"), status.alias("render_status"))
+
+
 @_query
 def render_prompts(i: Inputs) -> DataFrame:
     goal = F.concat(F.lit('[{"name":"{session_id}", "qty":'), F.col("c_nationkey").cast("string"), F.lit("}]"))
@@ -469,10 +488,11 @@ def job_status_view(i: Inputs) -> DataFrame:
 
 @_query
 def evaluator_request(i: Inputs) -> DataFrame:
+    kept = conversations.cut_at_end(i.messages(), FIRST_SPEAKER, **MARKERS)
     requests = evaluation.evaluator_request(
-        conversations.transcript_text(i.messages(), None, FIRST_SPEAKER), EVALUATOR_PROMPT
+        conversations.transcript_text(kept, None, FIRST_SPEAKER), EVALUATOR_PROMPT
     )
-    return requests.select("session_id", "part", F.inline("messages"))
+    return requests.select("session_id", F.inline("messages"))
 
 
 @_query
@@ -635,9 +655,8 @@ def evaluate_batch(i: Inputs) -> DataFrame:
         return '{"score":%d,"comment":"%d characters"}' % (1 + size % 4, size)
 
     kept = conversations.cut_at_end(i.messages(), FIRST_SPEAKER, **MARKERS)
-    # the turn limit bounds a conversation, so each is one part
-    transcripts = conversations.transcript_text(kept, None, FIRST_SPEAKER, 2 * c.MAX_TURNS + 1)
-    asked = transcripts.join(i.results(), "session_id").select(
+    transcripts = conversations.transcript_text(kept, None, FIRST_SPEAKER)
+    asked = evaluation.whole_transcripts(transcripts).join(i.results(), "session_id").select(
         F.col("scenario_index").alias("conversation_index"),
         F.when(F.col("scenario_index") % 10 != 9, F.col("session_id")).alias("session_id"),
         "scenario",

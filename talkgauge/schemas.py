@@ -1,11 +1,5 @@
 """Explicit schemas (DDL) of every record type, so that no read ever infers one."""
 
-SCENARIO = "scenario_index INT, name STRING, variables MAP<STRING, STRING>"
-
-MESSAGE = (
-    "session_id STRING, msg_index BIGINT, speaker STRING, content STRING, ts TIMESTAMP_NTZ"
-)
-
 RESULT = (
     "batch_id STRING, export_timestamp STRING, scenario_index BIGINT, scenario STRING,"
     " session_id STRING, prompt_version STRING, status STRING, error STRING,"
@@ -15,19 +9,12 @@ RESULT = (
 
 RESULT_CSV = (
     "session_id STRING, scenario STRING, prompt_version STRING, score INT, comment STRING,"
-    " turns INT, start_ts STRING, status STRING, duration_seconds DOUBLE,"
+    " total_turns INT, start_time TIMESTAMP_NTZ, status STRING, duration_seconds DOUBLE,"
     " evaluation_status STRING"
 )
 
-TOKEN_USAGE = (
-    "session_id STRING, model STRING, prompt_tokens BIGINT, completion_tokens BIGINT,"
-    " total_tokens BIGINT, cost_estimate DECIMAL(18,10), timestamp TIMESTAMP_NTZ"
-)
-
 CONVERSATION_LOG = (
     "session_id STRING, turn_number INT, role STRING, content STRING, tool_calls STRING,"
     " tool_results STRING, total_turns INT, final_score INT, evaluator_comment STRING,"
-    " status STRING, timestamp TIMESTAMP_NTZ, event_type STRING"
+    " status STRING, timestamp TIMESTAMP_NTZ, event_type STRING, _broken STRING"
 )
-
-PRICE = "model STRING, input_per_1k DECIMAL(12,8), output_per_1k DECIMAL(12,8)"

@@ -24,10 +24,14 @@ def prepare_session(spark: SparkSession) -> SparkSession:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path under the shared checkpoint folder that the session names.
 
-    Only a session that names none (a local test) falls back to a temporary folder.
+    Only a local session that names none (a test) falls back to a temporary folder; on a
+    cluster each executor would write to a disk of its own.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="talkgauge-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"

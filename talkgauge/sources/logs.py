@@ -48,10 +48,12 @@ def read_token_log(spark: SparkSession, path: str) -> DataFrame:
 def read_conversation_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(turn records, completion records) of conversation logs.
 
-    Completion records carry `event_type`; turn records do not.
+    Completion records carry `event_type`; turn records do not.  A line that does not parse
+    is skipped, as in token logs.
     """
     reader = spark.read.schema(schemas.CONVERSATION_LOG).option("timestampNTZFormat", TIMESTAMPS)
-    records = reader.json(path)
+    lines = reader.option("columnNameOfCorruptRecord", "_broken").json(path)
+    records = lines.filter(F.col("_broken").isNull())
     turns = records.filter(F.col("event_type").isNull()).select(
         "session_id", "turn_number", "role", "content", "tool_calls", "tool_results", "timestamp"
     )

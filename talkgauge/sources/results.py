@@ -14,27 +14,49 @@ _LISTING = "path STRING, modificationTime TIMESTAMP, length BIGINT"
 
 def read_results_ndjson(spark: SparkSession, path: str) -> DataFrame:
     """One result per line; blank lines are skipped, one bad line fails the load."""
-    return (
+    rows = (
         spark.read.schema(schemas.RESULT)
         .option("mode", "FAILFAST")
         .option("timestampNTZFormat", TIMESTAMPS)
         .json(path)
     )
+    return rows.drop("batch")  # the folder's name, when this library wrote the files
 
 
 def read_results_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Results from the ten-column CSV, under the names of the NDJSON fields."""
-    rows = (
-        spark.read.schema(schemas.RESULT_CSV)
-        .option("header", True)
+    """Results from a CSV with header, under the names of the NDJSON fields.
+
+    Columns are taken by their names, `turns` and `start_ts` for `total_turns` and
+    `start_time`; absent ones are NULL.  Numbers may be written as `2.0`; a cell that is not
+    empty and does not convert fails the load.
+    """
+    cells = (
+        spark.read.option("header", True)
         .option("escape", '"')
         .option("multiLine", True)
         .option("enforceSchema", False)
         .csv(path)
     )
-    return rows.withColumnsRenamed({"turns": "total_turns"}).withColumn(
-        "start_time", F.col("start_ts").try_cast("timestamp_ntz")
-    ).drop("start_ts")
+    own = {"total_turns": "turns", "start_time": "start_ts"}
+
+    def value(name: str, type_name: str) -> Column:
+        found = next((n for n in (name, own.get(name)) if n in cells.columns), None)
+        if found is None:
+            return F.lit(None).cast(type_name)
+        cell = F.nullif(F.trim(f"`{found}`"), F.lit(""))
+        if type_name == "STRING":
+            return F.col(f"`{found}`")
+        read = cell.try_cast("double" if type_name in ("INT", "DOUBLE") else type_name)
+        bad = read.isNull()
+        if type_name == "INT":
+            bad = bad | (read != F.floor(read))
+        message = F.concat(F.lit(f"{found} is not {type_name}: "), cell)
+        return F.when(cell.isNotNull() & bad, F.raise_error(message).cast(type_name)).otherwise(
+            read.cast(type_name)
+        )
+
+    fields = [field.strip().split(" ") for field in schemas.RESULT_CSV.split(",")]
+    return cells.select(*[value(name, type_name).alias(name) for name, type_name in fields])
 
 
 def load_results(spark: SparkSession, *paths: str) -> DataFrame:

@@ -89,13 +89,22 @@ def validate_scenarios(requests: DataFrame, text: str = "scenarios") -> DataFram
 def read_prompt_templates(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
     """`(template_name, template)` for the expected names, one `<name>.txt` file each.
 
-    A name without a file gets its fallback text.
+    A Spark job writes them as one-row folders `template_name=<name>` instead, whose closing
+    line break is not part of the text.  A name without a file gets its fallback text.
     """
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/template_name=([^/]+)/[^/]*$", 1)
     file_name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt$", 1)
+    written = folder != ""
     found = (
         spark.read.option("pathGlobFilter", "*.txt")
+        .option("recursiveFileLookup", True)
         .text(path, wholetext=True)
-        .select(file_name.alias("template_name"), F.col("value").alias("template"))
+        .select(
+            F.when(written, folder).otherwise(file_name).alias("template_name"),
+            F.when(written, F.regexp_replace("value", r"\n$", ""))
+            .otherwise(F.col("value"))
+            .alias("template"),
+        )
     )
     expected = spark.range(1).select(
         F.explode(F.array(*[F.lit(name) for name in names])).alias("template_name")

@@ -10,6 +10,7 @@ from talkgauge.operators import results as result_ops
 
 
 TIMESTAMPS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+CSV_FILE_ROWS = 1_000_000
 
 
 def _by_folder(df: DataFrame, *folders: str) -> DataFrame:
@@ -24,12 +25,14 @@ def write_results_ndjson(
     batch_id: str | None = None,
     keep_nulls: bool = False,
 ) -> None:
-    """One JSON object per line, in `batch_id=...` folders; rows' own values win.
+    """One JSON object per line, in `batch=...` folders; rows' own values win.
 
-    Absent fields are left out; `keep_nulls` writes them as null.
+    The batch id is in the folder name and in each record.  Absent fields are left out;
+    `keep_nulls` writes them as null.
     """
     stamped = result_ops.stamp_export(results, batch_id, exported_at)
-    writer = _by_folder(stamped, "batch_id").write.partitionBy("batch_id")
+    foldered = stamped.withColumn("batch", F.col("batch_id"))
+    writer = _by_folder(foldered, "batch").write.partitionBy("batch")
     writer.option("ignoreNullFields", not keep_nulls).option(
         "timestampNTZFormat", TIMESTAMPS
     ).mode("append").json(path)
@@ -39,11 +42,23 @@ def write_results_csv(
     results: DataFrame, path: str, prompt_version: str = c.DEFAULT_PROMPT_VERSION
 ) -> bool:
     """The ten-column CSV with header; writes nothing, and returns False, without rows."""
-    if results.isEmpty():
-        return False
-    rows = result_ops.csv_rows(results, prompt_version)
-    rows.write.option("header", True).option("escape", '"').mode("append").csv(path)
-    return True
+    return _write_csv(result_ops.csv_rows(results, prompt_version), path)
+
+
+def _write_csv(rows: DataFrame, path: str) -> bool:
+    """Rows are kept while they are looked at and written, so that they are computed once.
+
+    Files are limited in rows, since CSV with line breaks in cells is read a file at a time.
+    """
+    kept = rows.persist()
+    try:
+        if kept.isEmpty():
+            return False
+        writer = kept.write.option("header", True).option("escape", '"')
+        writer.option("maxRecordsPerFile", CSV_FILE_ROWS).mode("append").csv(path)
+        return True
+    finally:
+        kept.unpersist()
 
 
 def write_export(
@@ -83,11 +98,7 @@ def write_document(lines: DataFrame, path: str) -> None:
 
 def write_summary_csv(results: DataFrame, path: str) -> bool:
     """The existing summary columns as CSV; nothing without rows."""
-    if results.isEmpty():
-        return False
-    rows = result_ops.summary_columns(results)
-    rows.write.option("header", True).option("escape", '"').mode("append").csv(path)
-    return True
+    return _write_csv(result_ops.summary_columns(results), path)
 
 
 def append_logs(records: DataFrame, path: str, at: str = "timestamp") -> None:

@@ -6,8 +6,10 @@ Each function takes a streaming DataFrame and returns one; `run_available` and
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from talkgauge import constants as c
 
@@ -89,11 +91,23 @@ def run_upserts(
 ) -> DataFrame:
     """Process what has arrived in update mode; the latest row of each key wins.
 
-    Each micro-batch overwrites its own folder, so a repeated batch leaves no second copy.
+    Each micro-batch writes the rows of the one before, with its changes, to a folder of its
+    own, so a repeated batch leaves no second copy and the newest folder is the whole result.
+    Older folders are not read again and may be removed.  Keys are never dropped: leave out
+    finished batches in the stream if they are without number.
     """
+    schema = stream.schema
+
+    def stored(folder: str, kind: StructType) -> DataFrame:
+        try:
+            return spark.read.schema(kind).parquet(folder)
+        except AnalysisException:  # nothing has arrived yet
+            return spark.createDataFrame([], kind)
 
     def save(changed: DataFrame, epoch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        before = stored(f"{path}/epoch={epoch - 1}", schema)
+        kept = before.join(changed, keys, "left_anti").select(*schema.names)
+        kept.unionByName(changed).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     query = (
         stream.writeStream.outputMode("update")
@@ -103,10 +117,6 @@ def run_upserts(
         .start()
     )
     query.awaitTermination()
-    values = [name for name in stream.columns if name not in keys]
-    saved = spark.read.parquet(path)
-    return (
-        saved.groupBy(*keys)
-        .agg(F.max_by(F.struct(*values), "epoch").alias("_latest"))
-        .select(*keys, *[F.col(f"_latest.{name}").alias(name) for name in values])
-    )
+    saved = stored(path, StructType([*schema.fields, StructField("epoch", LongType())]))
+    newest = saved.agg(F.max("epoch")).first()[0]
+    return saved.filter(F.col("epoch") == F.lit(newest)).drop("epoch")

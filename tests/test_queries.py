@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry
+from talkgauge.plans.oracle import oracle_queries
+from talkgauge.plans.queries import registry
 from tests.compare import compare, duck
 
 FOLDER = "/root/testdata/sf0.001"
@@ -13,13 +15,14 @@ def con():
     return duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(registry()))
 def test_query_equals_sql(spark, con, name):
     assert compare(spark, con, name, FOLDER) is None
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry()) == set(oracle_queries())
+    assert set(registry()) <= set(entry.queries()) and set(oracle_queries()) <= set(entry.oracle_sql())
 
 
 def test_flagship_query(spark):
