@@ -97,7 +97,7 @@ class Inputs:
         sized = self.sessions().withColumn(
             "duration", F.expr("CASE WHEN conv_id % 11 <> 5 THEN cast(n_chars AS DOUBLE) / 8 END")
         )
-        return sized.join(starts, "conv_id").selectExpr(
+        return sized.join(starts, "conv_id", "left").selectExpr(
             "session_id",
             "conv_id AS scenario_index",
             "concat('batch-', cast(conv_id % 4 AS STRING)) AS batch_id",

@@ -69,7 +69,7 @@ results AS (
          e.ts AS start_time,
          CASE WHEN p.conv_id % 11 <> 5
               THEN e.ts + to_microseconds(p.n_chars * 125000) END AS end_time
-  FROM per_conv p JOIN events e ON e.event_id = p.conv_id),
+  FROM per_conv p LEFT JOIN events e ON e.event_id = p.conv_id),
 token_log AS (
   SELECT session_id, conv_id, msg_index, ts AS "timestamp",
          CASE conv_id % 5 WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'gpt-4' WHEN 2 THEN 'gpt-3.5-turbo'
@@ -550,6 +550,11 @@ FROM (SELECT DISTINCT batch_id FROM jobs) b LEFT JOIN (
   SELECT batch_id, {_COUNTS}, COUNT(*) FILTER (status = 'completed') / COUNT(*) AS success_rate,
          {_SCORE_STATS}, {_SCORES}, {_TURN_STATS}, {_DURATION_STATS}
   FROM results GROUP BY batch_id) s ON b.batch_id = s.batch_id""",
+    "summary_report_scenarios": f"""
+SELECT batch_id, scenario, COUNT(score) AS score_count, {_round('AVG(score)', 2)} AS score_mean,
+       {_round('AVG(duration_seconds)', 2)} AS duration_seconds_mean,
+       {_round('AVG(total_turns)', 2)} AS total_turns_mean
+FROM results WHERE scenario IS NOT NULL GROUP BY batch_id, scenario""",
     "console_summary": f"""
 SELECT batch_id, {_COUNTS},
        {_round("100 * (COUNT(*) FILTER (status = 'completed') / COUNT(*))", 1)} AS successful_pct,
@@ -603,9 +608,10 @@ FROM (SELECT batch_id, COUNT(*) AS conversations, AVG(duration_seconds) AS mean_
              MIN(start_time) AS a, MAX(end_time) AS b FROM results GROUP BY batch_id) r
 LEFT JOIN usage_by_batch u ON r.batch_id = u.batch_id""",
     "peak_concurrency": """
-SELECT batch_id, CAST(MAX(level) AS BIGINT) AS peak, MAX(level) > 1 AS over_limit
-FROM (SELECT batch_id, SUM(change) OVER (PARTITION BY batch_id ORDER BY moment, change) AS level
-      FROM (SELECT batch_id, start_time AS moment, 1 AS change FROM results WHERE end_time IS NOT NULL
+SELECT batch_id, CAST(MAX(level) AS BIGINT) AS peak, CAST(SUM(change) AS BIGINT) AS open_conversations,
+       MAX(level) > 1 AS over_limit
+FROM (SELECT batch_id, change, SUM(change) OVER (PARTITION BY batch_id ORDER BY moment, change) AS level
+      FROM (SELECT batch_id, start_time AS moment, 1 AS change FROM results WHERE start_time IS NOT NULL
             UNION ALL SELECT batch_id, end_time, -1 FROM results WHERE end_time IS NOT NULL))
 GROUP BY batch_id""",
     "order_total": """
@@ -642,6 +648,7 @@ WHERE s.msg_index = 0
   AND s.ts + INTERVAL 90 SECOND < least((SELECT MAX(ts) FROM flagged WHERE msg_index = 0),
                      (SELECT MAX(ts) FROM flagged WHERE ends)) - INTERVAL 10 MINUTE""",
 }
+_SELECTS["write_summary_json_scenarios"] = _SELECTS["summary_report_scenarios"]
 _SELECTS["list_batches"] = _SELECTS["job_status_view"]
 
 # Extra common table expressions that only some queries need.

@@ -308,6 +308,21 @@ def write_summary_json(i: Inputs) -> DataFrame:
     )
 
 
+@_query
+def write_summary_json_scenarios(i: Inputs) -> DataFrame:
+    """The body lines of the written summary documents, read back as JSON."""
+    path = scratch_path(i.spark, "summary")
+    at = F.lit(EXPORTED_AT).cast("timestamp_ntz")
+    sinks.write_document(reports.summary_document(i.results(), at), path)
+    body = i.spark.read.text(path).filter(F.col("value").rlike('^,?"'))
+    figures = "struct<score_count:bigint,score_mean:double,duration_seconds_mean:double,total_turns_mean:double>"
+    member = F.from_json(
+        F.concat(F.lit("{"), F.regexp_replace("value", "^,", ""), F.lit("}")), f"map<string,{figures}>"
+    )
+    found = body.select("batch_id", F.explode(member).alias("scenario", "f"))
+    return found.select("batch_id", "scenario", "f.*")
+
+
 @_query
 def write_summary_csv(i: Inputs) -> DataFrame:
     path = scratch_path(i.spark, "summary")
@@ -805,6 +820,12 @@ def summary_report(i: Inputs) -> DataFrame:
     return report.select("batch_id", *counts, *flat, "score_distribution.*")
 
 
+@_query
+def summary_report_scenarios(i: Inputs) -> DataFrame:
+    report = reports.summary_report(i.results(), i.jobs())
+    return report.select("batch_id", F.inline("scenario_performance"))
+
+
 @_query
 def console_summary(i: Inputs) -> DataFrame:
     return reports.console_summary(i.results())

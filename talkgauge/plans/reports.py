@@ -181,10 +181,10 @@ def scenario_performance(results: DataFrame, keys: Sequence[str] = ()) -> DataFr
 def summary_report(
     results: DataFrame, batches: DataFrame | None = None, completed_only: bool = False
 ) -> DataFrame:
-    """One nested record per batch; per-scenario figures are in `scenario_performance`.
+    """One nested record per batch, with the figures of its scenarios in order of their names.
 
-    Batches listed in `batches` without results get zeros.  `summary_document` puts both
-    tables together as the nested JSON document.
+    Batches listed in `batches` without results get zeros.  The scenarios of a batch are a
+    short list; for batches with very many use `scenario_performance`, which has them as rows.
     """
     rows = _kept(results, completed_only)
     keys = list(BATCH)
@@ -206,6 +206,12 @@ def summary_report(
         stats = stats.withColumn("turns_median", F.lit(0.0))
     if batches is not None:
         stats = batches.select("batch_id").distinct().join(stats, "batch_id", "left")
+    performance = _scenario_figures(rows, BATCH)
+    figures = F.struct(*[name for name in performance.columns if name != "batch_id"])
+    nested = performance.groupBy("batch_id").agg(
+        F.array_sort(F.collect_list(figures)).alias("scenario_performance")
+    )
+    stats = stats.join(nested, "batch_id", "left")
 
     def group(prefix: str, names: Sequence[str]) -> Column:
         return F.struct(*[F.col(f"{prefix}_{n}").alias(n) for n in names])
@@ -231,9 +237,14 @@ def summary_report(
             F.col("total_scenarios").isNotNull(),
             group("duration", ["mean", "median", "min", "max", "total"]),
         ).alias("duration_statistics"),
+        F.coalesce("scenario_performance", F.array().cast(nested.schema["scenario_performance"].dataType))
+        .alias("scenario_performance"),
     )
 
 
+_SHARES = 16
+
+
 def _json_lines(headers: DataFrame, members: DataFrame, footers: DataFrame) -> DataFrame:
     """Lines `(batch_id, section, position, line)` of one JSON text per batch.
 
@@ -242,8 +253,15 @@ def _json_lines(headers: DataFrame, members: DataFrame, footers: DataFrame) -> D
     `(batch_id, position, line)` with positions that are unique in the batch; a comma goes
     before each member but the first.
     """
-    first = members.groupBy("batch_id").agg(F.min("position").alias("_first"))
-    separated = members.join(first, "batch_id").select(
+    share = F.pmod(F.xxhash64("position"), F.lit(_SHARES)).cast("int")
+    every_share = F.explode(F.array(*[F.lit(k) for k in range(_SHARES)]))
+    first = (
+        members.groupBy("batch_id")
+        .agg(F.min("position").alias("_first"))
+        .withColumn("_share", every_share)
+    )
+    # a batch may hold most rows, so its members meet their first one in several parts
+    separated = members.withColumn("_share", share).join(first, ["batch_id", "_share"]).select(
         "batch_id",
         F.lit(1).alias("section"),
         "position",
@@ -300,7 +318,7 @@ def summary_document(
         "generated_at", text.iso_timestamp(generated_at)
     )
     filled = F.col("total_scenarios") > 0
-    fields = [name for name in summary.columns if name != "generated_at"]
+    fields = [n for n in summary.columns if n not in ("generated_at", "scenario_performance")]
     stamp = F.concat(
         F.lit('"generated_at":"'), F.col("generated_at"), F.lit('"}')
     )
@@ -449,11 +467,13 @@ def throughput_report(results: DataFrame, usage: DataFrame) -> DataFrame:
 def peak_concurrency(results: DataFrame, limit: int = c.CONCURRENCY_LIMIT) -> DataFrame:
     """Highest number of conversations of a batch that run at the same time.
 
+    A conversation without an end counts from its start on; `open_conversations` tells how
+    many there are.  One without a start counts nowhere.
     Starts and ends at one instant cancel out first.  Changes are then summed per second,
     and seconds per hour, so the running level of a batch is carried through three small
     orderings instead of one over all its events.
     """
-    spans = results.filter(F.col("start_time").isNotNull() & F.col("end_time").isNotNull())
+    spans = results.filter(F.col("start_time").isNotNull())
     changes = spans.select(
         "batch_id",
         F.inline(
@@ -462,7 +482,7 @@ def peak_concurrency(results: DataFrame, limit: int = c.CONCURRENCY_LIMIT) -> Da
                 F.struct(F.col("end_time").alias("at"), F.lit(-1).alias("change")),
             )
         ),
-    )
+    ).filter(F.col("at").isNotNull())
     instants = (
         changes.groupBy("batch_id", "at")
         .agg(F.sum("change").alias("change"))
@@ -498,7 +518,7 @@ def peak_concurrency(results: DataFrame, limit: int = c.CONCURRENCY_LIMIT) -> Da
     level = F.col("_inside") + F.col("second_level") + F.col("hour_level")
     return (
         levels.groupBy("batch_id")
-        .agg(F.max(level).alias("peak"))
+        .agg(F.max(level).alias("peak"), F.sum("change").alias("open_conversations"))
         .withColumn("over_limit", F.col("peak") > limit)
     )
 
