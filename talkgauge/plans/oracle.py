@@ -383,6 +383,16 @@ SELECT batch_id, COUNT(*) FILTER (status = 'completed') AS successful_scenarios,
 SELECT batch_id, status, {_iso('completed_at')} AS completed_at FROM jobs
 WHERE status IN ('completed', 'failed', 'cancelled')
   AND date_diff('microsecond', completed_at, TIMESTAMP '2024-01-16 00:00:00') > 24 * 3600000000""",
+    "kept_batches": """
+SELECT batch_id, status FROM jobs WHERE NOT coalesce(status IN ('completed', 'failed', 'cancelled')
+  AND date_diff('microsecond', completed_at, TIMESTAMP '2024-01-16 00:00:00') > 24 * 3600000000, FALSE)""",
+    "removed_batch_count": """
+SELECT COUNT(*) AS removed FROM jobs WHERE status IN ('completed', 'failed', 'cancelled')
+  AND date_diff('microsecond', completed_at, TIMESTAMP '2024-01-16 00:00:00') > 24 * 3600000000""",
+    "order_total_of_array": """
+SELECT l_orderkey AS order_id, CAST(SUM(CASE WHEN l_linenumber % 5 <> 0
+         THEN CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_quantity AS DECIMAL(12,2)) ELSE 0 END) AS DOUBLE) AS total_amount
+FROM lineitem GROUP BY l_orderkey""",
     "render_prompts": """
 SELECT c_name AS session_id,
        CASE WHEN c_custkey % 5 = 0

@@ -419,6 +419,18 @@ def expired_batches(i: Inputs) -> DataFrame:
     )
 
 
+@_query
+def kept_batches(i: Inputs) -> DataFrame:
+    now = F.lit(NOW).cast("timestamp_ntz")
+    return rows.kept_batches(i.jobs(), now).select("batch_id", "status")
+
+
+@_query
+def removed_batch_count(i: Inputs) -> DataFrame:
+    now = F.lit(NOW).cast("timestamp_ntz")
+    return rows.expired_batches(i.jobs(), now).agg(F.count("*").alias("removed"))
+
+
 # --- projections --------------------------------------------------------------
 
 
@@ -895,6 +907,19 @@ def order_total(i: Inputs) -> DataFrame:
     return _doubles(catalog.order_totals(orders, items), "total_amount")
 
 
+@_query
+def order_total_of_array(i: Inputs) -> DataFrame:
+    """The same totals from orders that carry their items as an array."""
+    item = F.struct(F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"))
+    given = F.when(F.col("l_linenumber") % 5 != 0, item)  # every fifth line has no price or quantity
+    absent = F.struct(F.lit(None).cast("double").alias("price"), F.lit(None).cast("double").alias("quantity"))
+    orders = i.table("lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(
+        F.collect_list(F.coalesce(given, absent)).alias("items")
+    )
+    totals = orders.select("order_id", catalog.order_total(F.col("items")).alias("total_amount"))
+    return _doubles(totals, "total_amount")
+
+
 # --- sorts and set operations -------------------------------------------------
 
 
