@@ -6,7 +6,8 @@ with them by stochastic gradient descent in numpy on the driver.  The sample for
 ``windows`` rows per language, one window of ``window_chars`` characters each, cut further to pieces of
 several lengths.  A second sample of the same size, not used for training, sets the temperature of the
 softmax and the score below which a prediction is rejected: the ``reject`` quantile of the scores of
-windows that are predicted rightly.
+windows that are predicted rightly, but at most ``MOST_THRESHOLD``, so that a text of two languages,
+whose score is near a half, is kept.
 
 Prediction covers every whole text and uses the text only.  Since the classifier is linear, embeddings
 and softmax weights are multiplied once; that table, of fixed size, is all that is broadcast.
@@ -32,8 +33,9 @@ from talkgauge.llm.text import batches, column_bytes
 BUCKETS = 1 << 16
 SIZES = (2, 3, 4)
 UNKNOWN = "und"
+MOST_THRESHOLD = 0.4
 _DIM = 16
-_BATCH = 4 << 20
+_BATCH = 2 << 20
 _PIECE = 1 << 18
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -153,7 +155,7 @@ def _calibrate(model: LanguageModel, raw: list[bytes], target: np.ndarray, rejec
     share = _softmax(logits / best)
     right = share.argmax(axis=1) == target
     if right.any():
-        model.threshold = float(np.quantile(share.max(axis=1)[right], reject))
+        model.threshold = min(MOST_THRESHOLD, float(np.quantile(share.max(axis=1)[right], reject)))
 
 
 def sample_windows(docs: DataFrame, languages: list[str], counts: dict[str, int], windows: int, window_chars: int, part: Column) -> list:
