@@ -32,7 +32,7 @@ from talkgauge.llm.text import batches, texts_words
 WINDOW = 13
 PART_WORDS = 1 << 21
 _SHARD = (1 << 20) - 2
-_BATCH = 8 << 20
+_BATCH = 4 << 20
 _HEAD = np.uint64(20)  # the upper 44 bits of a word's hash order the suffixes
 
 

@@ -25,7 +25,7 @@ from talkgauge.llm.frames import fresh, without
 from talkgauge.llm.text import batches, column_bytes, gather, word_hashes
 
 _SPACE, _MARK = 0x20, "▁"
-_BATCH = 12 << 20
+_BATCH = 4 << 20
 
 
 def _fields(data: bytes) -> list[tuple[int, int | bytes]]:

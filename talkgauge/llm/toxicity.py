@@ -33,8 +33,8 @@ from talkgauge.llm.text import LOWER, batches, column_bytes, gather, word_hashes
 WINDOW, STEP = 32, 16
 _BUCKETS = 1 << 15
 _WORD, _CHARS, _HIDDEN, _ATTEND = 8, 12, 10, 8
-_BATCH = 6 << 20
-_LANES = 2048
+_BATCH = 2 << 20
+_LANES = 1024
 
 
 @dataclass
