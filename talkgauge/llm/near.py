@@ -21,17 +21,19 @@ class has no other; a result column replaces one of its name.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkgauge.llm.frames import fresh, stored, without
 from talkgauge.llm.text import batches, shingle_hashes, texts_words
 
 SHINGLE = 5
-_BATCH = 4 << 20
+_BATCH = 2 << 20
 _LANE = 1 << 15
 _BLOCK = 256
 _TASK_ROWS = 2048
@@ -110,6 +112,18 @@ def _bitmap(nodes: DataFrame) -> np.ndarray:
     return out
 
 
+def _passes(nodes: DataFrame) -> Callable[[Column], Column]:
+    """A test that holds for all given nodes and for few others."""
+    shared = nodes.sparkSession.sparkContext.broadcast(_bitmap(nodes))
+
+    @F.pandas_udf("boolean")
+    def passes(node: pd.Series) -> pd.Series:
+        place = np.mod(node.to_numpy(), _FILTER_BITS)
+        return pd.Series(((shared.value[place >> 6] >> (place & 63)) & 1).astype(bool))
+
+    return passes
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The sorted set of runs of each wanted node, as bytes."""
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
@@ -240,10 +254,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = 0.8,
         "near-classes",
     )
     key, node, label, cls, n, texts = fresh([*docs.columns, *results], "_node", "_n", "_label", "_class", "_links", "_texts")
+    own = without(docs, results)
+    base = own.withColumn(key, F.when(F.col(f"`{text}`").isNotNull(), F.xxhash64(F.col(f"`{text}`"))))
+    # rows that are surely alone skip the join, so that their texts are not shuffled
+    maybe = F.col(key).isNotNull() & _passes(found)(F.coalesce(F.col(key), F.lit(0)))
     found = found.toDF(node, label, cls, n, texts)
-    base = without(docs.withColumn(key, F.xxhash64(F.col(f"`{text}`"))).withColumn(key, F.when(F.col(f"`{text}`").isNotNull(), F.col(key))), results)
-    out = base.join(found, F.col(key) == F.col(node), "left")
-    kept = [F.col(f"`{c}`") for c in base.columns if c != key]
+    joined = base.where(maybe).join(found.hint("merge"), F.col(key) == F.col(node), "left")
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema.fields]
+    out = joined.unionByName(base.where(~maybe).select("*", *nothing))
+    kept = [F.col(f"`{c}`") for c in own.columns]
     return out.select(
         *kept,
         F.when(F.col(label).isNull(), F.col("doc_id")).otherwise(F.col(cls)).alias("class_id"),
