@@ -1,6 +1,7 @@
 """License notices in texts, by how far each template helps to compress a block.
 
-A block is what surrounds words that notices use (``CUES``).  It is compressed with zstandard alone and
+A block is what surrounds words that notices use (``CUES``), as many words both ways as the longest notice
+may cover, whatever lines, blank lines and comment signs lie between.  It is compressed with zstandard alone and
 with each template as raw dictionary; templates are ranked by the share of bytes they save.  In this order
 each is confirmed by the exact differences of wording between template and block: at least ``MATCH`` of
 its words must stand there in order, with at most ``EXTRA`` as many words between them.  Spans of confirmed
@@ -16,6 +17,7 @@ from __future__ import annotations
 import difflib
 import re
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from talkgauge.llm.text import batches
 
-CUES = r"(?i)licen[sc]|copyright|rights reserved|warrant|redistribut|spdx|permission is hereby|public domain|merchantab"
+CUES = r"(?i)licen[sc]|copyright|rights[\W_]+reserved|warrant|redistribut|spdx|permission[\W_]+is[\W_]+hereby|public[\W_]+domain|merchantab"
 MATCH, EXTRA = 0.85, 0.25
 _BATCH = 4 << 20
 
@@ -67,25 +69,26 @@ TEMPLATES = {
 }
 
 _WORD = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
-_REACH = max(map(len, TEMPLATES.values())) + 200
+#: Words that a notice covers at most, those between its own included.
+_REACH = int((1 + EXTRA) * max(len(_WORD.findall(t)) for t in TEMPLATES.values())) + 1
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Spans around cues: their lines, but no further than a long notice reaches, joined where they touch."""
-    spans: list[list[int]] = []
+def word_spans(text: str) -> np.ndarray:
+    """Start and end of each word, a row each."""
+    return np.fromiter((x for m in _WORD.finditer(text) for x in m.span()), np.int64).reshape(-1, 2)
+
+
+def blocks(text: str, spans: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of words around cues: as far both ways as a notice reaches, over any line breaks, joined where they meet."""
+    out: list[list[int]] = []
     for cue in re.finditer(CUES, text):
-        low = max(text.rfind("\n", max(0, cue.start() - _REACH), cue.start()) + 1, cue.start() - _REACH, 0)
-        end = text.find("\n", cue.end(), cue.end() + _REACH)
-        high = min(len(text), cue.end() + _REACH) if end < 0 else end
-        if spans and low <= spans[-1][1] + 1:  # lines that follow one another belong together
-            spans[-1][1] = max(spans[-1][1], high)
+        low = max(0, int(np.searchsorted(spans[:, 1], cue.start(), side="right")) - _REACH)
+        high = min(len(spans), int(np.searchsorted(spans[:, 0], cue.end())) + _REACH)
+        if out and low <= out[-1][1]:
+            out[-1][1] = high
         else:
-            spans.append([low, high])
-    out = []
-    for low, high in spans:
-        step = 4 * _REACH
-        out += [(a, min(high, a + step + 2 * _REACH)) for a in range(low, max(low + 1, high - 2 * _REACH), step)]
-    return out
+            out.append([low, high])
+    return [(low, high) for low, high in out]
 
 
 class Scanner:
@@ -108,9 +111,11 @@ class Scanner:
     def scan(self, text: str) -> list[dict]:
         """Confirmed notices: span, template, share saved, share of its words found and the differing words."""
         found: list[dict] = []
-        for low, high in blocks(text):
-            block = text[low:high]
-            places = [(m.group().lower(), m.start() + low, m.end() + low) for m in _WORD.finditer(block)]
+        spans = word_spans(text)
+        step = 4 * _REACH
+        for low, high in ((a, min(high, a + step + 2 * _REACH)) for low, high in blocks(text, spans) for a in range(low, max(low + 1, high - 2 * _REACH), step)):
+            places = [(text[a:b].lower(), a, b) for a, b in spans[low:high].tolist()]
+            block = text[spans[low, 0] : spans[high - 1, 1]]
             taken = [(f["start"], f["end"]) for f in found]
             confirmed = []
             for gain, name, wording in self.ranked(block):

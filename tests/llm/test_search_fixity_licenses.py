@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import textwrap
+
 import numpy as np
 import pytest
 
@@ -123,3 +125,20 @@ def test_notices_and_their_differences(spark):
 def test_ranking_prefers_the_own_template():
     scanner = licenses.Scanner()
     assert all(scanner.ranked(wording)[0][1] == name for name, wording in licenses.TEMPLATES.items())
+
+
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+@pytest.mark.parametrize("sign", ["", "# ", " * ", "// "])
+def test_notices_wrapped_over_lines(name, sign):
+    wording = licenses.TEMPLATES[name]
+    lines = [sign + line for line in textwrap.wrap(wording, 16 if len(wording) < 120 else 70, break_on_hyphens=False, break_long_words=False)]
+    for text in ("\n".join(lines), f"\n{sign}\n\n".join(lines), "\r\n".join(lines)):
+        around = f"import os\n\n{text}\n\n\ndef main():\n    return 1\n"
+        (hit,) = licenses.Scanner().scan(around)
+        assert hit["template"] == name and hit["matched"] == 1 and not hit["missing"] and not hit["added"]
+        assert around[hit["start"] : hit["end"]].split() == text[len(sign) :].rstrip('./"').split()
+
+
+def test_wrapped_notices_pass_the_filter_of_texts(spark):
+    frame = spark.createDataFrame([(1, "/* All rights\n * reserved. */")], "doc_id bigint, text string")
+    assert [r.template for r in licenses.scan_licenses(frame).collect()] == ["reserved"]
