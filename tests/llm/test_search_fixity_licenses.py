@@ -142,3 +142,44 @@ def test_notices_wrapped_over_lines(name, sign):
 def test_wrapped_notices_pass_the_filter_of_texts(spark):
     frame = spark.createDataFrame([(1, "/* All rights\n * reserved. */")], "doc_id bigint, text string")
     assert [r.template for r in licenses.scan_licenses(frame).collect()] == ["reserved"]
+
+
+def found_in(text: str) -> list[tuple[str, str]]:
+    return [(f["template"], text[f["start"] : f["end"]]) for f in licenses.Scanner().scan(text)]
+
+
+def test_a_reworded_notice_before_an_exact_one():
+    exact, other = "Licensed under the Apache License, Version 2.0", "Licensed under the Apache Software License, Version 2.0"
+    assert found_in(f"{other}.\n{exact}.") == [("Apache-2.0", other), ("Apache-2.0", exact)]
+    assert found_in(f"{exact}.\n{other}.\n{exact}.") == [("Apache-2.0", exact), ("Apache-2.0", other), ("Apache-2.0", exact)]
+
+
+@pytest.mark.parametrize("step,matched", [(10, 79), (7, 75), (6, None)])
+def test_changes_spread_over_a_notice(step, matched):
+    words = licenses._words(NOTICE)
+    hits = licenses.Scanner().scan(" ".join("other" if k % step == step - 1 else w for k, w in enumerate(words)))
+    assert [f["matched"] for f in hits if f["template"] == "MIT-permission"] == ([matched / len(words)] if matched else [])
+
+
+def test_places_by_trying_every_range():
+    rng = np.random.default_rng(6)
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        return row[-1]
+
+    for _ in range(40):
+        wording = rng.choice(list("abcd"), 8).tolist()
+        words = rng.choice(list("abcde"), 30).tolist()
+        want = {(a, b): common(words[a:b], wording) for a in range(30) for b in range(a + 1, 31)}
+        want = {p: c for p, c in want.items() if c >= 0.85 * 8 and p[1] - p[0] - c <= 2}
+        got = {(a, b): c for a, b, c in licenses._places(wording, words)}
+        assert got.items() <= want.items()
+        assert all(any(a <= x and y <= b and c >= n for (x, y), c in got.items()) for (a, b), n in want.items())
+        for a, b in got:
+            missing, added = licenses._difference(wording, words[a:b])
+            assert 8 - len(missing) == b - a - len(added) == got[a, b]
