@@ -1,22 +1,23 @@
-"""License notices in texts, by how far each template helps to compress a block.
-
-A block is what surrounds words that notices use (``CUES``), as many words both ways as the longest notice
-may cover, whatever lines, blank lines and comment signs lie between.  It is compressed with zstandard alone and
-with each template as raw dictionary; templates are ranked by the share of bytes they save.  In this order
-each is confirmed by the exact differences of wording between template and block: at least ``MATCH`` of
-its words must stand there in order, with at most ``EXTRA`` as many words between them.  Every place where
-that holds is looked at, the places with the most words in order and then the fewest between first.  Spans of confirmed
-notices of one block do not overlap.
-
-Texts without such words are left in the JVM; a block is cut, with overlap, so that a comparison has a
-bounded size.  Defined results: null and empty texts have no notices; repeated rows are answered one by
-one; of templates that save the same share the first by name goes first.
+"""License notices in texts, by how far each template helps to compress the places where it may stand.
+
+Looked at is what surrounds words that notices use (``CUES``), as many words both ways as the longest notice
+may cover, whatever lines, blank lines and comment signs lie between.  A template may stand where at least
+``MATCH`` of its words stand in order, with at most ``EXTRA`` as many words between them; every such place
+is looked at, those with the most words in order and then the fewest between first.  What places that
+overlap one another cover is a block.  It is compressed with zstandard alone and with each of their
+templates as raw dictionary; places go to templates by the share of bytes these save, and are returned with
+the exact differences of wording.  Spans of notices do not overlap.
+
+Texts without such words are left in the JVM.  Defined results: null and empty texts have no notices;
+repeated rows are answered one by one; of templates that save the same share the first by name goes first;
+what a template saves only orders, and no template is left out for it.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,35 +103,57 @@ class Scanner:
             raw = zstandard.ZstdCompressionDict(_folded(wording).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.templates.append((name, _words(wording), zstandard.ZstdCompressor(level=9, dict_data=raw)))
 
-    def ranked(self, block: str) -> list[tuple[float, str, list[str]]]:
-        """Templates by the share of compressed bytes they save, none that saves nothing."""
+    def ranked(self, block: str, names: Collection[str] = ()) -> list[tuple[float, str, list[str]]]:
+        """Templates, all or those named, by the share of compressed bytes they save."""
         data = _folded(block).encode()
         alone = len(self.plain.compress(data))
-        gains = [((alone - len(c.compress(data))) / alone, name, words) for name, words, c in self.templates]
-        return sorted((g for g in gains if g[0] > 0), key=lambda g: (-g[0], g[1]))
+        gains = [((alone - len(c.compress(data))) / alone, name, words) for name, words, c in self.templates if not names or name in names]
+        return sorted(gains, key=lambda g: (-g[0], g[1]))
 
     def scan(self, text: str) -> list[dict]:
         """Confirmed notices: span, template, share saved, share of its words found and the differing words."""
         found: list[dict] = []
         spans = word_spans(text)
-        step = 4 * _REACH
-        for low, high in ((a, min(high, a + step + 2 * _REACH)) for low, high in blocks(text, spans) for a in range(low, max(low + 1, high - 2 * _REACH), step)):
-            places = [(text[a:b].lower(), a, b) for a, b in spans[low:high].tolist()]
-            words = [p[0] for p in places]
-            block = text[spans[low, 0] : spans[high - 1, 1]]
-            taken = [(f["start"], f["end"]) for f in found]
-            confirmed = []
-            for gain, name, wording in self.ranked(block):
-                for begin, end, count in _places(wording, words):
-                    start, stop = places[begin][1], places[end - 1][2]
-                    if all(stop <= a or start >= b for a, b in taken):
-                        missing, added = _difference(wording, words[begin:end])
-                        confirmed.append({"template": name, "gain": gain, "start": start, "end": stop, "matched": count / len(wording), "missing": missing, "added": added})
-                        taken.append((start, stop))
-            found += confirmed
+        for low, high in blocks(text, spans):
+            at = spans[low:high]
+            words = [text[a:b].lower() for a, b in at.tolist()]
+            open_places = {name: places for name, wording, _ in self.templates if (places := _places(wording, words))}
+            taken = bytearray(len(words))
+            while hits := sorted((*place, name) for name, places in open_places.items() for place in _apart(places, taken)):
+                for rivals in _meeting(hits):
+                    block = text[at[rivals[0][0], 0] : at[max(end for _, end, _, _ in rivals) - 1, 1]]
+                    for gain, name, wording in self.ranked(block, {r[3] for r in rivals}):
+                        for begin, end, count in (r[:3] for r in rivals if r[3] == name):
+                            if taken.find(1, begin, end) < 0:
+                                taken[begin:end] = bytes([1]) * (end - begin)
+                                missing, added = _difference(wording, words[begin:end])
+                                found.append({"start": int(at[begin, 0]), "end": int(at[end - 1, 1]), "template": name, "gain": gain, "matched": count / len(wording), "missing": missing, "added": added})
+                # a template whose place went to another one may still fit beside it
+                open_places = {name: [p for p in places if taken.find(1, p[0], p[1]) < 0] for name, places in open_places.items()}
         return sorted(found, key=lambda f: (f["start"], f["template"]))
 
 
+def _apart(places: list[tuple[int, int, int]], taken: bytearray) -> Iterator[tuple[int, int, int]]:
+    """Of places, best first, those that overlap neither a better one nor what is taken."""
+    used = bytearray(taken)
+    for begin, end, count in places:
+        if used.find(1, begin, end) < 0:
+            used[begin:end] = bytes([1]) * (end - begin)
+            yield begin, end, count
+
+
+def _meeting(hits: list[tuple[int, int, int, str]]) -> Iterator[list[tuple[int, int, int, str]]]:
+    """Groups of hits, sorted by begin, that overlap one another."""
+    group, reach = [hits[0]], hits[0][1]
+    for hit in hits[1:]:
+        if hit[0] >= reach:
+            yield group
+            group = []
+        group.append(hit)
+        reach = max(reach, hit[1])
+    yield group
+
+
 def _folded(text: str) -> str:
     return " ".join(text.lower().split())
 

@@ -183,3 +183,15 @@ def test_places_by_trying_every_range():
         for a, b in got:
             missing, added = licenses._difference(wording, words[a:b])
             assert 8 - len(missing) == b - a - len(added) == got[a, b]
+
+
+@pytest.mark.parametrize("name", ["reserved", "MIT", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0"])
+def test_notices_amid_many_cues_and_no_line_breaks(name):
+    rng = np.random.default_rng(9)
+    wording = licenses.TEMPLATES[name]
+    for _ in range(20):
+        words = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 10))) for _ in range(1400)]
+        words[::60] = ["copyright"] * len(words[::60])
+        middle = int(rng.integers(200, 1200))
+        text = " ".join([*words[:middle], wording, *words[middle:]])
+        assert found_in(text) == [(name, wording.rstrip("."))]
