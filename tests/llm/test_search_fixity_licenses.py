@@ -50,6 +50,30 @@ def test_top_k_of_few_rows(spark):
     assert [tuple(r) for r in topk.exact_top_k(two, two.where("vec_id = 0")).collect()] == [(0, 1, 7, 128 * 64)]
 
 
+def test_repeated_rows_and_ids_crowd_out_nothing(spark):
+    rows = [(k, [float(k), 1.0]) for k in range(60)] + [(70, [90.0, 1.0])] * 10 + [(71, [80.0 + k, 1.0]) for k in range(10)]
+    frame = topk.quantised(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    got = topk.exact_top_k(frame, frame.where("vec_id in (1, 59, 71)")).orderBy("query_id", "rank").collect()
+    found = {q: [r.vec_id for r in got if r.query_id == q] for q in (1, 59, 71)}
+    assert found == {1: [70, 71, 59, 58, 57], 59: [70, 71, 58, 57, 56], 71: [70, 59, 58, 57, 56]}
+
+
+@pytest.mark.parametrize("bucket", [4, 16, 512])
+def test_one_cell_with_many_rows_of_an_id(monkeypatch, bucket):
+    monkeypatch.setattr(topk, "BUCKET_ROWS", bucket)
+    rng = np.random.default_rng(12)
+    for spread in (3, 100):
+        base = rng.normal(0, 100, 4)
+        grid = np.round(base + rng.normal(0, spread, (400, 4)))
+        ids = rng.integers(0, 30, 400)
+        queries, asked = np.round(base + rng.normal(0, spread, (12, 4))), np.arange(12)
+        q, found, score = topk.bucket_search(ids, grid, asked, queries, 5)
+        for n in range(12):
+            scores = {i: int((grid[ids == i] @ queries[n]).max()) for i in set(ids.tolist()) - {n}}
+            want = sorted(scores.items(), key=lambda p: (-p[1], p[0]))[:5]
+            assert list(zip(found[q == n].tolist(), score[q == n].tolist())) == want
+
+
 def test_coordinates_never_lose_a_vector():
     rng = np.random.default_rng(8)
     base = rng.normal(0, 100, 16)
