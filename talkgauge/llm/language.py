@@ -5,9 +5,15 @@ hashed to ``BUCKETS`` embeddings; a text is their mean.  The softmax over langua
 with them by stochastic gradient descent in numpy on the driver.  The sample for it is bounded: at most
 ``windows`` rows per language, one window of ``window_chars`` characters each, cut further to pieces of
 several lengths.  A second sample of the same size, not used for training, sets the temperature of the
-softmax and the score below which a prediction is rejected: the ``reject`` quantile of the scores of
-windows that are predicted rightly, but at most ``MOST_THRESHOLD``, so that a text of two languages,
-whose score is near a half, is kept.
+softmax and the floors of rejection.
+
+A softmax says which language fits best and not whether any does: between two it never falls below a half,
+and for a text of two languages it is near that.  Texts are therefore rejected by familiarity, the mean logarithm
+of how common a text's runs are in the mean of all languages.  Its floor, for each class of lengths, lies
+between two sets of scores of the second sample.  To be kept are whole windows, pieces of them and texts
+of two languages; to be rejected are the same with shuffled bytes, and each language as seen by the others
+alone.  The floor is in the middle of the ``reject`` quantile of the former and the 1 - ``reject`` quantile
+of the latter, or, where these cross, that quantile of the former.
 
 Prediction covers every whole text and uses the text only.  Since the classifier is linear, embeddings
 and softmax weights are multiplied once; that table, of fixed size, is all that is broadcast.
@@ -33,8 +39,9 @@ from talkgauge.llm.text import batches, column_bytes
 BUCKETS = 1 << 16
 SIZES = (2, 3, 4)
 UNKNOWN = "und"
-MOST_THRESHOLD = 0.4
 _DIM = 16
+_LENGTHS = (6, 12, 24, 60, 150, 400)  # bytes of the pieces that set floors, beside whole windows
+_CLASSES = np.array([9, 18, 40, 100, 250, 800])  # bytes from which the next floor holds
 _BATCH = 2 << 20
 _PIECE = 1 << 18
 
@@ -61,14 +68,24 @@ def subwords(data: np.ndarray, size: int) -> np.ndarray:
 @dataclass
 class LanguageModel:
     languages: list[str]
-    table: np.ndarray  # BUCKETS x languages: embeddings times softmax weights, over the temperature
+    table: np.ndarray  # BUCKETS x languages: embeddings times softmax weights, over the temperature; last, familiarity
     bias: np.ndarray
-    threshold: float
+    floors: np.ndarray  # of familiarity, by class of lengths
 
     def probabilities(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of texts given as bytes and n + 1 offsets; a text of one byte has the prior only."""
+        return self.judged(data, at)[0]
+
+    def judged(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of texts, and whether they are familiar enough to be accepted."""
+        means = self.means(data, at)
+        familiar = means[:, -1] >= self.floors[np.searchsorted(_CLASSES, np.diff(at), side="right")]
+        return _softmax(means[:, :-1] + self.bias), familiar
+
+    def means(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Mean rows of the table over the runs of each text."""
         folded = np.frombuffer(data.tobytes().translate(_FOLD.tobytes()), dtype=np.uint8)
-        sums = np.zeros((len(at) - 1, len(self.languages)))
+        sums = np.zeros((len(at) - 1, self.table.shape[1]))
         counts = np.zeros(len(at) - 1)
         for size in SIZES:
             lows, highs = at[:-1], np.maximum(at[1:] - size + 1, at[:-1])
@@ -78,11 +95,11 @@ class LanguageModel:
                 if not len(ids):
                     continue
                 i, j = np.searchsorted(at, a, side="right") - 1, np.searchsorted(at, a + len(ids))
-                total = np.zeros((len(ids) + 1, len(self.languages)))
+                total = np.zeros((len(ids) + 1, self.table.shape[1]))
                 np.cumsum(self.table[ids], axis=0, out=total[1:])
                 low, high = np.clip(lows[i:j] - a, 0, len(ids)), np.clip(highs[i:j] - a, 0, len(ids))
                 sums[i:j] += total[high] - total[low]
-        return _softmax(sums / np.maximum(counts, 1)[:, None] + self.bias)
+        return sums / np.maximum(counts, 1)[:, None]
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -135,27 +152,85 @@ def train(texts: list[str], labels: list[str], check_texts: list[str], check_lab
             weight -= rate * 0.1 * np.outer(mean, gradient)
             bias -= rate * 0.1 * gradient
             embed[ids] -= rate * share[:, None] * back
-    model = LanguageModel(languages, embed @ weight, bias, 0.0)
+    common = _commonness(languages, texts, labels)
+    familiarity = np.log(common.mean(axis=0))
+    model = LanguageModel(languages, np.column_stack((embed @ weight, familiarity)), bias, np.full(len(_CLASSES) + 1, -np.inf))
     known = [(t, languages.index(x)) for t, x in zip(check_texts, check_labels) if x in languages]
     if known:
         cut = [(p, number) for t, number in known for p in _pieces([t], rng)]
-        _calibrate(model, [p for p, _ in cut], np.array([n for _, n in cut]), reject)
+        _calibrate(model, [p for p, _ in cut], np.array([n for _, n in cut]))
+        _set_floors(model, common, known, reject, rng)
     return model
 
 
-def _calibrate(model: LanguageModel, raw: list[bytes], target: np.ndarray, reject: float) -> None:
-    """Choose the temperature of least log loss, then the score of rejection."""
+def _commonness(languages: list[str], texts: list[str], labels: list[str]) -> np.ndarray:
+    """Share of each bucket among the runs of each language, half a run added."""
+    out = np.full((len(languages), BUCKETS), 0.5)
+    for text, label in zip(texts, labels):
+        folded = np.frombuffer(text.encode().translate(_FOLD.tobytes()), dtype=np.uint8)
+        for size in SIZES:
+            out[languages.index(label)] += np.bincount(subwords(folded, size), minlength=BUCKETS)
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def _set_floors(model: LanguageModel, common: np.ndarray, known: list[tuple[str, int]], reject: float, rng: np.random.Generator) -> None:
+    """Choose the floors of familiarity between texts to be kept and texts to be rejected."""
+    mixed = []
+    for text, number in known:
+        other, language = known[int(rng.integers(len(known)))]
+        if language != number:
+            mixed.append(text[: len(text) // 2] + " " + other[len(other) // 2 :])
+    kept = [(p, number) for text, number in [*known, *((t, -1) for t in mixed)] for p in _cut(text.encode(), rng)]
+    raw = [p for p, _ in kept]
+    shuffled = [rng.permutation(np.frombuffer(p, dtype=np.uint8)).tobytes() for p in raw]
+    scores = [_familiarity(model, raw), _familiarity(model, shuffled)]
+    sizes = [np.array([len(p) for p in raw])] * 2
+    if len(model.languages) > 1:
+        every = common.sum(axis=0)
+        for number in range(len(model.languages)):
+            own = [p for p, n in kept if n == number]
+            if own:
+                rest = np.log((every - common[number]) / (len(common) - 1))[:, None]
+                others = LanguageModel(model.languages, rest, model.bias, model.floors)
+                scores.append(_familiarity(others, own))
+                sizes.append(np.array([len(p) for p in own]))
+    kinds = [np.searchsorted(_CLASSES, n, side="right") for n in sizes]
+    strange, strange_kind = np.concatenate(scores[1:]), np.concatenate(kinds[1:])
+    for k in range(len(model.floors)):
+        good, bad = scores[0][kinds[0] == k], strange[strange_kind == k]
+        if len(good):
+            least, most = np.quantile(good, reject), np.quantile(bad, 1 - reject)
+            model.floors[k] = (least + most) / 2 if most < least else least
+    held = np.where(np.isfinite(model.floors))[0]
+    for k in np.where(~np.isfinite(model.floors))[0]:  # no text of this length to learn from
+        model.floors[k] = model.floors[held].min()
+
+
+def _cut(raw: bytes, rng: np.random.Generator) -> list[bytes]:
+    """A text whole and, from random places, in the lengths that set floors."""
+    out = [raw] if len(raw) > 1 else []
+    for length in _LENGTHS:
+        if len(raw) > length:
+            start = int(rng.integers(0, len(raw) - length + 1))
+            out.append(raw[start : start + length])
+    return out
+
+
+def _familiarity(model: LanguageModel, raw: list[bytes]) -> np.ndarray:
+    at = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
+    return model.means(np.frombuffer(b"".join(raw), dtype=np.uint8), at)[:, -1]
+
+
+def _calibrate(model: LanguageModel, raw: list[bytes], target: np.ndarray) -> None:
+    """Choose the temperature of least log loss."""
     at = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
     data = np.frombuffer(b"".join(raw), dtype=np.uint8)
     logits = np.log(np.maximum(model.probabilities(data, at), 1e-30))
     rows, temperatures = np.arange(len(target)), np.geomspace(0.25, 4, 33)
     loss = [-np.log(np.maximum(_softmax(logits / t)[rows, target], 1e-30)).mean() for t in temperatures]
     best = float(temperatures[int(np.argmin(loss))])
-    model.table, model.bias = model.table / best, model.bias / best
-    share = _softmax(logits / best)
-    right = share.argmax(axis=1) == target
-    if right.any():
-        model.threshold = min(MOST_THRESHOLD, float(np.quantile(share.max(axis=1)[right], reject)))
+    model.table[:, :-1] /= best
+    model.bias = model.bias / best
 
 
 def sample_windows(docs: DataFrame, languages: list[str], counts: dict[str, int], windows: int, window_chars: int, part: Column) -> list:
@@ -203,10 +278,10 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, text: str = "
             known = rows[letters].to_numpy()
             names, scores, accepted = np.full(len(known), UNKNOWN, dtype=object), np.zeros(len(known)), np.zeros(len(known), bool)
             if model is not None and len(known):
-                share = model.probabilities(*column_bytes(rows[value]))
+                share, familiar = model.judged(*column_bytes(rows[value]))
                 names = np.where(known, np.array(model.languages, dtype=object)[share.argmax(axis=1)], UNKNOWN)
                 scores = np.where(known, share.max(axis=1), 0.0)
-                accepted = known & (scores >= model.threshold)
+                accepted = known & familiar
             out = rows.drop_columns([value, letters])
             for name, column in zip(results, (pa.array(names, pa.string()), pa.array(scores), pa.array(accepted))):
                 out = out.append_column(name, column)

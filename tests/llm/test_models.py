@@ -43,6 +43,20 @@ def test_language_does_not_depend_on_pieces(monkeypatch):
     assert np.allclose(whole.sum(axis=1), 1)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rejection_between_two_languages(seed):
+    rng = random.Random(seed)
+    rows = [(prose(rng, lang, rng.randint(5, 150)), lang) for _ in range(150) for lang in ("en", "de")]
+    texts, labels = zip(*rows)
+    model = language.train(texts[:150], labels[:150], texts[150:], labels[150:])
+    asked = [prose(rng, lang, 60) for _ in range(40) for lang in ("en", "de")]
+    mixed = [a + " " + b for a, b in zip(asked[::2], asked[1::2])]
+    shuffled = ["".join(rng.sample(t, len(t))) for t in asked]
+    strange = [" ".join("".join(rng.choice(["qu", "zo", "vle", "kwa", "ñi"]) for _ in range(3)) for _ in range(60)) for _ in range(40)]
+    shares = [model.judged(*column_bytes(pa.array(t)))[1].mean() for t in (asked, mixed, shuffled, strange)]
+    assert shares == [1, 1, 0, 0]
+
+
 def bad_texts(n: int, seed: int) -> list[tuple[str, int]]:
     rng, out = random.Random(seed), []
     for k in range(n):
