@@ -246,10 +246,12 @@ def sample_windows(docs: DataFrame, languages: list[str], counts: dict[str, int]
 def fit_language(docs: DataFrame, learn: Column, windows: int = 400, window_chars: int = 1500, most_languages: int = 500, reject: float = 0.001) -> LanguageModel | None:
     """Fit on the rows of (doc_id, text, lang) where ``learn`` holds; None if there are none.
 
-    The languages are the ``most_languages`` commonest values of ``lang``.
+    All values of ``lang`` are learnt; more than ``most_languages`` raise an error.
     """
     known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages + 1).collect()
+    if len(common) > most_languages:
+        raise ValueError(f"more than {most_languages} languages to learn: pass a higher most_languages")
     if not common:
         return None
     counts = {r["lang"]: r["count"] for r in common}

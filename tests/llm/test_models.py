@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from talkgauge.llm import language, ppm, toxicity
 from talkgauge.llm.frames import held_out
@@ -57,6 +58,14 @@ def test_rejection_between_two_languages(seed):
     assert shares == [1, 1, 0, 0]
 
 
+def test_no_language_is_left_out(spark):
+    docs = spark.createDataFrame([(k, f"text {k}", f"l{k}") for k in range(4)] + [(9, "more", "l0")], "doc_id bigint, text string, lang string")
+    every = F.lit(True)
+    assert language.fit_language(docs, every, most_languages=4) is not None
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        language.fit_language(docs, every, most_languages=3)
+
+
 def bad_texts(n: int, seed: int) -> list[tuple[str, int]]:
     rng, out = random.Random(seed), []
     for k in range(n):
