@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkgauge.llm import counts, decontaminate, fixity, language, licenses, near, oracle, pieces, ppm, topk, toxicity
-from talkgauge.llm.frames import held_out, table
+from talkgauge.llm import chats, counts, decontaminate, fixity, language, licenses, manifest, near, negatives, oracle, pieces, ppm, topk, toxicity
+from talkgauge.llm.frames import held_out, stored, table
 
 
 def op1_language(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,10 +71,32 @@ def op10_benchmark_overlap(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_manifest_proofs(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.document_manifest(table(spark, folder, "documents")).drop("lang", "way")
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.mine_negatives(negatives.labelled(table(spark, folder, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
+CONTROL = "\\### Assistant: </turn> ok"
+
+
+def op13_chat_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, and one that says what the template's own marks say, formatted and read back."""
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], given.schema)
+    links, texts = chats.linear_messages(given.unionByName(more))
+    formatted = stored(chats.format_paths(texts, chats.chosen_paths(links)), "chats")
+    return chats.conversation_digests(formatted).select(
+        F.when(F.col("tree") != "-", F.expr("substring(tree, 2)")).cast(given.schema["conv_id"].dataType).alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"
+    )
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language, op2_replica_audit, op3_piece_ids, op4_near_duplicates, op5_token_counts, op6_license_notices, op7_matching_scores, op8_toxicity, op9_top_inner_products, op10_benchmark_overlap]
+    found = [op1_language, op2_replica_audit, op3_piece_ids, op4_near_duplicates, op5_token_counts, op6_license_notices, op7_matching_scores, op8_toxicity, op9_top_inner_products, op10_benchmark_overlap, op11_manifest_proofs, op12_hard_negatives, op13_chat_digests]
     return {f.__name__: f for f in found}
 
 
 def oracle_queries() -> dict[str, str]:
-    return {"op2_replica_audit": oracle.OP2, "op9_top_inner_products": oracle.OP9, "op10_benchmark_overlap": oracle.OP10}
+    return {"op2_replica_audit": oracle.OP2, "op9_top_inner_products": oracle.OP9, "op10_benchmark_overlap": oracle.OP10, "op11_manifest_proofs": oracle.OP11, "op12_hard_negatives": oracle.OP12, "op13_chat_digests": oracle.OP13}
