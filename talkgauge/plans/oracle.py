@@ -275,6 +275,13 @@ _PERCENTS = ", ".join(
     for s in c.VALID_SCORES
 )
 
+# Each request with the requests of the second before it, itself included.
+_PEAKS = """COUNT(*) AS requests, MAX(rate) AS peak,
+  COUNT(*) FILTER (rate > 1) AS busy_requests, MAX(rate) > 1 AS over_limit
+FROM (SELECT date_trunc('second', a.ts) AS second, a.event_id, COUNT(*) AS rate
+      FROM events a JOIN events b ON b.ts <= a.ts AND b.ts > a.ts - INTERVAL 1 SECOND GROUP BY 1, 2)
+GROUP BY second"""
+
 _SELECTS: dict[str, str] = {
     "read_scenarios": """
 SELECT CAST(c_custkey // 10000 AS BIGINT) AS chunk,
@@ -657,6 +664,24 @@ WHERE s.msg_index = 0
                   AND e.ts BETWEEN s.ts AND s.ts + INTERVAL 90 SECOND)
   AND s.ts + INTERVAL 90 SECOND < least((SELECT MAX(ts) FROM flagged WHERE msg_index = 0),
                      (SELECT MAX(ts) FROM flagged WHERE ends)) - INTERVAL 10 MINUTE""",
+    "stream_exchange_timeout": f"""
+SELECT session_id, MIN(msg_index) AS cut_index, {_iso('MIN(started)')} AS started_at,
+       MIN(epoch_us(previous) - epoch_us(started)) / 1000000 AS elapsed_seconds
+FROM (SELECT *, first_value(ts) OVER w AS started, lag(ts) OVER w AS previous FROM flagged
+      WINDOW w AS (PARTITION BY session_id ORDER BY msg_index))
+WHERE speaker = 'client' AND previous > started + INTERVAL 90 SECOND
+  AND ts <= (SELECT MAX(ts) FROM flagged) - INTERVAL 10 MINUTE
+GROUP BY session_id""",
+    "stream_request_rate": f"""
+SELECT {_iso('second')} AS second, requests, requests > 1 AS over_limit
+FROM (SELECT date_trunc('second', ts) AS second, COUNT(*) AS requests FROM events GROUP BY 1)
+WHERE second + INTERVAL 1 SECOND <= (SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE""",
+    "request_peaks": f"SELECT {_iso('second')} AS second, {_PEAKS}",
+    "stream_request_peaks": f"""SELECT {_iso('second')} AS second, {_PEAKS}
+HAVING second <= (SELECT date_trunc('second', MAX(ts)) FROM events) + INTERVAL 1 SECOND - INTERVAL 10 MINUTE""",
+    "stream_append_logs": """
+SELECT event_type AS model, strftime(ts, '%Y-%m-%d') AS log_date, COUNT(*) AS requests,
+       CAST(SUM(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY 1, 2""",
 }
 _SELECTS["write_summary_json_scenarios"] = _SELECTS["summary_report_scenarios"]
 _SELECTS["list_batches"] = _SELECTS["job_status_view"]

@@ -17,6 +17,7 @@ from talkgauge.plans import reports
 from talkgauge.plans.inputs import FIRST_SPEAKER, MARKERS, Inputs
 from talkgauge.session import scratch_path
 from talkgauge.sources import logs, results as files, scenarios, sinks
+from talkgauge.streaming import appends, rates, timeouts
 from talkgauge.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -981,3 +982,41 @@ def stream_conversation_timeout(i: Inputs) -> DataFrame:
     late = streams.stream_conversation_timeout(starts, ends)
     out = streams.run_available(late, f"{path}/out", f"{path}/checkpoint")
     return _iso(out, "started_at", "deadline")
+
+
+@_query
+def stream_exchange_timeout(i: Inputs) -> DataFrame:
+    path = scratch_path(i.spark, "stream")
+    cuts = timeouts.stream_exchange_timeout(i.message_stream(), FIRST_SPEAKER, "10 minutes", TIMEOUT_SECONDS)
+    timeouts.run_stateful(i.spark, cuts, f"{path}/out", f"{path}/checkpoint")
+    return _iso(i.spark.read.schema(cuts.schema).parquet(f"{path}/out"), "started_at")
+
+
+@_query
+def stream_request_rate(i: Inputs) -> DataFrame:
+    path = scratch_path(i.spark, "stream")
+    rated = rates.stream_request_rate(i.event_stream(), limit=1)
+    return _iso(streams.run_available(rated, f"{path}/out", f"{path}/checkpoint"), "second")
+
+
+@_query
+def request_peaks(i: Inputs) -> DataFrame:
+    return _iso(rates.request_peaks(i.table("events"), limit=1), "second")
+
+
+@_query
+def stream_request_peaks(i: Inputs) -> DataFrame:
+    path = scratch_path(i.spark, "stream")
+    out = rates.run_request_peaks(i.spark, i.event_stream(), f"{path}/out", f"{path}/checkpoint", limit=1)
+    return _iso(out, "second")
+
+
+@_query
+def stream_append_logs(i: Inputs) -> DataFrame:
+    path = scratch_path(i.spark, "stream")
+    usage = i.event_usage(i.event_stream())
+    appends.start_append_logs(usage, f"{path}/out", f"{path}/checkpoint", at="ts").awaitTermination()
+    stored = appends.read_appended_logs(i.spark, f"{path}/out", usage.schema)
+    return stored.groupBy("model", F.col("log_date").cast("string").alias("log_date")).agg(
+        F.count("*").alias("requests"), F.sum("total_tokens").alias("tokens")
+    )

@@ -6,12 +6,11 @@ Each function takes a streaming DataFrame and returns one; `run_available` and
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from talkgauge import constants as c
+from talkgauge.streaming import upserts
 
 
 def stream_token_usage(
@@ -87,36 +86,25 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
 
 def run_upserts(
-    spark: SparkSession, stream: DataFrame, keys: list[str], path: str, checkpoint: str
+    spark: SparkSession,
+    stream: DataFrame,
+    keys: list[str],
+    path: str,
+    checkpoint: str,
+    buckets: int = upserts.BUCKETS,
 ) -> DataFrame:
     """Process what has arrived in update mode; the latest row of each key wins.
 
-    Each micro-batch writes the rows of the one before, with its changes, to a folder of its
-    own, so a repeated batch leaves no second copy and the newest folder is the whole result.
-    Older folders are not read again and may be removed.  Keys are never dropped: leave out
-    finished batches in the stream if they are without number.
+    Each micro-batch writes the keys it changed to an `UpsertLog`, which reads as the newest row of every key.  Keys are
+    never dropped: leave out finished batches in the stream if they are without number.
     """
-    schema = stream.schema
-
-    def stored(folder: str, kind: StructType) -> DataFrame:
-        try:
-            return spark.read.schema(kind).parquet(folder)
-        except AnalysisException:  # nothing has arrived yet
-            return spark.createDataFrame([], kind)
-
-    def save(changed: DataFrame, epoch: int) -> None:
-        before = stored(f"{path}/epoch={epoch - 1}", schema)
-        kept = before.join(changed, keys, "left_anti").select(*schema.names)
-        kept.unionByName(changed).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-
+    log = upserts.UpsertLog(spark, path, stream.schema, keys, buckets)
     query = (
         stream.writeStream.outputMode("update")
-        .foreachBatch(save)
+        .foreachBatch(log.write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    saved = stored(path, StructType([*schema.fields, StructField("epoch", LongType())]))
-    newest = saved.agg(F.max("epoch")).first()[0]
-    return saved.filter(F.col("epoch") == F.lit(newest)).drop("epoch")
+    return log.read()
