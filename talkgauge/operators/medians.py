@@ -79,8 +79,7 @@ def _of_doubles(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame
     group = [*keys, "_metric"]
     values = _values(df, keys, columns)
     bracket = values.groupBy(*group).agg(
-        F.count("*").alias("_total"),
-        F.percentile_approx("_value", list(_BRACKET), _ACCURACY).alias("_q"),
+        F.percentile_approx("_value", list(_BRACKET), _ACCURACY).alias("_q")
     )
     # 0 below the bracket, 1 to _STEPS inside it, its end in the last step, _STEPS + 1 above
     low, high = F.col("_q")[0], F.col("_q")[1]
@@ -91,20 +90,21 @@ def _of_doubles(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame
         .when(low == high, 1)
         .otherwise(F.least(inside, F.lit(_STEPS)))
     )
-    counts = values.groupBy(*group, "_value").agg(F.count("*").alias("_n"))
-    placed = counts.join(bracket.drop("_total"), group).withColumn("_step", step).drop("_q")
-    steps = placed.groupBy(*group, "_step").agg(F.sum("_n").alias("_in_step"))
-    order = Window.partitionBy(*group).orderBy("_step")
-    until = F.sum("_in_step").over(order)
+    placed = values.join(bracket, group).withColumn("_step", step).drop("_q")
+    # counted in the tasks first: a group has as many rows here as steps, however many values it has
+    steps = placed.groupBy(*group, "_step").agg(F.count("*").alias("_in_step"))
+    whole = Window.partitionBy(*group)
+    until, total = F.sum("_in_step").over(whole.orderBy("_step")), F.sum("_in_step").over(whole)
     chosen = (
-        steps.withColumn("_until", until)
-        .join(bracket.drop("_q"), group)
+        steps.withColumns({"_until": until, "_total": total})
         .filter(_middle(F.col("_until") - F.col("_in_step") + 1, F.col("_until"), F.col("_total")))
         .select(*group, "_step", "_total", (F.col("_until") - F.col("_in_step")).alias("_below"))
     )
+    # only the values of these steps are shuffled
+    found = [*group, "_step", "_below", "_total"]
+    counts = placed.join(chosen, [*group, "_step"]).groupBy(*found, "_value").agg(F.count("*").alias("_n"))
     in_order = Window.partitionBy(*group, "_step").orderBy("_value")
-    last = F.col("_below") + F.sum("_n").over(in_order)
-    ranked = placed.join(chosen, [*group, "_step"]).withColumn("_last", last)
+    ranked = counts.withColumn("_last", F.col("_below") + F.sum("_n").over(in_order))
     missed = F.col("_step").isin(0, _STEPS + 1)
     return (
         ranked.filter(_middle(F.col("_last") - F.col("_n") + 1, F.col("_last"), F.col("_total")))

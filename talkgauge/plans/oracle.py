@@ -683,6 +683,10 @@ HAVING second <= (SELECT date_trunc('second', MAX(ts)) FROM events) + INTERVAL 1
 SELECT event_type AS model, strftime(ts, '%Y-%m-%d') AS log_date, COUNT(*) AS requests,
        CAST(SUM(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY 1, 2""",
 }
+_SELECTS["summary_states"] = f"""
+SELECT * EXCLUDE (duration_median), CASE WHEN duration_total > 0 THEN TRUE END AS median_in_bound
+FROM ({_SELECTS["summary_report"]})"""
+_SELECTS["summary_states_scenarios"] = _SELECTS["summary_report_scenarios"]
 _SELECTS["write_summary_json_scenarios"] = _SELECTS["summary_report_scenarios"]
 _SELECTS["list_batches"] = _SELECTS["job_status_view"]
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from talkgauge import constants as c
 from talkgauge.functions import templates, text
 from talkgauge.operators import catalog, conversations, costs, evaluation, results as rows
-from talkgauge.plans import reports
+from talkgauge.plans import reports, states
 from talkgauge.plans.inputs import FIRST_SPEAKER, MARKERS, Inputs
 from talkgauge.session import scratch_path
 from talkgauge.sources import logs, results as files, scenarios, sinks
@@ -816,9 +816,8 @@ def scenario_performance(i: Inputs) -> DataFrame:
     return reports.scenario_performance(i.results())
 
 
-@_query
-def summary_report(i: Inputs) -> DataFrame:
-    report = reports.summary_report(i.results(), i.jobs())
+def _flat(report: DataFrame) -> DataFrame:
+    """A nested report without its scenarios."""
     nested = {
         "score": "score_statistics",
         "turns": "turn_statistics",
@@ -833,12 +832,50 @@ def summary_report(i: Inputs) -> DataFrame:
     return report.select("batch_id", *counts, *flat, "score_distribution.*")
 
 
+@_query
+def summary_report(i: Inputs) -> DataFrame:
+    report = reports.summary_report(i.results(), i.jobs())
+    return _flat(report)
+
+
 @_query
 def summary_report_scenarios(i: Inputs) -> DataFrame:
     report = reports.summary_report(i.results(), i.jobs())
     return report.select("batch_id", F.inline("scenario_performance"))
 
 
+def _stored_states(i: Inputs) -> states.States:
+    """States of all results, stored by the day of their start, the second half after the first."""
+    path = scratch_path(i.spark, "states")
+    results = i.results()
+    day = F.coalesce(F.to_date("start_time"), F.lit("1970-01-01").cast("date"))
+    for half in (0, 1):
+        some = results.filter(F.dayofyear(day) % 2 == half)
+        states.write_states(states.report_states(some, day), path)
+    return states.read_states(i.spark, path)
+
+
+@_query
+def summary_states(i: Inputs) -> DataFrame:
+    """The report from stored states, and whether the rank of its median of durations is within its bound."""
+    report = _flat(states.report_from_states(_stored_states(i), i.jobs()))
+    timed = i.results().select("batch_id", "duration_seconds").filter(F.col("duration_seconds").isNotNull())
+    ranks = timed.join(report.select("batch_id", "duration_median"), "batch_id").groupBy("batch_id").agg(
+        F.avg((F.col("duration_seconds") < F.col("duration_median")).cast("int")).alias("_below"),
+        F.avg((F.col("duration_seconds") <= F.col("duration_median")).cast("int")).alias("_upto"),
+    )
+    bound = states.rank_error(states.SKETCH_SIZE)
+    near = (F.col("_below") <= 0.5 + bound) & (F.col("_upto") >= 0.5 - bound)
+    checked = report.join(ranks.select("batch_id", near.alias("median_in_bound")), "batch_id", "left")
+    return checked.drop("duration_median")
+
+
+@_query
+def summary_states_scenarios(i: Inputs) -> DataFrame:
+    report = states.report_from_states(states.merge_states(_stored_states(i)))
+    return report.select("batch_id", F.inline("scenario_performance"))
+
+
 @_query
 def console_summary(i: Inputs) -> DataFrame:
     return reports.console_summary(i.results())

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, ShortType
 
 from talkgauge import constants as c
 from talkgauge.functions import numbers, text
@@ -90,10 +91,31 @@ def _std_or_zero(stats: DataFrame) -> DataFrame:
     )
 
 
+def _counted(results: DataFrame, columns: dict[str, str]) -> dict[str, str]:
+    """Those {result column: name} whose values are whole numbers of 32 bits at most."""
+    whole = (ByteType, ShortType, IntegerType)
+    return {c: name for c, name in columns.items() if isinstance(results.schema[c].dataType, whole)}
+
+
+def _counted_medians(results: DataFrame, columns: dict[str, str]) -> list[Column]:
+    """`<name>_median` of scores and turns, in the same aggregation as other figures.
+
+    The exact percentile keeps a count per different value.  Scores have few; for k different numbers of turns
+    there have to be k * k / 2 messages, so a million million messages give 1.4 million.
+    """
+    return [
+        F.coalesce(F.percentile(column, 0.5), F.lit(0.0)).alias(f"{name}_median")
+        for column, name in _counted(results, columns).items()
+    ]
+
+
 def _with_medians(
     stats: DataFrame, results: DataFrame, keys: Sequence[str], columns: dict[str, str]
 ) -> DataFrame:
-    """Join `<name>_median` for each {result column: name}; 0 where a group has no value."""
+    """Join `<name>_median` for each {result column: name} that was not counted; 0 where a group has no value."""
+    columns = {c: name for c, name in columns.items() if c not in _counted(results, columns)}
+    if not columns:
+        return stats
     medians = grouped_medians(results, keys, list(columns))
     renamed = medians.select(
         *keys, *[F.col(f"{column}_median").alias(f"{name}_median") for column, name in columns.items()]
@@ -124,8 +146,9 @@ def score_stats(
     Failed rows carry score 1 and count, unless `completed_only` is set.
     """
     rows = _kept(results, completed_only)
-    stats = _std_or_zero(rows.groupBy(*keys).agg(*_score_columns()))
-    return _with_medians(stats, rows, keys, {"score": "score"})
+    medians = {"score": "score"}
+    stats = rows.groupBy(*keys).agg(*_score_columns(), *_counted_medians(rows, medians))
+    return _with_medians(_std_or_zero(stats), rows, keys, medians)
 
 
 def score_distribution(results: DataFrame, keys: Sequence[str] = BATCH) -> DataFrame:
@@ -143,11 +166,12 @@ def score_order(results: DataFrame) -> DataFrame:
 
 
 def turn_stats(results: DataFrame, keys: Sequence[str] = BATCH) -> DataFrame:
-    stats = results.groupBy(*keys).agg(*_turn_columns(results))
     name = turns_column(results)
+    medians = {name: "turns"} if name else {}
+    stats = results.groupBy(*keys).agg(*_turn_columns(results), *_counted_medians(results, medians))
     if name is None:
         return stats.withColumn("turns_median", F.lit(0.0))
-    return _with_medians(stats, results, keys, {name: "turns"})
+    return _with_medians(stats, results, keys, medians)
 
 
 def duration_stats(results: DataFrame, keys: Sequence[str] = BATCH) -> DataFrame:
@@ -188,6 +212,10 @@ def summary_report(
     """
     rows = _kept(results, completed_only)
     keys = list(BATCH)
+    medians = {"score": "score", "duration_seconds": "duration"}
+    turns = turns_column(rows)
+    if turns:
+        medians[turns] = "turns"
     stats = _std_or_zero(
         rows.groupBy(*keys).agg(
             *_count_columns(),
@@ -195,23 +223,27 @@ def summary_report(
             *_distribution_columns(),
             *_turn_columns(rows),
             *_duration_columns(),
+            *_counted_medians(rows, medians),
         )
     )
-    medians = {"score": "score", "duration_seconds": "duration"}
-    turns = turns_column(rows)
-    if turns:
-        medians[turns] = "turns"
     stats = _with_medians(stats, rows, keys, medians)
     if not turns:
         stats = stats.withColumn("turns_median", F.lit(0.0))
-    if batches is not None:
-        stats = batches.select("batch_id").distinct().join(stats, "batch_id", "left")
     performance = _scenario_figures(rows, BATCH)
     figures = F.struct(*[name for name in performance.columns if name != "batch_id"])
     nested = performance.groupBy("batch_id").agg(
         F.array_sort(F.collect_list(figures)).alias("scenario_performance")
     )
-    stats = stats.join(nested, "batch_id", "left")
+    return nested_report(stats, nested, batches)
+
+
+def nested_report(
+    stats: DataFrame, scenarios: DataFrame, batches: DataFrame | None = None
+) -> DataFrame:
+    """The nested record of each batch from flat figures and its scenarios' array."""
+    if batches is not None:
+        stats = batches.select("batch_id").distinct().join(stats, "batch_id", "left")
+    stats = stats.join(scenarios, "batch_id", "left")
 
     def group(prefix: str, names: Sequence[str]) -> Column:
         return F.struct(*[F.col(f"{prefix}_{n}").alias(n) for n in names])
@@ -237,7 +269,7 @@ def summary_report(
             F.col("total_scenarios").isNotNull(),
             group("duration", ["mean", "median", "min", "max", "total"]),
         ).alias("duration_statistics"),
-        F.coalesce("scenario_performance", F.array().cast(nested.schema["scenario_performance"].dataType))
+        F.coalesce("scenario_performance", F.array().cast(scenarios.schema["scenario_performance"].dataType))
         .alias("scenario_performance"),
     )
 
