@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _GRAM = 3
-# Some pieces occur in most names; rows of one piece are spread over so many parts.
-_SHARES = 16
+# Postings of one piece that a single task looks up.
+SHARE_ROWS = 1_000_000
 
 
 def _grams_of(name: Column) -> Column:
@@ -35,18 +37,77 @@ def _of_categories(items: DataFrame, patterns: DataFrame) -> DataFrame:
     return items.join(found.select("item_category", "_query", "_category"), "item_category")
 
 
-def catalog_search(catalog: DataFrame, searches: DataFrame) -> DataFrame:
+class Index(NamedTuple):
+    """An inverted index of a catalogue's names.
+
+    `postings(piece, item_id)` has each piece of up to three characters with the items that contain it,
+    `frequencies(piece, n)` how many those are.
+    """
+
+    postings: DataFrame
+    frequencies: DataFrame
+
+
+def name_index(catalog: DataFrame) -> Index:
+    """The index of `catalog(item_id, name)`; only ids are exploded."""
+    postings = catalog.select("item_id", F.explode(_grams_of(F.lower("name"))).alias("piece"))
+    return Index(postings, postings.groupBy("piece").agg(F.count("*").alias("n")))
+
+
+def write_index(index: Index, path: str) -> None:
+    """Store an index; postings are gathered by piece, so that a file holds few and its statistics prune."""
+    index.postings.repartitionByRange("piece", "item_id").sortWithinPartitions("piece", "item_id").write.parquet(f"{path}/postings")
+    index.frequencies.write.parquet(f"{path}/frequencies")
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(*[spark.read.parquet(f"{path}/{name}") for name in Index._fields])
+
+
+def rarest_pieces(queries: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """`_piece` and its frequency `_n` for each `_query`: of all its pieces the one that fewest names contain.
+
+    A query of less than three characters is its own piece.  A piece that no name contains has
+    frequency 0, and its query no match.
+    """
+    own = F.col("_query")
+    starts = F.sequence(F.lit(1), F.greatest(F.length(own) - (_GRAM - 1), F.lit(1)))
+    pieces = F.array_distinct(F.transform(starts, lambda i: F.substring(own, i, F.lit(_GRAM))))
+    cut = queries.select("_query").distinct().select("_query", F.explode(pieces).alias("piece"))
+    counted = cut.join(frequencies, "piece", "left").select("_query", "piece", F.coalesce("n", F.lit(0)).alias("n"))
+    best = counted.groupBy("_query").agg(F.min(F.struct("n", "piece")).alias("_best"))
+    return best.select("_query", F.col("_best.piece").alias("_piece"), F.col("_best.n").alias("_n"))
+
+
+def _candidates(index: Index, chosen: DataFrame, share_rows: int) -> DataFrame:
+    """`(_query, item_id)` of the items that contain a query's chosen piece.
+
+    A piece of n postings is dealt to n / share_rows parts, to each of which its queries are sent; ordinary
+    pieces have one.  There are at most as many dealt pieces as share_rows fit into all postings.
+    """
+    shares = F.ceil(F.col("n") / F.lit(share_rows)).cast("int")
+    frequent = index.frequencies.filter(F.col("n") > share_rows).select("piece", shares.alias("_shares"))
+    share = F.pmod(F.xxhash64("item_id"), F.coalesce("_shares", F.lit(1))).cast("int")
+    dealt = index.postings.join(frequent, "piece", "left").select("piece", "item_id", share.alias("_share"))
+    parts = F.greatest(F.ceil(F.col("_n") / F.lit(share_rows)).cast("int"), F.lit(1))
+    asked = chosen.filter(F.col("_n") > 0).select(
+        "_query", F.col("_piece").alias("piece"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_share")
+    )
+    return dealt.join(asked, ["piece", "_share"]).select("_query", "item_id")
+
+
+def catalog_search(
+    catalog: DataFrame, searches: DataFrame, index: Index | None = None, share_rows: int = SHARE_ROWS
+) -> DataFrame:
     """Items whose name contains the query and whose category contains the category.
 
     `catalog(item_id, name, category, price)`, `searches(search_id, query, category)`;
     matching ignores case and an empty text matches everything.  One row per match, with
-    `position` for catalogue order.  The substring test runs as an equi-join: the first
-    three characters of the query (all of it when shorter) have to occur in the name, so
-    they are looked up among the name's pieces and the candidates are then verified.
-    Equal searches are looked up once.  Each piece is spread over several parts of the
-    catalogue, to which its patterns are sent, and both sides are shuffled: the exploded
-    catalogue is far larger than its files, so no estimate of theirs may make it a broadcast.
-    An empty query asks for categories only, which are few, and needs no pieces of names.
+    `position` for catalogue order.  The substring test runs as equi-joins over an inverted index
+    (`name_index`, or a stored one): each query looks up the rarest of its pieces, which gives ids of
+    candidates; only those meet their names, categories and prices, and are verified.  Equal
+    searches are looked up once.  An empty query asks for categories only, which are few, and needs no
+    index.
     """
     wanted = searches.select(
         "search_id", F.lower("query").alias("_query"), F.lower("category").alias("_category")
@@ -59,16 +120,11 @@ def catalog_search(catalog: DataFrame, searches: DataFrame) -> DataFrame:
         "price",
         F.lower("name").alias("_name"),
     )
-    share = F.pmod(F.xxhash64("item_id"), F.lit(_SHARES)).cast("int")
-    pieces = items.select("*", share.alias("_share"), F.explode(_grams_of(F.col("_name"))).alias("_gram"))
-    every_share = F.explode(F.array(*[F.lit(k) for k in range(_SHARES)]))
-    keyed = patterns.filter(F.col("_query") != "").select(
-        "*", F.substring("_query", 1, _GRAM).alias("_gram"), every_share.alias("_share")
-    )
-    by_name = pieces.hint("merge").join(keyed, ["_gram", "_share"]).filter(
-        F.col("_name").contains(F.col("_query"))
-        & F.lower("item_category").contains(F.col("_category"))
-    )
+    index = index or name_index(catalog)
+    named = patterns.filter(F.col("_query") != "")
+    found = _candidates(index, rarest_pieces(named, index.frequencies), share_rows)
+    verified = found.join(items, "item_id").filter(F.col("_name").contains(F.col("_query")))
+    by_name = verified.join(named, "_query").filter(F.lower("item_category").contains(F.col("_category")))
     columns = ["_query", "_category", "item_id", "name", "item_category", "price"]
     matches = by_name.select(*columns).unionByName(
         _of_categories(items, patterns.filter(F.col("_query") == "")).select(*columns)

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import Accumulator
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkgauge import constants as c
 from talkgauge.functions import numbers, strict_json, text
+from talkgauge.sources.commits import Folder
 
 
 def parse_evaluation(replies: DataFrame, raw: str = "raw") -> DataFrame:
@@ -178,6 +181,16 @@ def evaluator_request(transcripts: DataFrame, prompt: str) -> DataFrame:
     return whole_transcripts(transcripts).select("session_id", messages.alias("messages"))
 
 
+def _named(conversations: DataFrame) -> DataFrame:
+    index = F.col("conversation_index").cast("string")
+    return conversations.select(
+        "conversation_index",
+        F.coalesce("session_id", F.concat(F.lit("unknown_"), index)).alias("session_id"),
+        F.coalesce("scenario", F.lit("unknown")).alias("scenario"),
+        "transcript",
+    )
+
+
 def evaluate_batch(conversations: DataFrame, judge: Callable[[str], str]) -> DataFrame:
     """Ask `judge` about every transcript, then read its replies.
 
@@ -198,14 +211,7 @@ def evaluate_batch(conversations: DataFrame, judge: Callable[[str], str]) -> Dat
                     errors.append(str(error))
             yield frame.drop(columns="transcript").assign(raw=replies, request_error=errors)
 
-    named = conversations.select(
-        "conversation_index",
-        F.coalesce(
-            "session_id", F.concat(F.lit("unknown_"), F.col("conversation_index").cast("string"))
-        ).alias("session_id"),
-        F.coalesce("scenario", F.lit("unknown")).alias("scenario"),
-        "transcript",
-    )
+    named = _named(conversations)
     replies = named.mapInPandas(
         ask,
         "conversation_index BIGINT, session_id STRING, scenario STRING, raw STRING,"
@@ -214,6 +220,69 @@ def evaluate_batch(conversations: DataFrame, judge: Callable[[str], str]) -> Dat
     return evaluate_replies(replies)
 
 
+REPLIES = "session_id STRING, digest STRING, raw STRING, request_error STRING"
+
+
+def stored_replies(spark: SparkSession, path: str) -> DataFrame:
+    """One reply per session and digest of what was asked; an answer wins over a failed request."""
+    replies = spark.read.schema(REPLIES).parquet(path) if Folder(spark, path).files() else spark.createDataFrame([], REPLIES)
+    best = F.max_by(F.struct("raw", "request_error"), F.struct(F.col("request_error").isNull(), "raw"))
+    return replies.groupBy("session_id", "digest").agg(best.alias("_r")).select("session_id", "digest", "_r.*")
+
+
+def evaluate_stored(
+    conversations: DataFrame,
+    judge: Callable[[str], str],
+    path: str,
+    prompt: str = "",
+    in_flight: int = 4,
+    task_rows: int = 200,
+    retry_failed: bool = False,
+    answered: Accumulator | None = None,
+) -> DataFrame:
+    """`evaluate_batch` that goes on where it was stopped: replies are kept under `path`.
+
+    A reply belongs to a session and the digest of prompt and transcript, so a changed prompt or transcript is
+    asked anew, and equal requests of one session once.  Only requests without a stored reply are made.  Each
+    task asks about `task_rows` sessions, at most `in_flight` at a time, and its replies are kept as soon as it ends, whether
+    or not the run does: what a killed run asks again is what its unfinished tasks had asked.
+    Failed requests count as replies unless `retry_failed` is set.  `answered`, an accumulator, counts
+    replies of finished tasks.
+    """
+
+    def ask_one(transcript: str) -> tuple[str | None, str | None]:
+        try:
+            return judge(transcript), None
+        except Exception as error:  # one failure never stops the rest
+            return None, str(error)
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(max_workers=in_flight) as pool:
+            for frame in frames:
+                replies = list(pool.map(ask_one, frame["transcript"]))
+                if answered is not None:
+                    answered.add(len(replies))
+                raw, errors = zip(*replies) if replies else ((), ())
+                yield frame.drop(columns="transcript").assign(raw=list(raw), request_error=list(errors))
+
+    spark = conversations.sparkSession
+    named = _named(conversations).withColumn(
+        "digest", F.sha2(F.concat_ws("\x00", F.lit(prompt), F.coalesce("transcript", F.lit(""))).cast("binary"), 256)
+    )
+    known = stored_replies(spark, path)
+    if retry_failed:
+        known = known.filter(F.col("request_error").isNull())
+    requests = named.groupBy("session_id", "digest").agg(F.min("transcript").alias("transcript"))
+    pending = requests.join(known.select("session_id", "digest"), ["session_id", "digest"], "left_anti")
+    n = pending.count()
+    if n:
+        writer = pending.repartition(-(-n // task_rows), "session_id", "digest").mapInPandas(ask, REPLIES).write.mode("append")
+        # finished tasks move their files into place themselves, so these outlive a run that fails
+        writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
+    replies = named.drop("transcript").join(stored_replies(spark, path), ["session_id", "digest"], "left")
+    return evaluate_replies(replies.drop("digest"))
+
+
 def evaluation_summary(evaluations: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Totals, mean score over all evaluations, distribution and success rate."""
     total = F.count("*")

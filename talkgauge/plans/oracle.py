@@ -688,11 +688,17 @@ SELECT * EXCLUDE (duration_median), CASE WHEN duration_total > 0 THEN TRUE END A
 FROM ({_SELECTS["summary_report"]})"""
 _SELECTS["summary_states_scenarios"] = _SELECTS["summary_report_scenarios"]
 _SELECTS["write_summary_json_scenarios"] = _SELECTS["summary_report_scenarios"]
+_SELECTS["catalog_search_indexed"] = _SELECTS["catalog_search"]
+_SELECTS["evaluate_stored"] = _SELECTS["evaluate_batch"]
+_SELECTS["document_parts"] = f"""
+SELECT batch_id, CAST(SUM(strlen(line) + 1) AS BIGINT) AS bytes, 0 AS damaged
+FROM ({_SELECTS["results_envelope"]}) GROUP BY batch_id"""
 _SELECTS["list_batches"] = _SELECTS["job_status_view"]
 
 # Extra common table expressions that only some queries need.
 _EXTRA_WITH = {
     "catalog_search": _SEARCHES,
+    "catalog_search_indexed": _SEARCHES,
     "catalog_search_totals": _SEARCHES,
     "customer_history": """
 bought AS MATERIALIZED (
@@ -709,6 +715,7 @@ kept AS (
 }
 
 
+_EXTRA_WITH["evaluate_stored"] = _EXTRA_WITH["evaluate_batch"]
 _EXTRA_WITH["evaluator_request"] = _EXTRA_WITH["evaluate_batch"]
 # Queries over base tables alone, without the derived inputs above.
 _BASE_ONLY = {"customer_history"}

@@ -16,7 +16,7 @@ from talkgauge.operators import catalog, conversations, costs, evaluation, resul
 from talkgauge.plans import reports, states
 from talkgauge.plans.inputs import FIRST_SPEAKER, MARKERS, Inputs
 from talkgauge.session import scratch_path
-from talkgauge.sources import logs, results as files, scenarios, sinks
+from talkgauge.sources import documents, logs, results as files, scenarios, sinks
 from talkgauge.streaming import appends, rates, timeouts
 from talkgauge.streaming import jobs as streams
 
@@ -324,6 +324,17 @@ def write_summary_json_scenarios(i: Inputs) -> DataFrame:
     return found.select("batch_id", "scenario", "f.*")
 
 
+@_query
+def document_parts(i: Inputs) -> DataFrame:
+    """Bytes of the written result envelopes by their manifest, and how many parts are not as it says."""
+    path = scratch_path(i.spark, "envelopes")
+    columns = ["batch_id", "scenario_index", "session_id", "status", "score"]
+    sinks.write_document(reports.results_envelope(i.results().select(*columns)), path)
+    listed = documents.document_parts(i.spark, path).groupBy("batch_id").agg(F.sum("bytes").alias("bytes"))
+    damaged = documents.damaged_parts(i.spark, path).groupBy("batch_id").agg(F.count("*").alias("_n"))
+    return listed.join(damaged, "batch_id", "left").select("batch_id", "bytes", F.coalesce("_n", F.lit(0)).alias("damaged"))
+
+
 @_query
 def write_summary_csv(i: Inputs) -> DataFrame:
     path = scratch_path(i.spark, "summary")
@@ -674,25 +685,39 @@ def evaluation_fallback(i: Inputs) -> DataFrame:
     )
 
 
-@_query
-def evaluate_batch(i: Inputs) -> DataFrame:
-    def judge(transcript: str) -> str:
-        size = len(transcript)
-        if size % 11 == 0:
-            raise ValueError("no answer")
-        return '{"score":%d,"comment":"%d characters"}' % (1 + size % 4, size)
+def _judge(transcript: str) -> str:
+    size = len(transcript)
+    if size % 11 == 0:
+        raise ValueError("no answer")
+    return '{"score":%d,"comment":"%d characters"}' % (1 + size % 4, size)
 
+
+def _asked(i: Inputs) -> DataFrame:
     kept = conversations.cut_at_end(i.messages(), FIRST_SPEAKER, **MARKERS)
     transcripts = conversations.transcript_text(kept, None, FIRST_SPEAKER)
-    asked = evaluation.whole_transcripts(transcripts).join(i.results(), "session_id").select(
+    return evaluation.whole_transcripts(transcripts).join(i.results(), "session_id").select(
         F.col("scenario_index").alias("conversation_index"),
         F.when(F.col("scenario_index") % 10 != 9, F.col("session_id")).alias("session_id"),
         "scenario",
         "transcript",
     )
-    return evaluation.evaluate_batch(asked, judge).select(
-        "conversation_index", "session_id", "scenario", "score", "comment", "evaluation_status"
-    )
+
+
+_EVALUATED = ["conversation_index", "session_id", "scenario", "score", "comment", "evaluation_status"]
+
+
+@_query
+def evaluate_batch(i: Inputs) -> DataFrame:
+    return evaluation.evaluate_batch(_asked(i), _judge).select(*_EVALUATED)
+
+
+@_query
+def evaluate_stored(i: Inputs) -> DataFrame:
+    """The same replies, kept: a first run over some of the conversations, a second over all."""
+    path = scratch_path(i.spark, "replies")
+    asked = _asked(i)
+    evaluation.evaluate_stored(asked.filter(F.col("conversation_index") % 3 == 0), _judge, path, EVALUATOR_PROMPT)
+    return evaluation.evaluate_stored(asked, _judge, path, EVALUATOR_PROMPT).select(*_EVALUATED)
 
 
 @_query
@@ -760,6 +785,14 @@ def catalog_search(i: Inputs) -> DataFrame:
     return catalog.catalog_search(_catalog(i), _searches(i))
 
 
+@_query
+def catalog_search_indexed(i: Inputs) -> DataFrame:
+    """The same searches against a stored index."""
+    path = scratch_path(i.spark, "index")
+    catalog.write_index(catalog.name_index(_catalog(i)), path)
+    return catalog.catalog_search(_catalog(i), _searches(i), catalog.read_index(i.spark, path))
+
+
 @_query
 def catalog_search_totals(i: Inputs) -> DataFrame:
     searches = _searches(i)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from talkgauge import constants as c
 from talkgauge.operators import results as result_ops
+from talkgauge.sources import documents
+from talkgauge.sources.commits import Folder
 
 
 TIMESTAMPS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -46,19 +50,28 @@ def write_results_csv(
 
 
 def _write_csv(rows: DataFrame, path: str) -> bool:
-    """Rows are kept while they are looked at and written, so that they are computed once.
+    """Rows are written beside the target and counted on the way; the files move only if there are rows.
 
     Files are limited in rows, since CSV with line breaks in cells is read a file at a time.
     """
-    kept = rows.persist()
+    parent, _, name = path.rstrip("/").rpartition("/")
+    folder = Folder(rows.sparkSession, parent)
+    staging = f"_staging-{uuid.uuid4().hex}-{name}"  # readers of the parent skip it
+    seen = Observation()
+    counted = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
     try:
-        if kept.isEmpty():
+        writer = counted.write.option("header", True).option("escape", '"')
+        writer.option("maxRecordsPerFile", CSV_FILE_ROWS).csv(f"{parent}/{staging}")
+        if not seen.get["rows"]:
             return False
-        writer = kept.write.option("header", True).option("escape", '"')
-        writer.option("maxRecordsPerFile", CSV_FILE_ROWS).mode("append").csv(path)
+        if folder.exists(name):
+            for file in folder.files(staging):
+                folder.move(f"{staging}/{file}", f"{name}/{file}")
+        else:
+            folder.move(staging, name)
         return True
     finally:
-        kept.unpersist()
+        folder.remove(staging)
 
 
 def write_export(
@@ -79,11 +92,12 @@ def write_export(
         writer.option("header", True).option("escape", '"').csv(path)
 
 
-def write_document(lines: DataFrame, path: str) -> None:
-    """The lines of one JSON document per batch (a summary or a result envelope).
+def write_document(lines: DataFrame, path: str) -> str:
+    """The lines of one JSON document per batch (a summary or a result envelope); the name of this writing.
 
     Rows are range-partitioned and sorted, so the files of a `batch_id=...` folder, read
-    in name order, are the document; a large batch simply takes more files.
+    in name order, are the document; a large batch simply takes more files.  They are listed in a manifest,
+    `documents.read_document` and `documents.damaged_parts` go by it.
     """
     order = ["batch_id", "section", "position"]
     (
@@ -91,9 +105,11 @@ def write_document(lines: DataFrame, path: str) -> None:
         .sortWithinPartitions(*order)
         .select("batch_id", "line")
         .write.partitionBy("batch_id")
+        .option("maxRecordsPerFile", documents.PART_LINES)
         .mode("append")
         .text(path)
     )
+    return documents.write_manifest(lines.sparkSession, path)
 
 
 def write_summary_csv(results: DataFrame, path: str) -> bool:
