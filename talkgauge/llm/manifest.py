@@ -120,7 +120,8 @@ def manifest(rows: DataFrame, group: str, order: str, leaf: Column, changed: Col
     """
     own = rows.select(F.col(f"`{group}`").alias("lang"), F.col(f"`{order}`").alias("id"), leaf.alias("digest"), (leaf if changed is None else changed).alias("changed"))
     # groups by a text that sorts as they do: null before all others
-    own = own.withColumn("tree", F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("-")))
+    # and stored, since texts would be hashed a second time to find the ranges they are dealt by
+    own = stored(own.withColumn("tree", F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("-"))), "manifest-hashed")
     leaves = stored(placed(own, ["tree"], ["id", "digest", "changed"], "manifest"), "manifest-leaves")
     below, subroots = levels(leaves, "manifest")
     ranked = stored(placed(subroots.withColumnRenamed("tree", "named"), [], ["named"], "manifest-groups").withColumn("tree", F.lit("")), "manifest-subroots")
