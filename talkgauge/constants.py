@@ -51,6 +51,7 @@ MESSAGE_NO_SCENARIOS = "No scenarios provided"
 MESSAGE_NOT_A_LIST = "Scenarios must be a list"
 MESSAGE_NOT_AN_OBJECT = "Scenario {} must be an object"
 MESSAGE_MISSING_NAME = "Scenario {} missing 'name' field"
+MESSAGE_VARIABLES_NOT_AN_OBJECT = "Scenario {} 'variables' must be an object"
 MESSAGE_MISSING_VARIABLES = "Scenario {} missing 'variables' field"
 MESSAGE_FILE_NOT_AN_ARRAY = "Scenarios file must contain a JSON array"
 

@@ -689,6 +689,14 @@ FROM ({_SELECTS["summary_report"]})"""
 _SELECTS["summary_states_scenarios"] = _SELECTS["summary_report_scenarios"]
 _SELECTS["write_summary_json_scenarios"] = _SELECTS["summary_report_scenarios"]
 _SELECTS["catalog_search_indexed"] = _SELECTS["catalog_search"]
+_SELECTS["validate_scenarios_strict"] = """
+SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN 'Scenario 1 ''variables'' must be an object' END AS error
+FROM customer"""
+_SELECTS["report_from_logs"] = f"""
+SELECT {_COUNTS}, COUNT(*) FILTER (status = 'completed') / COUNT(*) AS success_rate,
+       {_SCORE_STATS}, {_SCORES}, {_TURN_STATS}, {_DURATION_STATS}
+FROM (SELECT r.status, r.score, s.total_turns, s.duration_seconds
+      FROM results r FULL JOIN logged s ON r.session_id = s.session_id)"""
 _SELECTS["evaluate_stored"] = _SELECTS["evaluate_batch"]
 _SELECTS["document_parts"] = f"""
 SELECT batch_id, CAST(SUM(strlen(line) + 1) AS BIGINT) AS bytes, 0 AS damaged
@@ -705,6 +713,25 @@ bought AS MATERIALIZED (
   SELECT o_custkey, l_partkey,
          row_number() OVER (PARTITION BY o_custkey ORDER BY SUM(l_quantity) DESC, l_partkey) AS place
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey)""",
+    "report_from_logs": """
+spoken AS (
+  SELECT session_id, speaker, content, ts, COUNT(*) FILTER (speaker = 'agent')
+         OVER (PARTITION BY session_id ORDER BY msg_index) AS turn
+  FROM msgs WHERE speaker <> 'system'),
+placed AS (
+  SELECT *, 2 * turn - CASE speaker WHEN 'agent' THEN 2 ELSE 1 END AS place FROM spoken WHERE turn > 0
+  QUALIFY row_number() OVER (PARTITION BY session_id, turn, speaker ORDER BY ts, content) = 1),
+stops AS (
+  SELECT session_id, least(
+           MIN(place) FILTER (speaker = 'agent' AND contains(lower(content), 'end')
+                              OR speaker = 'client' AND contains(lower(content), 'und')),
+           MIN(place) FILTER (speaker = 'agent' AND turn >= 2)) AS stop
+  FROM placed GROUP BY session_id),
+logged AS (
+  SELECT p.session_id, CAST(COUNT(*) FILTER (speaker = 'agent') AS INTEGER) AS total_turns,
+         date_diff('microsecond', MIN(ts), MAX(ts)) / 1000000 AS duration_seconds
+  FROM placed p JOIN stops s ON p.session_id = s.session_id
+  WHERE s.stop IS NULL OR p.place <= s.stop GROUP BY p.session_id)""",
     "evaluate_batch": """
 kept AS (
   SELECT m.* FROM msgs m JOIN (

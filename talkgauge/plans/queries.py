@@ -194,6 +194,24 @@ def read_conversation_log(i: Inputs) -> DataFrame:
     return _iso(joined, "timestamp", "last_timestamp")
 
 
+@_query
+def report_from_logs(i: Inputs) -> DataFrame:
+    """From both kinds of conversation records, as files, to cut conversations and their report."""
+    path = scratch_path(i.spark, "conversations")
+    spoken = conversations.number_turns(i.messages().filter(F.col("speaker") != "system"), "agent")
+    turns = spoken.filter(F.col("turn_number") > 0).select(
+        "session_id", F.col("turn_number").cast("int").alias("turn_number"), F.col("speaker").alias("role"), "content", F.col("ts").alias("timestamp")
+    )
+    done = i.results().select(
+        "session_id", F.col("score").alias("final_score"), F.col("comment").alias("evaluator_comment"), "status",
+        F.col("start_time").alias("timestamp"), F.lit("conversation_complete").alias("event_type"),
+    )
+    sinks.append_logs(turns, path)
+    sinks.append_logs(done, path)
+    report = reports.report_from_logs(*logs.read_conversation_log(i.spark, path), MAX_TURNS, **MARKERS)
+    return _flat(report).drop("batch_id")
+
+
 @_query
 def read_service_log(i: Inputs) -> DataFrame:
     path = scratch_path(i.spark, "service")
@@ -387,6 +405,18 @@ def validate_scenarios(i: Inputs) -> DataFrame:
     return scenarios.validate_scenarios(requests).select("c_custkey", "error")
 
 
+@_query
+def validate_scenarios_strict(i: Inputs) -> DataFrame:
+    """Variables of four kinds; only objects pass."""
+    kinds = F.array(*[F.lit(v) for v in ("{}", "[1]", '"text"', "null")])
+    value = F.element_at(kinds, (F.col("c_custkey") % 4 + 1).cast("int"))
+    request = F.concat(
+        F.lit('[{"name":"a","variables":{}},{"name":"b","variables":'), value, F.lit("}]")
+    )
+    requests = i.table("customer").select("c_custkey", request.alias("scenarios"))
+    return scenarios.validate_scenarios(requests, strict=True).select("c_custkey", "error")
+
+
 @_query
 def scenario_by_index(i: Inputs) -> DataFrame:
     listed = i.scenarios()
@@ -456,7 +486,7 @@ def read_prompt_templates(i: Inputs) -> DataFrame:
     segments.filter(F.col("c_mktsegment") != "MACHINERY").select(
         F.col("c_mktsegment").alias("template_name"), text_of.alias("value")
     ).write.partitionBy("template_name").text(path)
-    names = [row[0] for row in segments.collect()]  # as many as there are templates
+    names = segments.withColumnRenamed("c_mktsegment", "template_name")
     read = scenarios.read_prompt_templates(i.spark, path, names)
     joined = customers.join(read, customers["c_mktsegment"] == read["template_name"])
     empty = F.create_map().cast("map<string,string>")

@@ -6,7 +6,7 @@ grouping are taken in one aggregation; only medians need passes of their own.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,9 +14,10 @@ from pyspark.sql.types import ByteType, IntegerType, ShortType
 
 from talkgauge import constants as c
 from talkgauge.functions import numbers, text
-from talkgauge.operators import costs
+from talkgauge.operators import conversations, costs
 from talkgauge.operators.medians import grouped_medians
 from talkgauge.operators.results import non_null_scores
+from talkgauge.sources.logs import messages_from_log
 
 BATCH = ("batch_id",)
 
@@ -274,6 +275,42 @@ def nested_report(
     )
 
 
+def report_from_logs(
+    turns: DataFrame,
+    completions: DataFrame,
+    max_turns: int | None = None,
+    batches: DataFrame | None = None,
+    **markers: Iterable[str],
+) -> DataFrame:
+    """`summary_report` of logged conversations, cut where their messages say they end.
+
+    `turns` and `completions` are those of `read_conversation_log`; the scores are the logged ones, turns
+    and durations those of the cut messages.  Turn records of one index, as a repeated run leaves them,
+    count once, the earliest.  `batches(batch_id, session_id)` deals sessions to batches; without it all are one, `logs`.
+    Sessions of the logs without a completion record have neither status nor score.
+    """
+    messages = messages_from_log(turns)
+    first = F.min_by(F.struct("speaker", "content", "ts"), F.struct("ts", "content")).alias("_m")
+    single = messages.groupBy("session_id", "msg_index").agg(first).select("session_id", "msg_index", "_m.*")
+    kept = conversations.cut_at_end(single, "agent", max_turns, **markers)
+    last = F.max_by(F.struct("final_score", "evaluator_comment", "status"), "timestamp").alias("_c")
+    ended = completions.groupBy("session_id").agg(last).select(
+        "session_id",
+        F.col("_c.final_score").cast("int").alias("score"),
+        F.col("_c.status").alias("status"),
+    )
+    spans = kept.groupBy("session_id").agg(
+        F.count_if(F.col("speaker") == "agent").cast("int").alias("total_turns"),
+        text.seconds_between(F.min("ts"), F.max("ts")).alias("duration_seconds"),
+    )
+    results = ended.join(spans, "session_id", "full").withColumn("scenario", F.lit(None).cast("string"))
+    if batches is None:
+        results = results.withColumn("batch_id", F.lit("logs"))
+    else:
+        results = results.join(batches.select("session_id", "batch_id"), "session_id", "left")
+    return summary_report(results)
+
+
 _SHARES = 16
 
 

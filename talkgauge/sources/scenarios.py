@@ -41,24 +41,29 @@ def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
     return parse_scenarios(files)
 
 
-def _scenario_problem(element: Column, index: Column) -> Column:
+def _scenario_problem(element: Column, index: Column, strict: bool) -> Column:
     """The first problem of one array element, or NULL."""
     prefix = F.format_string
 
     def message(template: str) -> Column:
         return prefix(template.replace("{}", "%d"), index)
 
-    return (
+    problem = (
         F.when(strict_json.kind(element) != "OBJECT", message(c.MESSAGE_NOT_AN_OBJECT))
         .when(~strict_json.has_field(element, "name"), message(c.MESSAGE_MISSING_NAME))
         .when(~strict_json.has_field(element, "variables"), message(c.MESSAGE_MISSING_VARIABLES))
     )
+    if strict:
+        variables = strict_json.kind(strict_json.field(element, "variables", "variant"))
+        problem = problem.when(variables != "OBJECT", message(c.MESSAGE_VARIABLES_NOT_AN_OBJECT))
+    return problem
 
 
-def validate_scenarios(requests: DataFrame, text: str = "scenarios") -> DataFrame:
+def validate_scenarios(requests: DataFrame, text: str = "scenarios", strict: bool = False) -> DataFrame:
     """Add `error`: the first problem of a request's scenario list, NULL when it is valid.
 
-    Only the presence of `name` and `variables` is checked; an explicit null is present.
+    Only the presence of `name` and `variables` is checked; an explicit null is present.  With
+    `strict`, `variables` has to be an object, too.
     """
     value = strict_json.parse_strict(F.col(text))
     kind = strict_json.kind(value)
@@ -75,7 +80,7 @@ def validate_scenarios(requests: DataFrame, text: str = "scenarios") -> DataFram
     )
     elements = F.try_variant_get(value, "$", "array<variant>")
     problems = F.filter(
-        F.transform(elements, lambda element, i: _scenario_problem(element, i)),
+        F.transform(elements, lambda element, i: _scenario_problem(element, i, strict)),
         lambda problem: problem.isNotNull(),
     )
     error = (
@@ -86,9 +91,13 @@ def validate_scenarios(requests: DataFrame, text: str = "scenarios") -> DataFram
     return requests.withColumn("error", error)
 
 
-def read_prompt_templates(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+def read_prompt_templates(
+    spark: SparkSession, path: str, names: Sequence[str] | DataFrame
+) -> DataFrame:
     """`(template_name, template)` for the expected names, one `<name>.txt` file each.
 
+    `names` is a list, or a table whose column `template_name` has as many as there are.
+
     A Spark job writes them as one-row folders `template_name=<name>` instead, whose closing
     line break is not part of the text.  A name without a file gets its fallback text.
     """
@@ -106,9 +115,11 @@ def read_prompt_templates(spark: SparkSession, path: str, names: Sequence[str])
             .alias("template"),
         )
     )
-    expected = spark.range(1).select(
-        F.explode(F.array(*[F.lit(name) for name in names])).alias("template_name")
-    )
+    if isinstance(names, DataFrame):
+        expected = names.select("template_name").distinct()
+    else:
+        listed = F.array(*[F.lit(name) for name in names]).cast("array<string>")
+        expected = spark.range(1).select(F.explode(listed).alias("template_name"))
     fallback = F.when(
         F.col("template_name") == c.EVALUATOR_TEMPLATE_NAME, F.lit(c.EVALUATOR_FALLBACK_TEMPLATE)
     ).otherwise(
