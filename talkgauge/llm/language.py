@@ -243,6 +243,9 @@ def sample_windows(docs: DataFrame, languages: list[str], counts: dict[str, int]
     return chosen.limit(2 * windows * len(languages)).collect()
 
 
+LEAST_WINDOWS = 40
+
+
 def fit_language(docs: DataFrame, learn: Column, windows: int = 400, window_chars: int = 1500, most_languages: int = 500, reject: float = 0.001) -> LanguageModel | None:
     """Fit on the rows of (doc_id, text, lang) where ``learn`` holds; None if there are none.
 
@@ -257,8 +260,18 @@ def fit_language(docs: DataFrame, learn: Column, windows: int = 400, window_char
     counts = {r["lang"]: r["count"] for r in common}
     parts = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(2))
     rows, checks = (sample_windows(known, list(counts), {k: max(1, n // 2) for k, n in counts.items()}, windows, window_chars, parts == k) for k in (0, 1))
-    if not rows:
-        rows = checks
+    # a language whose few rows all lie in the second half is learnt from every other one of them, the first included
+    learnt, rest = {r["lang"] for r in rows}, []
+    for lang in sorted({r["lang"] for r in checks} - learnt):
+        own = sorted(r["window"] for r in checks if r["lang"] == lang)
+        rows += [{"lang": lang, "window": w} for w in own[::2]]
+        rest += [{"lang": lang, "window": w} for w in own[1::2]]
+    checks = [r for r in checks if r["lang"] in learnt] + rest
+    # a few windows of a language are repeated, so that it is seen often enough to be told apart
+    held: dict[str, list] = {}
+    for r in rows:
+        held.setdefault(r["lang"], []).append(r)
+    rows = [r for own in held.values() for r in own * max(1, -(-LEAST_WINDOWS // len(own)))]
     if not rows:
         return None
     return train([r["window"] for r in rows], [r["lang"] for r in rows], [r["window"] for r in checks], [r["lang"] for r in checks], reject)

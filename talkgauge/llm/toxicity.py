@@ -19,6 +19,7 @@ was seen; a result column replaces one of its name.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -331,6 +332,19 @@ def _fit_curve(logit: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return (a, b) if a > 0.05 else (1.0, 0.0)
 
 
+def halved(rows: set[tuple[str, str, int]]) -> tuple[list, list]:
+    """Rows (id as text, text, label) to train on and to fit the curve by: of each label, every other one by a hash.
+
+    Each label's first row is one to train on, so both learn whatever the ids are and however few rows there are.
+    """
+    found = [], []
+    for label in sorted({r[2] for r in rows}):
+        own = sorted((r for r in rows if r[2] == label), key=lambda r: (zlib.crc32(r[0].encode()), r))
+        for k in (0, 1):
+            found[k].extend(own[k::2])
+    return tuple(sorted(part) for part in found)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, toxic_docs: int = 1500, clean_docs: int = 3000, slice_chars: int = 1500) -> Network | float:
     """Fit on documents (doc_id, text) and labels (doc_id, toxic) where ``learn`` on the labels' doc_id holds.
 
@@ -348,8 +362,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, toxic_docs:
     start = F.pmod(F.xxhash64("doc_id", F.lit("slice")), places) + 1
     cut = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), F.coalesce(start, F.lit(1)), F.lit(slice_chars)).alias("slice"))
     rows = cut.join(F.broadcast(chosen), "doc_id").limit(4 * (toxic_docs + clean_docs)).collect()  # chosen is bounded above
-    rows = sorted({(r.doc_id, r.slice, r.toxic) for r in rows})
-    train_rows, check_rows = ([r for r in rows if r[0] % 2 == k or (k == 0 and len(rows) < 400)] for k in (0, 1))
+    train_rows, check_rows = halved({(str(r.doc_id), r.slice, r.toxic) for r in rows})
     if len({r[2] for r in train_rows}) < 2:
         return counts.get(1, 0) / sum(counts.values())
     return train([r[1] for r in train_rows], [r[2] for r in train_rows], [r[1] for r in check_rows], [r[2] for r in check_rows])
