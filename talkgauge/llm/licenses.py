@@ -1,33 +1,41 @@
-"""License notices in texts, by how far each template helps to compress the places where it may stand.
-
-Looked at is what surrounds words that notices use (``CUES``), as many words both ways as the longest notice
-may cover, whatever lines, blank lines and comment signs lie between.  A template may stand where at least
-``MATCH`` of its words stand in order, with at most ``EXTRA`` as many words between them; every such place
-is looked at, those with the most words in order and then the fewest between first.  What places that
-overlap one another cover is a block.  It is compressed with zstandard alone and with each of their
-templates as raw dictionary; places go to templates by the share of bytes these save, and are returned with
-the exact differences of wording.  Spans of notices do not overlap.
-
-Texts without such words are left in the JVM.  Defined results: null and empty texts have no notices;
-repeated rows are answered one by one; of templates that save the same share the first by name goes first;
-what a template saves only orders, and no template is left out for it.
+"""License notices in texts, by how much each template helps to compress the blocks where it may stand.
+
+A template may stand where at least ``MATCH`` of its words stand in order, with at most ``EXTRA`` as many words
+between them.  Such a place cannot miss all of any n - MATCH n + 1 of the template's words, so these, the rarest of
+them, are the words it is looked for by.  Around each of them blocks are cut from the text's words, over any line
+breaks and comment signs: twice as long as templates of this size reach, one every such reach, so that each place
+lies whole in a block.  Every block is compressed with zstandard alone and with every template of its size as raw
+dictionary.  The bytes saved rank block and template, and in this order templates are confirmed and get their
+places, with the exact differences of wording; on equal bytes the greater share of words goes first, then the
+earlier place, then the first name.  Spans of notices do not overlap.
+
+Templates of one size are those whose numbers of words have equally many binary digits.
+
+Defined results: null and empty texts have no notices; a null key stays null; repeated rows are answered one by one;
+other columns take no part, whatever they are called, and a key named as a result column gets "_" appended; an empty table gives an empty one; a template that saves nothing
+is confirmed last, not left out; a template without words raises an error.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Collection, Iterator
+from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from talkgauge.llm.frames import fresh
 from talkgauge.llm.text import batches
 
-CUES = r"(?i)licen[sc]|copyright|rights[\W_]+reserved|warrant|redistribut|spdx|permission[\W_]+is[\W_]+hereby|public[\W_]+domain|merchantab"
+#: Beginnings of words that are rare outside notices; they are looked for before other long words.
+RARE = re.compile(r"(sub)?licen[sc]|copyright|reserved|warrant|redistribut|permission|merchantab|affero|mozilla|apache|eclipse|unencumbered|gnu")
 MATCH, EXTRA = 0.85, 0.25
 _BATCH = 4 << 20
 
@@ -41,20 +49,57 @@ TEMPLATES = {
         "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
         "See the License for the specific language governing permissions and limitations under the License."
     ),
+    "AGPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
     "BSD-2-Clause-conditions": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
         "in the documentation and/or other materials provided with the distribution."
     ),
+    "BSD-3-Clause-conditions": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+        "in the documentation and/or other materials provided with the distribution. "
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission."
+    ),
+    "BSD-warranty": (
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+    ),
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0": (
+        "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work "
+        "worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law."
+    ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at https://www.eclipse.org/legal/epl-2.0/"
+    ),
+    "GPL-2.0-header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    ),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-header": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
+    "ISC-permission": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "LGPL-2.1-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
     "MIT": "Released under the MIT License.",
     "MIT-permission": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
@@ -63,86 +108,155 @@ TEMPLATES = {
         "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
         "substantial portions of the Software."
     ),
+    "MIT-warranty": (
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
         "You can obtain one at https://mozilla.org/MPL/2.0/."
     ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute "
+        "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising "
+        "from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, "
+        "and to alter it and redistribute it freely, subject to the following restrictions"
+    ),
     "reserved": "All rights reserved.",
 }
 
 _WORD = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
-#: Words that a notice covers at most, those between its own included.
-_REACH = int((1 + EXTRA) * max(len(_WORD.findall(t)) for t in TEMPLATES.values())) + 1
-
-
 def word_spans(text: str) -> np.ndarray:
     """Start and end of each word, a row each."""
     return np.fromiter((x for m in _WORD.finditer(text) for x in m.span()), np.int64).reshape(-1, 2)
 
 
-def blocks(text: str, spans: np.ndarray) -> list[tuple[int, int]]:
-    """Ranges of words around cues: as far both ways as a notice reaches, over any line breaks, joined where they meet."""
-    out: list[list[int]] = []
-    for cue in re.finditer(CUES, text):
-        low = max(0, int(np.searchsorted(spans[:, 1], cue.start(), side="right")) - _REACH)
-        high = min(len(spans), int(np.searchsorted(spans[:, 0], cue.end())) + _REACH)
-        if out and low <= out[-1][1]:
-            out[-1][1] = high
-        else:
-            out.append([low, high])
-    return [(low, high) for low, high in out]
+class Template:
+    """A wording, what it is looked for by and its dictionary."""
+
+    def __init__(self, name: str, wording: str):
+        self.name, self.words = name, _words(wording)
+        n = len(self.words)
+        if not n:
+            raise ValueError(f"template {name} has no words")
+        self.need, self.most = math.ceil(MATCH * n), int(EXTRA * n)
+        self.size = n.bit_length()
+        kinds = sorted(set(self.words), key=lambda w: (RARE.match(w) is None, -len(w), w))
+        covered = np.cumsum([self.words.count(w) for w in kinds])
+        #: Words of which every place holds one: n - need + 1 or more stand in the template.
+        self.cues = kinds[: int(np.searchsorted(covered, n - self.need + 1)) + 1]
+        raw = zstandard.ZstdCompressionDict(" ".join(self.words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.compressor = zstandard.ZstdCompressor(level=9, dict_data=raw)
 
 
 class Scanner:
-    """Templates prepared as dictionaries."""
+    """Templates prepared for many texts."""
 
     def __init__(self, templates: dict[str, str] = TEMPLATES):
         self.plain = zstandard.ZstdCompressor(level=9)
-        self.templates = []
-        for name, wording in sorted(templates.items()):
-            raw = zstandard.ZstdCompressionDict(_folded(wording).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.templates.append((name, _words(wording), zstandard.ZstdCompressor(level=9, dict_data=raw)))
-
-    def ranked(self, block: str, names: Collection[str] = ()) -> list[tuple[float, str, list[str]]]:
-        """Templates, all or those named, by the share of compressed bytes they save."""
-        data = _folded(block).encode()
+        self.templates = [Template(name, wording) for name, wording in sorted(templates.items())]
+        self.sizes: dict[int, list[Template]] = {}
+        self.cued: dict[str, list[Template]] = {}
+        for t in self.templates:
+            self.sizes.setdefault(t.size, []).append(t)
+            for word in t.cues:
+                self.cued.setdefault(word, []).append(t)
+        #: Words that a place of templates of one size covers at most.
+        self.reach = {size: max(len(t.words) + t.most for t in group) for size, group in self.sizes.items()}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for word in self.cued:
+            self.automaton.add_word(word)
+        if self.cued:
+            self.automaton.make_automaton()
+
+    def reductions(self, block: str, templates: list[Template]) -> dict[str, tuple[int, float]]:
+        """Bytes that each template saves of the compressed block, and their share of it."""
+        data = block.encode()
         alone = len(self.plain.compress(data))
-        gains = [((alone - len(c.compress(data))) / alone, name, words) for name, words, c in self.templates if not names or name in names]
-        return sorted(gains, key=lambda g: (-g[0], g[1]))
+        saved = {t.name: alone - len(t.compressor.compress(data)) for t in templates}
+        return {name: (n, n / alone) for name, n in saved.items()}
+
+    def ranked(self, text: str) -> list[tuple[int, str]]:
+        """All templates by the bytes they save of a text."""
+        saved = self.reductions(" ".join(_words(text)), self.templates)
+        return sorted(((n, name) for name, (n, _) in saved.items()), key=lambda r: (-r[0], r[1]))
 
     def scan(self, text: str) -> list[dict]:
         """Confirmed notices: span, template, share saved, share of its words found and the differing words."""
-        found: list[dict] = []
+        if not self.cued or next(self.automaton.iter(text.lower()), None) is None:
+            return []
         spans = word_spans(text)
-        for low, high in blocks(text, spans):
-            at = spans[low:high]
-            words = [text[a:b].lower() for a, b in at.tolist()]
-            open_places = {name: places for name, wording, _ in self.templates if (places := _places(wording, words))}
-            taken = bytearray(len(words))
-            while hits := sorted((*place, name) for name, places in open_places.items() for place in _apart(places, taken)):
-                for rivals in _meeting(hits):
-                    block = text[at[rivals[0][0], 0] : at[max(end for _, end, _, _ in rivals) - 1, 1]]
-                    for gain, name, wording in self.ranked(block, {r[3] for r in rivals}):
-                        for begin, end, count in (r[:3] for r in rivals if r[3] == name):
-                            if taken.find(1, begin, end) < 0:
-                                taken[begin:end] = bytes([1]) * (end - begin)
-                                missing, added = _difference(wording, words[begin:end])
-                                found.append({"start": int(at[begin, 0]), "end": int(at[end - 1, 1]), "template": name, "gain": gain, "matched": count / len(wording), "missing": missing, "added": added})
-                # a template whose place went to another one may still fit beside it
-                open_places = {name: [p for p in places if taken.find(1, p[0], p[1]) < 0] for name, places in open_places.items()}
+        words = [text[a:b].lower() for a, b in spans.tolist()]
+        cues: dict[str, list[int]] = {}
+        for p, word in enumerate(words):
+            for t in self.cued.get(word, ()):
+                cues.setdefault(t.name, []).append(p)
+        saved: dict[tuple[int, int], dict[str, tuple[int, float]]] = {}
+        open_places: dict[str, list[tuple[int, int, int]]] = {}
+        for t in self.templates:
+            at, step = cues.get(t.name, []), self.reach[t.size]
+            for number in sorted({k for p in at for k in (max(0, p - step + 1) // step, p // step)}):
+                if (t.size, number) not in saved:
+                    block = " ".join(words[number * step : (number + 2) * step])
+                    saved[t.size, number] = self.reductions(block, self.sizes[t.size])
+            open_places[t.name] = [(low + a, low + b, n) for low, high in _around(at, len(t.words) + t.most, len(words)) for a, b, n in _places(t.words, words[low:high])]
+            open_places[t.name].sort(key=lambda p: (-p[2], p[1] - p[0], p[0]))
+        found: list[dict] = []
+        taken = bytearray(len(words))
+        while True:
+            hits = []
+            for t in self.templates:
+                step = self.reach[t.size]
+                for begin, end, count in _apart(open_places[t.name], taken):
+                    number = begin // step
+                    block = max(saved[t.size, k][t.name] for k in (number, number - 1) if (t.size, k) in saved and end <= (k + 2) * step)
+                    hits.append((begin, end, count, t, block))
+            if not hits:
+                break
+            for rivals in _meeting(sorted(hits, key=lambda h: h[:2])):
+                ranked = []
+                for begin, end, count, t, (bytes_saved, share) in rivals:
+                    own = self.reductions(" ".join(words[begin:end]), [t])[t.name][0] if len(rivals) > 1 else bytes_saved
+                    ranked.append((-own, -count / len(t.words), -bytes_saved, begin, t.name, end, share, t))
+                for _, matched, _, begin, name, end, share, t in sorted(ranked, key=lambda r: r[:5]):
+                    if taken.find(1, begin, end) < 0:
+                        taken[begin:end] = bytes([1]) * (end - begin)
+                        missing, added = _difference(t.words, words[begin:end])
+                        found.append({"start": int(spans[begin, 0]), "end": int(spans[end - 1, 1]), "template": name, "gain": share, "matched": -matched, "missing": missing, "added": added})
+            # a template whose place went to another one may still fit beside it
+            open_places = {name: [p for p in places if taken.find(1, p[0], p[1]) < 0] for name, places in open_places.items()}
         return sorted(found, key=lambda f: (f["start"], f["template"]))
 
 
+def _around(at: list[int], reach: int, n: int) -> Iterator[tuple[int, int]]:
+    """Ranges of words within reach of positions in order, joined where they overlap."""
+    low = high = -1
+    for p in at:
+        a, b = max(0, p - reach + 1), min(n, p + reach)
+        if high < 0:
+            low = a
+        elif a >= high:
+            yield low, high
+            low = a
+        high = b
+    if high >= 0:
+        yield low, high
+
+
 def _apart(places: list[tuple[int, int, int]], taken: bytearray) -> Iterator[tuple[int, int, int]]:
     """Of places, best first, those that overlap neither a better one nor what is taken."""
-    used = bytearray(taken)
+    used = bytearray(taken) if places else taken
     for begin, end, count in places:
         if used.find(1, begin, end) < 0:
             used[begin:end] = bytes([1]) * (end - begin)
             yield begin, end, count
 
 
-def _meeting(hits: list[tuple[int, int, int, str]]) -> Iterator[list[tuple[int, int, int, str]]]:
+def _meeting(hits: list[tuple]) -> Iterator[list[tuple]]:
     """Groups of hits, sorted by begin, that overlap one another."""
     group, reach = [hits[0]], hits[0][1]
     for hit in hits[1:]:
@@ -154,10 +268,6 @@ def _meeting(hits: list[tuple[int, int, int, str]]) -> Iterator[list[tuple[int,
     yield group
 
 
-def _folded(text: str) -> str:
-    return " ".join(text.lower().split())
-
-
 def _words(text: str) -> list[str]:
     return [m.group().lower() for m in _WORD.finditer(text)]
 
@@ -217,21 +327,21 @@ def _difference(wording: list[str], words: list[str]) -> tuple[list[str], list[s
     return missing[::-1], added[::-1]
 
 
-def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """One row per confirmed notice: the key, start and end in characters, template, gain, matched, missing and added words."""
-    kind = docs.schema[key].dataType
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where(F.col("text").rlike(CUES))
-    schema = f"key {kind.simpleString()}, start bigint, end bigint, template string, gain double, matched double, missing array<string>, added array<string>"
+    named = {"start": T.LongType(), "end": T.LongType(), "template": T.StringType(), "gain": T.DoubleType(), "matched": T.DoubleType(), "missing": T.ArrayType(T.StringType()), "added": T.ArrayType(T.StringType())}
+    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), *[T.StructField(name, kind) for name, kind in named.items()]])
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
 
     def run(arrivals):
-        scanner = Scanner()
+        scanner = Scanner(templates)
         for part in batches(arrivals, "text", _BATCH):
             hits = [scanner.scan(t) for t in part["text"].to_pylist()]
             at = [i for i, h in enumerate(hits) for _ in h]
             flat = [f for h in hits for f in h]
             columns = {"key": part["key"].combine_chunks().take(pa.array(at, pa.int64()))}
-            for name, type_ in (("start", pa.int64()), ("end", pa.int64()), ("template", pa.string()), ("gain", pa.float64()), ("matched", pa.float64()), ("missing", pa.list_(pa.string())), ("added", pa.list_(pa.string()))):
-                columns[name] = pa.array([f[name] for f in flat], type_)
+            for name, kind in named.items():
+                columns[name] = pa.array([f[name] for f in flat], to_arrow_type(kind))
             yield from pa.table(columns).combine_chunks().to_batches()
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return rows.mapInArrow(run, schema).withColumnRenamed("key", *fresh(list(named), key))

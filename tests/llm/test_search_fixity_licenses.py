@@ -163,6 +163,90 @@ def test_notices_wrapped_over_lines(name, sign):
         assert around[hit["start"] : hit["end"]].split() == text[len(sign) :].rstrip('./"').split()
 
 
+def brute_force(text: str) -> set[tuple[int, int, str]]:
+    """The same rules without cue words and blocks: all places in the whole text, ranked by the bytes saved of their own words."""
+    scanner = licenses.Scanner()
+    spans = licenses.word_spans(text)
+    words = licenses._words(text)
+    taken, found = bytearray(len(words)), set()
+    while True:
+        hits = []
+        for t in scanner.templates:
+            best = [p for p in licenses._places(t.words, words) if not any(taken[p[0] : p[1]])]
+            hits += [(-scanner.reductions(" ".join(words[a:b]), [t])[t.name][0], -n / len(t.words), a, t.name, b) for a, b, n in licenses._apart(best, taken)]
+        if not hits:
+            return found
+        for _, _, a, name, b in sorted(hits):
+            if not any(taken[a:b]):
+                taken[a:b] = bytes([1]) * (b - a)
+                found.add((int(spans[a, 0]), int(spans[b - 1, 1]), name))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_whole_scans_by_brute_force(seed):
+    """Exact, reworded and crowded notices amid prose that holds their rarest words."""
+    rng = np.random.default_rng(seed)
+    names = sorted(licenses.TEMPLATES)
+    prose = [t for name in names for t in licenses._words(licenses.TEMPLATES[name])] + ["tree", "river", "house", "night"] * 40
+    text, planted = [], []
+    for _ in range(14):
+        text += rng.choice(prose, int(rng.integers(0, 60))).tolist()
+        name = names[int(rng.integers(len(names)))]
+        words = licenses.TEMPLATES[name].split()
+        for k in rng.choice(len(words), int(len(words) * rng.choice([0, 0.05, 0.12])), replace=False).tolist():
+            words[k] = "changed"
+        planted.append(name)
+        text += words
+    whole = " ".join(text)
+    got = {(f["start"], f["end"], f["template"]) for f in licenses.Scanner().scan(whole)}
+    assert got == brute_force(whole) and len(got) >= len(planted) - 1
+
+
+def test_every_place_holds_a_cue_word():
+    for t in licenses.Scanner().templates:
+        assert sum(t.words.count(w) for w in t.cues) > len(t.words) - t.need
+
+
+def test_each_block_is_compressed_with_every_template_of_its_size(monkeypatch):
+    seen = []
+    real = licenses.Scanner.reductions
+    monkeypatch.setattr(licenses.Scanner, "reductions", lambda self, block, templates: seen.append((block, [t.name for t in templates])) or real(self, block, templates))
+    scanner = licenses.Scanner()
+    assert [f["template"] for f in scanner.scan("x " * 500 + licenses.TEMPLATES["CC-BY-SA-4.0"] + " y" * 500)] == ["CC-BY-SA-4.0"]
+    sizes = {tuple(t.name for t in group): scanner.reach[size] for size, group in scanner.sizes.items()}
+    blocks = [(block, tuple(names)) for block, names in seen if tuple(names) in sizes]
+    rest = {block for block, names in seen if tuple(names) not in sizes}
+    wording = " ".join(licenses._words(licenses.TEMPLATES["CC-BY-SA-4.0"]))
+    assert {names for _, names in blocks} >= {names for names in sizes if set(names) & {"CC-BY-SA-4.0", "MIT", "Apache-2.0-header"}}
+    assert all(len(block.split()) <= 2 * sizes[names] for block, names in blocks)
+    assert rest == {wording}  # both licences of this kind fit: each is measured by the words alone
+
+
+def test_the_ranking_decides_between_rivals(monkeypatch):
+    """Both headers stand in each other's wording; what saves more bytes gets the place, whichever that is."""
+    text = licenses.TEMPLATES["GPL-3.0-header"]
+    assert [f["template"] for f in licenses.Scanner().scan(text)] == ["GPL-3.0-header"]
+    real = licenses.Scanner.reductions
+    monkeypatch.setattr(licenses.Scanner, "reductions", lambda *a: {k: (9999 if k == "AGPL-3.0-header" else n, s) for k, (n, s) in real(*a).items()})
+    assert [f["template"] for f in licenses.Scanner().scan(text)] == ["AGPL-3.0-header"]
+
+
+def test_own_templates_empty_tables_and_clashing_keys(spark):
+    frame = spark.createDataFrame([("k", "Der Text ist frei wie der Wind."), (None, "text ist frei wie der"), ("z", None)], "template string, text string")
+    got = licenses.scan_licenses(frame, "template", templates={"eigen": "Text ist frei wie"})
+    assert [(r.template_, r.template) for r in got.collect()] == [("k", "eigen"), (None, "eigen")]
+    assert licenses.scan_licenses(frame.where("template = '-'"), "template").count() == 0
+    assert licenses.scan_licenses(frame, "text").count() == 0
+    assert licenses.Scanner({}).scan("All rights reserved.") == []
+    with pytest.raises(ValueError):
+        licenses.Scanner({"none": "..."})
+
+
+def test_many_notices_in_one_text():
+    text = "\n".join(licenses.TEMPLATES[n] for n in ("MIT", "reserved", "Apache-2.0", "CC-BY-4.0") * 300)
+    assert len(licenses.Scanner().scan(text)) == 1200
+
+
 def test_wrapped_notices_pass_the_filter_of_texts(spark):
     frame = spark.createDataFrame([(1, "/* All rights\n * reserved. */")], "doc_id bigint, text string")
     assert [r.template for r in licenses.scan_licenses(frame).collect()] == ["reserved"]
