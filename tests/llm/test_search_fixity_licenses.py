@@ -26,7 +26,7 @@ def test_top_k_by_brute_force(spark, monkeypatch, cell, block, bucket):
     frame = spark.createDataFrame([(i, v, 1) for i, v in vectors()], "vec_id bigint, embedding array<double>, label int")
     rows = topk.quantised(frame)
     whole = [(r.vec_id, r.vector) for r in rows.collect()]
-    assert len(whole) == 400 + 30 + 2 + 2
+    assert len(whole) == 400 + 30 + 3 + 2  # an empty vector takes part
     got = topk.exact_top_k(rows, rows.where("vec_id % 50 = 0"), 5).collect()
     queries: dict[int, list] = {}
     for i, v in whole:
@@ -74,6 +74,39 @@ def test_one_cell_with_many_rows_of_an_id(monkeypatch, bucket):
             assert list(zip(found[q == n].tolist(), score[q == n].tolist())) == want
 
 
+def test_scores_beyond_doubles_are_exact(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.integers(-(2**31), 2**31, 16).tolist()) for k in range(200)] + [(500 + k, [2**31 - 1] * 15 + [k]) for k in range(6)]
+    rows += [(600, [2**62, 2**62]), (601, [-(2**62), -(2**62)]), (602, []), (603, [-(2**63)]), (604, [])]
+    frame = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    got = topk.exact_top_k(frame, frame.where("vec_id % 50 = 0 or vec_id > 499"), 4)
+    want = []
+    for q, v in rows:
+        if q % 50 == 0 or q > 499:
+            scores = sorted((-max(-(2**63 - 1), min(2**63 - 1, sum(a * b for a, b in zip(v, x)))), i) for i, x in rows if i != q)
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:4])]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert topk.quantised(spark.createDataFrame([(1, [1e17, -1e300])], "vec_id long, embedding array<double>")).first().vector == [2**63 - 1, -(2**63)]
+
+
+def test_queries_are_sent_only_where_they_may_find_something(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CELL_ROWS", 16)
+    rng = np.random.default_rng(7)
+    rows = [(k, np.round(rng.normal(0, 1, 4) * 1.3 ** (k % 30) * 10).astype(int).tolist()) for k in range(1200)]
+    frame = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    sent, real = [], topk._sent
+    monkeypatch.setattr(topk, "_sent", lambda *a: sent.append((real(*a).count(), a[-2:])) or real(*a))
+    got = topk.exact_top_k(frame, frame.where("vec_id % 50 = 0"), 5)
+    grid = np.array([v for _, v in rows])
+    want = []
+    for q in range(0, 1200, 50):
+        scores = sorted((-int(s), i) for i, s in enumerate(grid @ grid[q]) if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    everything = 24 * sent[-1][1][1]  # each query to each cell
+    assert sum(n for n, _ in sent) < 0.5 * everything
+
+
 def test_coordinates_never_lose_a_vector():
     rng = np.random.default_rng(8)
     base = rng.normal(0, 100, 16)
