@@ -2,17 +2,22 @@
 
 Each task turns its documents into suffix arrays of words, about a million suffixes each, sorted by
 their first 16 words.  Every window of every item is searched in every array; matches are verified on
-the full word hashes and then followed to their end for the longest verbatim match.
+the full word hashes.  The longest verbatim match at a place is with a neighbour of the document's suffix among
+the sorted suffixes of the items, so occurrences are never paired with all items that share a window; items are
+looked up once for each window of a document, however often it occurs there.
 
 A window is ``WINDOW`` consecutive words of an item; an item of fewer words, but not none, is one window.
 Words are 64-bit hashes of maximal runs of digits, letters and non-ASCII bytes, A-Z lower-cased.
 
 The index of an item set is broadcast in parts of at most ``PART_WORDS`` words each; a larger item set
-is searched part after part, and the spans found so far travel with each row.
+is searched ``PASS_PARTS`` parts after the other in one pass, and further passes over stored rows; the spans found
+so far travel with each row.
 
 Defined results: null and empty texts have no words, no hits and no items, and are not contaminated;
 repeated rows are answered one by one; items of equal id count once, a null id reads as the empty
-string; an item without words is never found; a result column replaces one of its name.
+string; an item without words is never found; a result column replaces one of its name; of equally long matches the
+earliest in the document counts, and there the first item by id; a match of more than half of ``PART_WORDS`` words
+may be reported shorter.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ from talkgauge.llm.text import batches, texts_words
 
 WINDOW = 13
 PART_WORDS = 1 << 21
+PASS_PARTS = 4
+_PAIRS = 1 << 20  # windows of documents and items that share them, looked at together
 _SHARD = (1 << 20) - 2
 _BATCH = 4 << 20
 _HEAD = np.uint64(20)  # the upper 44 bits of a word's hash order the suffixes
@@ -43,15 +50,17 @@ class Windows:
     words: np.ndarray  # all distinct item texts in a row, each followed by the hash 1
     window: np.ndarray  # position of one occurrence of each distinct window
     size: np.ndarray  # its words
-    suffix: np.ndarray  # positions of all windows, grouped by window
+    suffix: np.ndarray  # positions of all windows, grouped by window, in order of the suffixes that begin there
     suffix_at: np.ndarray
+    item: np.ndarray  # the distinct item texts of each window
+    item_at: np.ndarray
     text_of: np.ndarray  # the item text of each word
     names: list[list[str]]  # the ids of each item text
 
     @classmethod
     def of(cls, items: list[tuple[str, np.ndarray]]) -> Windows:
         texts: dict[bytes, list[str]] = {}
-        for name, words in items:
+        for name, words in sorted(items, key=lambda i: i[0]):
             if len(words):
                 texts.setdefault(words.tobytes(), []).append(name)
         rows = [np.frombuffer(t, dtype=np.uint64) for t in texts]
@@ -69,9 +78,28 @@ class Windows:
         grid = padded[start[:, None] + np.arange(WINDOW)]
         grid[np.arange(WINDOW) >= size[:, None]] = 0
         _, first, group = np.unique(grid, axis=0, return_index=True, return_inverse=True)
-        order = np.argsort(group.ravel(), kind="stable")
-        suffix_at = np.searchsorted(group.ravel()[order], np.arange(len(first) + 1))
-        return cls(words, start[first], size[first], start[order], suffix_at, text_of, [sorted(set(n)) for n in texts.values()])
+        group = group.ravel()
+        order = np.lexsort((suffix_ranks(words)[start], group))
+        suffix_at = np.searchsorted(group[order], np.arange(len(first) + 1))
+        held = np.unique(group * len(rows) + text_of[start]) if len(rows) else np.zeros(0, np.int64)
+        item_at = np.searchsorted(held, np.arange(len(first) + 1) * len(rows))
+        item = held % max(1, len(rows))
+        return cls(words, start[first], size[first], start[order], suffix_at, item, item_at, text_of, [sorted(set(n)) for n in texts.values()])
+
+
+def suffix_ranks(words: np.ndarray) -> np.ndarray:
+    """The place of each suffix among all suffixes, by doubling to their whole length."""
+    n = len(words)
+    _, rank = np.unique(words, return_inverse=True)
+    rank = rank.ravel().astype(np.int64)
+    depth = 1
+    while depth < n and rank.max(initial=0) < n - 1:
+        later = np.zeros(n, dtype=np.int64)
+        later[: n - depth] = rank[depth:] + 1
+        _, rank = np.unique(rank * (n + 1) + later, return_inverse=True)
+        rank = rank.ravel().astype(np.int64)
+        depth *= 2
+    return rank
 
 
 def suffix_array(keys: np.ndarray) -> np.ndarray:
@@ -144,17 +172,50 @@ def occurrences(words: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.nda
     return np.concatenate(found), np.concatenate(places)
 
 
-def _followed(words: np.ndarray, place: np.ndarray, windows: Windows, suffix: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Words that agree from each place and suffix on, beyond the window."""
+def _followed(words: np.ndarray, place: np.ndarray, windows: Windows, suffix: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words that agree from each place and suffix on, beyond the window, and whether the text's next word is smaller or ends it."""
     length = size.copy()
+    below = np.zeros(len(place), dtype=bool)
     live = np.arange(len(place))
     while len(live):
-        a, b = place[live] + length[live], suffix[live] + length[live]
-        inside = (a < len(words)) & (b < len(windows.words))
-        live, a, b = live[inside], a[inside], b[inside]
-        live = live[words[a] == windows.words[b]]
+        a, b = words[np.minimum(place[live] + length[live], len(words) - 1)], windows.words[np.minimum(suffix[live] + length[live], len(windows.words) - 1)]
+        below[live] = a < b
+        live = live[a == b]
         length[live] += 1
-    return length
+    return length, below
+
+
+def _longest(words: np.ndarray, place: np.ndarray, which: np.ndarray, windows: Windows) -> np.ndarray:
+    """Words of the longest match that begins at each place with a window.
+
+    All suffixes that begin with the window are in order, so the best one stands beside the place where the
+    document's own suffix would stand among them.
+    """
+    low, high = windows.suffix_at[which].copy(), windows.suffix_at[which + 1].copy()
+    best = windows.size[which].copy()
+    while len(live := np.flatnonzero(low < high)):
+        middle = (low[live] + high[live]) >> 1
+        length, below = _followed(words, place[live], windows, windows.suffix[middle], windows.size[which[live]])
+        best[live] = np.maximum(best[live], length)
+        high[live] = np.where(below, middle, high[live])
+        low[live] = np.where(below, low[live], middle + 1)
+    return best
+
+
+def _shares(at: np.ndarray, which: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Cuts of a list of windows into runs whose entries in a grouped list are at most ``_PAIRS``, or one window's."""
+    total = np.concatenate(([0], np.cumsum(at[which + 1] - at[which])))
+    i = 0
+    while i < len(which):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + _PAIRS, side="right")) - 1)
+        yield i, j
+        i = j
+
+
+def _entries(at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window all its entries in a grouped list: the window's number in ``which``, and the entry's position."""
+    count = at[which + 1] - at[which]
+    return np.repeat(np.arange(len(which)), count), np.repeat(at[which] - np.cumsum(count) + count, count) + np.arange(count.sum())
 
 
 def _search(rows: pa.Table, text: str, state: str, windows: Windows) -> list[dict]:
@@ -173,22 +234,30 @@ def _search(rows: pa.Table, text: str, state: str, windows: Windows) -> list[dic
     np.add.at(flow, place + windows.size[which], -1)
     hit = np.cumsum(flow)[:-1] > 0
     doc = np.searchsorted(begins, place, side="right") - 1
-    per_window = np.diff(windows.suffix_at)[which]
-    pair = np.repeat(np.arange(len(which)), per_window)
-    suffix = windows.suffix[np.repeat(windows.suffix_at[which] - np.cumsum(per_window) + per_window, per_window) + np.arange(per_window.sum())]
-    length = _followed(words, place[pair], windows, suffix, windows.size[which][pair])
-    text_no = windows.text_of[suffix]
     best: dict[int, tuple] = {}
-    items: dict[int, set[int]] = {}
-    if len(pair):
-        own = np.unique(np.stack((doc[pair], text_no), axis=1), axis=0)
-        for d, t in own.tolist():
-            items.setdefault(d, set()).add(t)
-        order = np.lexsort((place[pair], text_no, -length, doc[pair]))
-        heads = order[np.unique(doc[pair][order], return_index=True)[1]]
-        for k in heads.tolist():
-            d = int(doc[pair][k])
-            best[d] = (int(length[k]), windows.names[int(text_no[k])][0], int(place[pair][k] - begins[d]))
+    items: dict[int, list[int]] = {}
+    if len(which):
+        n_windows, n_texts = len(windows.window), len(windows.names)
+        once = np.unique(doc * n_windows + which)
+        once_doc, once_window = once // n_windows, once % n_windows
+        own = np.zeros(0, np.int64)
+        for i, j in _shares(windows.item_at, once_window):
+            pair, entry = _entries(windows.item_at, once_window[i:j])
+            own = np.union1d(own, once_doc[i:j][pair] * n_texts + windows.item[entry])
+        for d, t in zip((own // n_texts).tolist(), (own % n_texts).tolist()):
+            items.setdefault(d, []).append(t)
+        length = _longest(words, place, which, windows)
+        order = np.lexsort((place, -length, doc))
+        heads = order[np.unique(doc[order], return_index=True)[1]]
+        for i, j in _shares(windows.suffix_at, which[heads]):
+            part = heads[i:j]
+            pair, entry = _entries(windows.suffix_at, which[part])
+            as_long = _followed(words, place[part][pair], windows, windows.suffix[entry], windows.size[which[part]][pair])[0] == length[part][pair]
+            first = np.full(len(part), n_texts)
+            np.minimum.at(first, pair[as_long], windows.text_of[windows.suffix[entry[as_long]]])
+            for k, t in zip(part.tolist(), first.tolist()):
+                d = int(doc[k])
+                best[d] = (int(length[k]), windows.names[t][0], int(place[k] - begins[d]))
     edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
     span_doc = np.searchsorted(begins, edges[::2], side="right") - 1
     spans: dict[int, list[int]] = {}
@@ -201,7 +270,7 @@ def _search(rows: pa.Table, text: str, state: str, windows: Windows) -> list[dic
         if d in spans:
             row["spans"] = _united(old["spans"], spans[d])
             row["items"] = sorted(set(old["items"]).union(*(windows.names[t] for t in items[d])))
-            if best[d][0] > old["longest"]:
+            if (-best[d][0], best[d][2], best[d][1]) < (-old["longest"], old["longest_at"] or 0, old["longest_item"] or ""):
                 row["longest"], row["longest_item"], row["longest_at"] = best[d]
         out.append(row)
     return out
@@ -276,7 +345,9 @@ def find_benchmark(
     source = without(docs.withColumn(value, F.col(f"`{text}`")), results if with_text else [*results, text])
     found = source.withColumn(state, F.lit(None).cast(_STATE))
     session = docs.sparkSession.sparkContext
-    for part in _item_parts(benchmark, item, item_text):
+    for number, part in enumerate(_item_parts(benchmark, item, item_text)):
+        if number and number % PASS_PARTS == 0:
+            found = stored(found, "searched")
         shared = session.broadcast(part)
 
         def run(arrivals, shared=shared):

@@ -81,3 +81,67 @@ def test_matches_across_shards(monkeypatch):
     got = {(int(p), int(windows.window[w])) for w, p in zip(which, place)}
     want = {(p, k) for p in range(len(stream) - 12) for k in range(18) if (stream[p : p + 13] == item[k : k + 13]).all()}
     assert got == want
+
+
+def searched(texts: list[str], windows: d.Windows) -> list[dict]:
+    import pyarrow as pa
+
+    rows = pa.table({"text": pa.array(texts, pa.string()), "state": pa.array([None] * len(texts), d._ARROW_STATE)})
+    return d._search(rows, "text", "state", windows)
+
+
+def hashed(text: str) -> np.ndarray:
+    import pyarrow as pa
+
+    return d.texts_words(pa.array([text]))[0]
+
+
+@pytest.mark.parametrize("pairs", [d._PAIRS, 7])
+def test_longest_matches_by_trying_every_pair(monkeypatch, pairs):
+    """Items that share passages, documents that repeat them: length, first place and first item."""
+    monkeypatch.setattr(d, "_PAIRS", pairs)
+    rng = random.Random(21)
+    shared = [[f"w{rng.randrange(400)}" for _ in range(rng.randint(13, 30))] for _ in range(4)]
+    lists = {f"i{k}": [w for _ in range(rng.randint(1, 3)) for w in rng.choice(shared)] + [f"own{k}"] * (k % 3) for k in range(15)}
+    lists |= {"twin": lists["i4"], "short": ["w1", "kurz"]}
+    docs = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            source = rng.choice([*lists.values(), *shared])
+            a = rng.randrange(len(source))
+            parts += source[a : rng.randint(a, len(source))] + ["kurz"] * rng.randrange(2)
+        docs.append(parts)
+    windows = d.Windows.of([(name, hashed(" ".join(w))) for name, w in reversed(lists.items())])
+    got = searched([" ".join(w) for w in docs], windows)
+    several = 0
+    for words_, row in zip(docs, got):
+        best = (0, None, None)
+        for p in range(len(words_)):
+            for name, item in sorted(lists.items()):
+                size = min(13, len(item))
+                for s in range(max(1, len(item) - 12)):
+                    n = 0
+                    while p + n < len(words_) and s + n < len(item) and words_[p + n] == item[s + n]:
+                        n += 1
+                    if n >= size and n > best[0]:
+                        best = (n, name, p)
+        assert (row["longest"], row["longest_item"], row["longest_at"]) == best
+        several += len(row["items"]) > 1
+    assert several > 10
+
+
+def test_a_phrase_of_all_items_repeated_often():
+    """2,000 items share a phrase that one document repeats 5,000 times: never 80 million pairs at once."""
+    import tracemalloc
+
+    phrase = " ".join(f"geteilt{k}" for k in range(20))
+    windows = d.Windows.of([(f"i{k:04}", hashed(f"{phrase} {' '.join(f'e{k}x{j}' for j in range(10))}")) for k in range(2000)])
+    text = f"{phrase}. " * 5000 + f"{phrase} e77x0 e77x1 e77x2"
+    tracemalloc.start()
+    (row,) = searched([text], windows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert row["spans"] == [0, 5001 * 20 + 3] and len(row["items"]) == 2000
+    assert (row["longest"], row["longest_item"], row["longest_at"]) == (23, "i0077", 5000 * 20)
+    assert peak < 300 << 20
