@@ -5,8 +5,8 @@
    threshold.  Nodes meet on band hashes.  Of each band hash only its smallest node, the *leader*, and
    whether there are others are kept, by an aggregation that combines before the shuffle.
 3. Every node joins the groups of its leaders.  Two nodes that share a band hash share its leader, so all
-   pairs to verify lie inside groups.  Large groups are cut into blocks; each pair of blocks is one piece
-   of work of bounded size, in which full sets are intersected as matrix products.  Pairs are never rows:
+   pairs to verify lie inside groups.  Groups of many texts or of long ones are cut into blocks, bounded in rows
+   and in bytes; each pair of blocks is one piece of work of bounded size, in which full sets are intersected as matrix products.  Pairs are never rows:
    a piece of work returns one row per node, with its links and the smallest node it reaches.
    A pair that shares several leaders counts with the smallest.
 4. Classes are connected components of what is reached, by smallest labels and pointer jumping.
@@ -36,8 +36,10 @@ SHINGLE = 5
 _BATCH = 2 << 20
 _LANE = 1 << 15
 _BLOCK = 256
+_BLOCK_BYTES = 4 << 20
 _TASK_ROWS = 2048
-_FILTER_BITS = 1 << 23
+_TASK_BYTES = 32 << 20
+_FILTER_BITS = 1 << 23, 1 << 28  # at least and at most: 1 and 32 MB
 
 
 def choose_bands(threshold: float = 0.8, recall: float = 0.9995, most_hashes: int = 160) -> tuple[int, int]:
@@ -103,12 +105,17 @@ def _members(nodes: DataFrame) -> DataFrame:
 
 
 def _bitmap(nodes: DataFrame) -> np.ndarray:
-    """A filter of fixed size that every given node passes."""
-    place = F.pmod(F.col("node"), F.lit(_FILTER_BITS))
-    words = nodes.groupBy((place / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(node, {_FILTER_BITS}) % 64 AS INT))")).alias("bits"))
-    out = np.zeros(_FILTER_BITS // 64, dtype=np.int64)
-    for row in words.collect():  # at most _FILTER_BITS / 64 rows
-        out[row["word"]] = row["bits"]
+    """A filter that every given node passes and, up to some 2^25 nodes, at most an eighth of the others.
+
+    Its size follows the number of nodes up to a bound; beyond that more of the others pass, which costs work only.
+    """
+    least, most = _FILTER_BITS
+    size = min(most, max(least, 1 << int(8 * nodes.count()).bit_length()))
+    place = F.pmod(F.col("node"), F.lit(size))
+    words = nodes.groupBy((place / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(node, {size}) % 64 AS INT))")).alias("bits"))
+    out = np.zeros(size // 64, dtype=np.int64)
+    found = words.toArrow()  # at most size / 64 rows of 12 bytes
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
     return out
 
 
@@ -118,7 +125,7 @@ def _passes(nodes: DataFrame) -> Callable[[Column], Column]:
 
     @F.pandas_udf("boolean")
     def passes(node: pd.Series) -> pd.Series:
-        place = np.mod(node.to_numpy(), _FILTER_BITS)
+        place = np.mod(node.to_numpy(), 64 * len(shared.value))
         return pd.Series(((shared.value[place >> 6] >> (place & 63)) & 1).astype(bool))
 
     return passes
@@ -132,7 +139,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         bits = shared.value
         for part in batches(arrivals, "text", _BATCH):
             node = part["node"].to_numpy()
-            place = np.mod(node, _FILTER_BITS)
+            place = np.mod(node, 64 * len(bits))
             passing = np.flatnonzero((bits[place >> 6] >> (place & 63)) & 1)
             _, first = np.unique(node[passing], return_index=True)  # copies in one batch
             passing = passing[np.sort(first)]
@@ -199,19 +206,21 @@ def _links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     numerator, denominator = round(threshold * 1000), 1000
     known = members.groupBy("node").agg(F.sort_array(F.collect_set("leader")).alias("leaders"))
     rich = stored(sets.join(known, "node"), "near-sets")
-    sizes = members.groupBy("leader").agg(F.ceil(F.count("*") / _BLOCK).alias("blocks"))
-    placed = members.join(sizes, "leader").withColumn("block", F.pmod(F.xxhash64("node", "leader"), F.col("blocks")))
+    weighed = members.join(rich.select("node", F.octet_length("runs").alias("bytes")), "node")
+    blocks = F.greatest(F.ceil(F.count("*") / _BLOCK), F.ceil(F.sum("bytes") / _BLOCK_BYTES))
+    placed = weighed.join(weighed.groupBy("leader").agg(blocks.alias("blocks")), "leader").withColumn("block", F.pmod(F.xxhash64("node", "leader"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    work = placed.select("node", "leader", "block", other)
-    work = stored(work.select("node", "leader", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")), "near-work")
-    tasks = max(1, -(-work.count() // _TASK_ROWS))
+    work = placed.select("node", "leader", "block", "bytes", other)
+    work = stored(work.select("node", "leader", "block", "bytes", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")), "near-work")
+    n, size = work.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, -(-n // _TASK_ROWS), -(-size // _TASK_BYTES))
     task = F.pmod(F.xxhash64("leader", "low", "high"), F.lit(tasks))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         parts = [_verify(g, *key, numerator, denominator) for key, g in rows.groupby(["leader", "low", "high"], sort=False) if len(g) > 1]
         return pd.concat(parts) if parts else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("node", "texts", "docs", "root")})
 
-    full = work.join(rich, "node").withColumn("task", task)
+    full = work.drop("bytes").join(rich, "node").withColumn("task", task)
     return full.groupBy("task").applyInPandas(run, "node bigint, texts bigint, docs bigint, root bigint")
 
 

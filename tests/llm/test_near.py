@@ -37,9 +37,12 @@ def all_pairs(texts: list[str | None]) -> tuple[list[int], list[int]]:
     return root, links
 
 
-@pytest.mark.parametrize("block", [256, 7])
-def test_links_and_classes(spark, odd_docs, monkeypatch, block):
+@pytest.mark.parametrize("block,size,filter_bits", [(256, near._BLOCK_BYTES, near._FILTER_BITS), (7, 5000, (64, 128))])
+def test_links_and_classes(spark, odd_docs, monkeypatch, block, size, filter_bits):
     monkeypatch.setattr(near, "_BLOCK", block)  # small blocks: the group of near copies is verified in parts
+    monkeypatch.setattr(near, "_BLOCK_BYTES", size)
+    monkeypatch.setattr(near, "_TASK_BYTES", 4 * size)
+    monkeypatch.setattr(near, "_FILTER_BITS", filter_bits)  # a full filter lets all pass
     rows = odd_texts()
     root, links = all_pairs([t for _, t, _ in rows])
     members: dict[int, list] = {}
@@ -88,3 +91,18 @@ def test_components(spark):
             break
     got = near.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
     assert {r.node: r.label for r in got} == root
+
+
+def test_work_is_cut_by_bytes(spark, monkeypatch):
+    """60 near copies with sets of 40 kB: no piece of work holds more than two blocks of about 200 kB."""
+    monkeypatch.setattr(near, "_BLOCK_BYTES", 200_000)
+    monkeypatch.setattr(near, "_TASK_BYTES", 400_000)
+    base = [f"w{k}" for k in range(5000)]
+    docs = [(n, " ".join(base[:n] + ["neu"] + base[n + 1 :])) for n in range(0, 240, 4)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    works, real = [], near.stored
+    monkeypatch.setattr(near, "stored", lambda f, label: works.append(w) or w if (w := real(f, label)) is not None and label == "near-work" else w)
+    got = near.near_duplicates(frame).collect()
+    assert {(r.class_id, r.n_links) for r in got} == {(0, 59)}
+    pieces = [r.size for r in works[0].groupBy("leader", "low", "high").agg({"bytes": "sum"}).toDF("leader", "low", "high", "size").collect()]
+    assert max(pieces) < 60 * 40_000 / 2 and len(pieces) > 50
