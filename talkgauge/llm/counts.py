@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import unicodedata
 from dataclasses import dataclass
@@ -282,14 +283,16 @@ class Counter:
         self.words = WordTransducer(tokenizer.merges)
         self.step, self.mark = scanner_tables()
         self.classes = character_classes()
-        self.special = re.compile("|".join(map(re.escape, tokenizer.specials))) if tokenizer.specials else None
+        longest_first = sorted(filter(None, tokenizer.specials), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, longest_first))) if longest_first else None
+        self.sign = os.path.commonprefix(longest_first)  # no special string without it
 
     def count(self, texts: list[str | None]) -> np.ndarray:
         extra = np.zeros(len(texts), dtype=np.int64)
         parts = []
         for k, text in enumerate(texts):
             text = text or ""
-            if self.special and "<|" in text:
+            if self.special and self.sign in text:
                 extra[k] = len(self.special.findall(text))
                 text = "\n".join(_lowered(p) for p in self.special.split(text))
             else:

@@ -84,3 +84,15 @@ def test_scan_does_not_depend_on_chunks(monkeypatch):
     whole = counts.scan(classes, step, mark)
     monkeypatch.setattr(counts, "_CHUNK", 3)
     assert (counts.scan(classes, step, mark) == whole).all()
+
+
+def test_special_strings_of_any_form():
+    """Added tokens without a common beginning, one of them the beginning of another."""
+    library, own = Tokenizer.from_file(WORDS), counts.WordTokenizer.load(WORDS)
+    more = ["[A]", "[A]B", "§§"]
+    library.add_special_tokens(more)
+    counter = counts.Counter(counts.WordTokenizer(own.merges, [*own.specials, *more], own.key))
+    texts = ["a[A]b [A]B c", "[A][A]B[A]", "§§§ §", "x<|endoftext|>[A]", "[a] plain [A", "", "Ä[A]B Ö §§"]
+    assert counter.count(texts).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    bare = counts.Counter(counts.WordTokenizer(own.merges, [], own.key))
+    assert bare.count(["ab", ""]).tolist() == [len(library.encode("ab", add_special_tokens=False).ids), 0]
