@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from talkgauge.llm import fixity, licenses, topk
+from talkgauge.llm.queries import op9_top_inner_products
 
 
 def vectors() -> list[tuple]:
@@ -58,6 +59,21 @@ def test_repeated_rows_and_ids_crowd_out_nothing(spark):
     assert found == {1: [70, 71, 59, 58, 57], 59: [70, 71, 58, 57, 56], 71: [70, 59, 58, 57, 56]}
 
 
+def test_every_row_is_a_query_and_a_candidate_of_its_own(spark, tmp_path):
+    rng = np.random.default_rng(14)
+    rows = [(k, rng.normal(0, 1, 4).tolist()) for k in range(160)]
+    rows += [rows[k] for k in range(3, 160, 7)] + [rows[50], rows[100], rows[100], (100, rows[7][1]), (160, rows[7][1]), (161, None), (None, rows[7][1])]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    whole = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows if v and i is not None]
+    want = []
+    for n, (q, v) in enumerate(whole):
+        if q % 50 == 0:
+            best = sorted((-int(v @ x), i) for m, (i, x) in enumerate(whole) if m != n)[:5]
+            want += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(best)]
+    assert len(want) == 5 * 9  # 50, 100 and 150 stand several times
+    assert sorted(map(tuple, op9_top_inner_products(spark, str(tmp_path)).collect())) == sorted(want)
+
+
 @pytest.mark.parametrize("bucket", [4, 16, 512])
 def test_one_cell_with_many_rows_of_an_id(monkeypatch, bucket):
     monkeypatch.setattr(topk, "BUCKET_ROWS", bucket)
