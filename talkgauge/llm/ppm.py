@@ -1,14 +1,18 @@
 """Language-model scores: prediction by partial matching over bytes, and a word model as base line.
 
-The byte model is a trie of contexts of up to ``ORDER`` bytes, with counts from all learning texts.  It
-keeps the runs of bytes whose share of all bytes is at least ``SHARE``, so it has at most
-(ORDER + 1) / SHARE nodes at any size of the corpus.  A byte is coded in the longest context that the trie
-has.  Escapes are estimated by method D, the counts of dropped runs added; a context reached by an escape
-leaves out the bytes that the context before offered.  Texts begin behind the sign 255, which UTF-8 never
-uses, and end with it, so that the probabilities of all texts sum to 1.
+The byte model is a trie of contexts of up to ``ORDER`` bytes, with counts from all learning texts.  It has
+every run of bytes that occurs in them, unless ``SHARE`` asks for a least share of all bytes; then the counts of
+dropped runs are added to escapes.  A byte is coded in the longest context that the trie has.  Escapes are
+estimated by method D; a context reached by an escape leaves out the bytes that the context before offered.
+Texts begin behind the sign 255, which UTF-8 never uses, and end with it, so that the probabilities of all texts
+sum to 1.
 
 Counts of words and of byte runs are summed in Spark.  The commonest words, at most ``COMMON``, are
-broadcast; the others reach their counts by a join on the word's hash, pre-summed per text.
+broadcast; the others reach their counts by a join on the word's hash, pre-summed per text.  A trie of few runs
+is broadcast as it is.  Otherwise every run of ORDER + 1 bytes of any text, learnt or not, gets its probability
+where the part of the trie that it asks lies: runs are dealt by the last ``LOW`` bytes before their last one, which
+all longer contexts share; runs of at most ``LOW`` bytes are known everywhere.  The commonest probabilities, at most
+``COMMON_RUNS``, are broadcast, the others joined like the rarer words.
 
 Defined results: a null or empty text is its end only; rows of equal id and text are answered as often as
 they occur; without learning texts the base score is 0 and every byte has probability 1/256.
@@ -20,7 +24,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkgauge.llm.bpe import IntMap
@@ -28,13 +33,17 @@ from talkgauge.llm.frames import held_out, stored
 from talkgauge.llm.text import LOWER, SPACED_BYTES, batches, column_bytes, texts_words
 
 ORDER = 6
-SHARE = 5e-7
+SHARE = 0.0
 COMMON = 1 << 18
+COMMON_RUNS = 1 << 20
+TRIE_RUNS = 1 << 17  # different runs of ORDER + 1 bytes up to which the whole trie is broadcast
+LOW = 3
 _END = 255
 _LONG = 8 * (ORDER + 1)
 _BATCH = 1 << 20
 _HELD = 1 << 20  # codes that a task sums before it passes them on
 _PIECE = 1 << 17
+_CHUNK = 1 << 18  # runs whose part of the trie is built at once, or one group, if larger
 _ROOT = 0
 
 
@@ -163,6 +172,88 @@ class Scorer:
         return out
 
 
+@dataclass
+class Answers:
+    """Logarithms of the commonest runs of ORDER + 1 bytes."""
+
+    runs: IntMap
+    log: np.ndarray
+
+    def score(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per text the sum over its common runs; the text and the code of every other run."""
+        out, texts, rare = np.zeros(len(at) - 1), [], []
+        codes, ends = byte_runs(data, at)
+        for a in range(0, len(codes), _PIECE):
+            part = codes[a : a + _PIECE]
+            text = np.searchsorted(ends, np.arange(a, a + len(part)), side="right") - 1
+            place = self.runs.get(part.astype(np.int64))
+            common = place >= 0
+            out += np.bincount(text[common], weights=self.log[place[common]], minlength=len(out))
+            texts.append(text[~common])
+            rare.append(part[~common])
+        return out, np.concatenate([np.zeros(0, np.int64), *texts]), np.concatenate([np.zeros(0, np.uint64), *rare])
+
+
+def _totals(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different codes and the sums of their counts."""
+    order = np.argsort(codes)
+    codes, counts = codes[order], counts[order]
+    heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1])))
+    return codes[heads], np.add.reduceat(counts, heads) if len(heads) else counts[:0]
+
+
+def local_model(low: tuple[np.ndarray, np.ndarray, np.ndarray], codes: np.ndarray, counts: np.ndarray, texts: int, least: float) -> ByteModel:
+    """The part of the trie that ``codes`` ask: runs of ORDER + 1 bytes, all with the same LOW bytes before the last one
+    or none.  ``low`` holds length, code and count of the kept runs of at most LOW bytes."""
+    lengths, runs, sums = ([x] for x in low)
+    learnt = counts > 0
+    codes, counts = codes[learnt], counts[learnt]
+    inner = (codes >> 8 & 255) != _END  # contexts that are runs; their counts are those of all that follows them
+    for length in range(LOW + 1, ORDER + 2):
+        found = [_totals(codes & _mask(length), counts)]
+        if length <= ORDER:
+            found.append(_totals(codes[inner] >> 8 & _mask(length), counts[inner]))
+        for run, n in found:
+            kept = n >= least
+            lengths.append(np.full(kept.sum(), length))
+            runs.append(run[kept])
+            sums.append(n[kept])
+    length, run, n = (np.concatenate(x) for x in (lengths, runs, sums))
+    _, first = np.unique(length << _LONG | run, return_index=True)
+    return ByteModel.of(length[first], run[first], n[first], texts)
+
+
+def _answered(counts: DataFrame, low: tuple[np.ndarray, np.ndarray, np.ndarray], texts: int, least: float) -> DataFrame:
+    """The logarithm (value) of every run (code, n) of ORDER + 1 bytes."""
+    shared = counts.sparkSession.sparkContext.broadcast(low)
+
+    def answers(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        model = local_model(shared.value, codes, n, texts, least)
+        value = [model.log_probability(codes[a : a + _PIECE]) for a in range(0, len(codes), _PIECE)]
+        return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n), pa.array(np.concatenate(value))], ["code", "n", "value"])
+
+    def run(arrivals):
+        held, size = [], 0
+        for batch in arrivals:
+            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("code", "n")])
+            size += batch.num_rows
+            if size >= _CHUNK:
+                codes, n = (np.concatenate(x) for x in zip(*held))
+                group = codes >> 8 & _mask(LOW)
+                whole = int(np.searchsorted(group, group[-1]))  # the last group may go on
+                if whole:
+                    yield answers(codes[:whole], n[:whole])
+                held, size = [[codes[whole:], n[whole:]]], 0
+        if held:
+            codes, n = (np.concatenate(x) for x in zip(*held))
+            if len(codes):
+                yield answers(codes, n)
+
+    group = F.shiftright("code", 8).bitwiseAND(F.lit(_mask(LOW)))
+    dealt = counts.select("code", "n").repartition(group).sortWithinPartitions(group)
+    return stored(dealt.mapInArrow(run, "code bigint, n bigint, value double"), "lm-answers")
+
+
 class _Sums:
     """Counts of codes, summed in a task while they are few."""
 
@@ -205,12 +296,20 @@ def _coded(kind: int, codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """Counts of word hashes (kind 0), byte runs (1), texts (2) and words (3) of the learning texts."""
+    """Counts of word hashes (kind 0), byte runs (1), texts (2) and words (3) of the learning texts.
+
+    Byte runs of the other texts come, too, and add nothing to the counts.
+    """
 
     def run(arrivals):
-        held = {0: _Sums(), 1: _Sums()}
+        held, asked = {0: _Sums(), 1: _Sums()}, _Sums()
         texts = words_seen = 0
-        for part in batches(arrivals, "text", _BATCH):
+        for whole in batches(arrivals, "text", _BATCH):
+            part, other = whole.filter(whole["learnt"]), whole.filter(pc.invert(whole["learnt"]))
+            asked.add(byte_runs(*column_bytes(other["text"]))[0])
+            if asked.full():
+                codes, counts = asked.take()
+                yield _coded(1, codes, 0 * counts)
             words, at = texts_words(part["text"], SPACED_BYTES)
             texts, words_seen = texts + len(at) - 1, words_seen + len(words)
             held[0].add(words)
@@ -220,6 +319,8 @@ def _counted(rows: DataFrame) -> DataFrame:
                     yield _coded(kind, *sums.take())
         for kind, sums in held.items():
             yield _coded(kind, *sums.take())
+        codes, counts = asked.take()
+        yield _coded(1, codes, 0 * counts)
         yield _coded(2, np.zeros(1, np.int64), np.array([texts]))
         yield _coded(3, np.zeros(1, np.int64), np.array([words_seen]))
 
@@ -228,7 +329,8 @@ def _counted(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Models:
-    bytes: ByteModel
+    bytes: ByteModel | None  # the whole trie, if it is small
+    answers: Answers | None  # otherwise
     common: np.ndarray  # sorted hashes of the commonest words
     common_log: np.ndarray
     end_log: float
@@ -236,48 +338,83 @@ class Models:
     scale: float  # N + 0.1 (V + 1)
 
 
+def _level() -> Column:
+    """Eighths of a power of two of the counts n; -1 for 0."""
+    return F.when(F.col("n") > 0, F.floor(F.log2("n") * 8).cast("int")).otherwise(-1)
+
+
+def _least_level(rows: DataFrame, most: int) -> int:
+    """The least level of those, from the highest, whose rows are at most ``most`` together."""
+    least = 1 << 30
+    for row in rows.groupBy("level").count().orderBy(F.desc("level")).collect():
+        most -= row["count"]
+        if most < 0:
+            break
+        least = row["level"]
+    return least
+
+
 def fit(texts: DataFrame) -> tuple[Models, DataFrame]:
-    """Models of all rows of (text), and the counts (code, n) of the words that are not broadcast."""
-    counts = stored(_counted(texts), "lm-counts")
-    sums = {r.kind: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()}
+    """Models of all rows of (text), and the logarithms (kind, code, value) that are not broadcast.
+
+    With a column ``learnt``, only the rows where it is true are learnt; the logarithms are those of all rows.
+    """
+    learnt = F.col("learnt") if "learnt" in texts.columns else F.lit(True)
+    counts = stored(_counted(texts.select("text", learnt.alias("learnt"))), "lm-counts")
+    distinct = F.count(F.when(F.col("n") > 0, 1))
+    sums = {r.kind: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), distinct.alias("distinct"), F.count("*").alias("rows")).collect()}
     n_texts = sums[2].n if 2 in sums else 0
     n_words = sums[3].n if 3 in sums else 0
     n_bytes = sums[1].n if 1 in sums else 0
     train = n_words + n_texts
     scale = train + 0.1 * ((sums[0].distinct if 0 in sums else 0) + (1 if n_texts else 0) + 1)
-    runs = counts.where("kind = 1")
+    runs = every = counts.where("kind = 1")
+    least = max(1.0, SHARE * n_bytes)
+    small = 1 not in sums or sums[1].rows <= TRIE_RUNS
     kept = None
-    for length in range(ORDER + 1, 0, -1):
+    for length in range(ORDER + 1 if small else LOW, 0, -1):
         if length <= ORDER:
             runs = runs.groupBy(F.col("code").bitwiseAND(F.lit(_mask(length))).alias("code")).agg(F.sum("n").alias("n"))
-        part = runs.where(F.col("n") >= F.lit(SHARE * n_bytes)).select(F.lit(length).alias("length"), "code", "n")
+        part = runs.where(F.col("n") >= F.lit(least)).select(F.lit(length).alias("length"), "code", "n")
         kept = part if kept is None else kept.unionAll(part)
-    table = kept.toArrow()  # at most (ORDER + 1) / SHARE rows
-    model = ByteModel.of(*(table[c].to_numpy().astype(np.int64) for c in ("length", "code", "n")), n_texts)
-    # words by eighths of a power of two of their counts: as many of the highest as fit
-    level = F.floor(F.log2("n") * 8).cast("int")
-    words = counts.where("kind = 0").select("code", "n", level.alias("level"))
-    least, room = 1 << 30, COMMON
-    for row in words.groupBy("level").count().orderBy(F.desc("level")).collect():
-        room -= row["count"]
-        if room < 0:
-            break
-        least = row["level"]
-    common = words.where(F.col("level") >= least).select("code", "n").toArrow()  # at most COMMON rows
+    table = kept.toArrow()  # at most (ORDER + 1) * TRIE_RUNS rows, or the different runs of at most LOW bytes
+    trie = tuple(table[c].to_numpy().astype(np.int64) for c in ("length", "code", "n"))
+    words = counts.where("kind = 0").select("code", "n", _level().alias("level"))
+    level = _least_level(words, COMMON)
+    common = words.where(F.col("level") >= level).select("code", "n").toArrow()  # at most COMMON rows
     code = common["code"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(code)
     log = np.log10((common["n"].to_numpy().astype(float) + 0.1) / scale)
     end = float(np.log10((n_texts + 0.1) / scale))
-    return Models(model, code[order], log[order], end, train, scale), words.where(F.col("level") < least).select("code", "n")
+    rarer = words.where(F.col("level") < level).select(F.lit(0).cast("tinyint").alias("kind"), "code", F.log10((F.col("n") + F.lit(0.1)) / F.lit(scale)).alias("value"))
+    if small:
+        return Models(ByteModel.of(*trie, n_texts), None, code[order], log[order], end, train, scale), rarer
+    answered = _answered(every, trie, n_texts, least).withColumn("level", _level())
+    level = _least_level(answered, COMMON_RUNS)
+    known = answered.where(F.col("level") >= level).select("code", "value").toArrow()  # at most COMMON_RUNS rows
+    answers = Answers(IntMap(known["code"].to_numpy(), np.arange(len(known))), known["value"].to_numpy())
+    rarer = rarer.unionAll(answered.where(F.col("level") < level).select(F.lit(1).cast("tinyint"), "code", "value"))
+    return Models(None, answers, code[order], log[order], end, train, scale), rarer
+
+
+def _repeats(text: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs of a text and a code, and how often each occurs."""
+    order = np.lexsort((codes, text))
+    text, codes = text[order], codes[order]
+    heads = np.ones(len(codes), bool)
+    heads[1:] = (codes[1:] != codes[:-1]) | (text[1:] != text[:-1])
+    heads = np.flatnonzero(heads)
+    return text[heads], codes[heads], np.diff(np.append(heads, len(codes)))
 
 
 def _scored(rows: DataFrame, models: Models) -> DataFrame:
-    """Per text one row with what the task knows, and one per rarer word of it: its hash and how often it occurs."""
+    """Per text one row with what the task knows, and one per rarer word (kind 0) or run of bytes (1) of it: its hash
+    or code and how often it occurs."""
     shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(arrivals):
         models = shared.value
-        scorer = Scorer(models.bytes)
+        scorer = Scorer(models.bytes) if models.bytes else None
         for part in batches(arrivals, "text", _BATCH):
             words, at = texts_words(part["text"], SPACED_BYTES)
             n = len(at) - 1
@@ -288,19 +425,21 @@ def _scored(rows: DataFrame, models: Models) -> DataFrame:
             value[common] = models.common_log[place[common]]
             base = np.bincount(text, weights=value, minlength=n) + models.end_log
             known = np.bincount(text[common], minlength=n) + (models.train_tokens > 0)
-            score = scorer.score(*column_bytes(part["text"]))
+            runs = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            if scorer:
+                score = scorer.score(*column_bytes(part["text"]))
+            else:
+                score, *runs = models.answers.score(*column_bytes(part["text"]))
             key = part["key"].to_numpy()
-            order = np.lexsort((words[~common], text[~common]))
-            rare_text, rare = text[~common][order], words[~common][order]
-            heads = np.ones(len(rare), bool)
-            heads[1:] = (rare[1:] != rare[:-1]) | (rare_text[1:] != rare_text[:-1])
-            heads = np.flatnonzero(heads)
-            times = np.diff(np.append(heads, len(rare)))
-            m = len(heads)
+            rarer = _repeats(text[~common], words[~common]), _repeats(*runs)
+            rare_text, rare, times = (np.concatenate(x) for x in zip(*rarer))
+            kinds = np.repeat(np.array([2, 0, 1], np.int8), [n, *(len(x[0]) for x in rarer)])
+            m = len(rare)
             nothing = lambda kind: pa.nulls(m, kind)
             columns = {
-                "key": pa.array(np.concatenate((key, key[rare_text[heads]]))),
-                "code": pa.array(np.concatenate((key, rare[heads].view(np.int64)))),
+                "key": pa.array(np.concatenate((key, key[rare_text]))),
+                "kind": pa.array(kinds),
+                "code": pa.array(np.concatenate((key, rare.view(np.int64)))),
                 "times": pa.array(np.concatenate((np.zeros(n, np.int64), times))),
                 "rows": pa.array(np.concatenate((np.ones(n, np.int64), np.zeros(m, np.int64)))),
                 "doc_id": pa.concat_arrays([part["doc_id"].combine_chunks(), nothing(part["doc_id"].type)]),
@@ -312,7 +451,7 @@ def _scored(rows: DataFrame, models: Models) -> DataFrame:
             yield from pa.table(columns).combine_chunks().to_batches()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"key bigint, code bigint, times bigint, rows bigint, doc_id {kind}, n_tokens bigint, known bigint, base double, score double"
+    schema = f"key bigint, kind tinyint, code bigint, times bigint, rows bigint, doc_id {kind}, n_tokens bigint, known bigint, base double, score double"
     return rows.mapInArrow(run, schema)
 
 
@@ -322,16 +461,17 @@ def score_texts(docs: DataFrame, learn_parts: int = 10) -> DataFrame:
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    models, rarer = fit(rows.where(~held_out("doc_id", learn_parts)).select("text"))
-    found = _scored(rows.withColumn("key", F.xxhash64("doc_id", "text")), models).join(rarer, "code", "left")
-    value = F.log10((F.coalesce("n", F.lit(0)) + F.lit(0.1)) / F.lit(models.scale))
+    models, rarer = fit(rows.select("text", (~held_out("doc_id", learn_parts)).alias("learnt")))
+    found = _scored(rows.withColumn("key", F.xxhash64("doc_id", "text")), models).join(rarer, ["kind", "code"], "left")
+    value = F.coalesce("value", F.log10(F.lit(0.1) / F.lit(models.scale)))
+    word, run = F.col("kind") == 0, F.col("kind") == 1
     summed = found.groupBy("key").agg(
         F.sum("rows").alias("rows"),
         F.max("doc_id").alias("doc_id"),
         F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.col("known") + F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
-        F.sum(F.col("base") + F.when(F.col("times") > 0, F.col("times") * value).otherwise(0.0)).alias("base"),
-        F.max("score").alias("score"),
+        F.sum(F.col("known") + F.when(word & F.col("value").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
+        F.sum(F.col("base") + F.when(word, F.col("times") * value).otherwise(0.0)).alias("base"),
+        F.sum(F.when(run, F.col("times") * F.col("value")).otherwise(F.col("score"))).alias("score"),
     )
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))
     return summed.select("*", each.alias("copy")).select(
@@ -341,5 +481,5 @@ def score_texts(docs: DataFrame, learn_parts: int = 10) -> DataFrame:
         F.expr("known div rows").alias("n_known"),
         F.lit(models.train_tokens).cast("long").alias("train_tokens"),
         (F.col("base") / F.col("rows")).alias("base_score"),
-        "score",
+        (F.col("score") / F.col("rows")).alias("score"),
     )

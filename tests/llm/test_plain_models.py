@@ -93,6 +93,36 @@ def test_byte_model_equals_counted_runs_and_a_plain_coder(spark, monkeypatch, le
     assert got == Counter((i, round(coder.score(t), 5)) for i, t in rows)
 
 
+@pytest.mark.parametrize("least,common", [(1, 40), (1, 0), (3, 40), (1, 1 << 20)])
+def test_a_trie_dealt_by_contexts_equals_a_plain_coder(spark, monkeypatch, least, common):
+    rng = random.Random(22)
+    rows = [(k, prose(rng, ("en", "de")[k % 2], rng.randint(1, 60))) for k in range(60)]
+    rows += [(60, None), (61, ""), (62, "Q"), (63, rows[4][1]), (63, rows[4][1]), (None, "ÿÿ \x00 中"), (64, "zz" * 300)]
+    rows += [(k, t) for k in range(70, 200) if not crc_rest(k, 10) for t in (f"unlearnt {k} aaaaaaaa", "andring\x01", "")]
+    learnt = [t for i, t in rows if crc_rest(i, 10)]
+    runs = counted(learnt)
+    monkeypatch.setattr(ppm, "SHARE", (least - 0.5) / sum(n for run, n in runs.items() if len(run) == 1))
+    for name, value in {"TRIE_RUNS": 0, "COMMON_RUNS": common, "_CHUNK": 100}.items():
+        monkeypatch.setattr(ppm, name, value)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    coder = PlainCoder({run: n for run, n in runs.items() if n >= least}, len(learnt))
+    got = Counter((r.doc_id, round(r.score, 5)) for r in ppm.score_texts(frame).collect())
+    assert got == Counter((i, round(coder.score(t), 5)) for i, t in rows)
+
+
+def test_rare_runs_stay_when_the_corpus_grows(spark):
+    """Runs seen once among five million bytes; as a share of all bytes they are next to nothing."""
+    many = [k for k in range(1000) if crc_rest(k, 10)][:100]
+    few = [(k, f"rare words {k % 7}") for k in range(1000, 1030)]
+    frame = spark.createDataFrame([(k, "ab" * 25_000) for k in many] + few, "doc_id bigint, text string").repartition(4)
+    runs = Counter({run: n * len(many) for run, n in counted(["ab" * 25_000]).items()})
+    learnt = [t for k, t in few if crc_rest(k, 10)]
+    runs.update(counted(learnt))
+    coder = PlainCoder(runs, len(many) + len(learnt))
+    got = {r.doc_id: r.score for r in ppm.score_texts(frame).where("doc_id >= 1000").collect()}
+    assert len(got) == 30 and all(abs(got[k] - coder.score(t)) < 1e-6 for k, t in few)
+
+
 def network(seed: int) -> toxicity.Network:
     """Random weights, large enough for every part of the network to matter."""
     rng = np.random.default_rng(seed)
