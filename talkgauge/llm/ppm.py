@@ -41,9 +41,10 @@ LOW = 3
 _END = 255
 _LONG = 8 * (ORDER + 1)
 _BATCH = 1 << 20
+_SCORED = 1 << 18  # bytes of text scored at once
 _HELD = 1 << 20  # codes that a task sums before it passes them on
 _PIECE = 1 << 17
-_CHUNK = 1 << 18  # runs whose part of the trie is built at once, or one group, if larger
+_CHUNK = 1 << 16  # runs whose part of the trie is built at once, or one group, if larger
 _ROOT = 0
 
 
@@ -261,11 +262,11 @@ class _Sums:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, values: np.ndarray) -> None:
+    def add(self, values: np.ndarray, weight: int = 1) -> None:
         if len(values):
             values = np.sort(values)
             heads = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
-            self.parts.append((values[heads], np.diff(np.append(heads, len(values)))))
+            self.parts.append((values[heads], weight * np.diff(np.append(heads, len(values)))))
             self.size += len(heads)
 
     def full(self) -> bool:
@@ -302,25 +303,20 @@ def _counted(rows: DataFrame) -> DataFrame:
     """
 
     def run(arrivals):
-        held, asked = {0: _Sums(), 1: _Sums()}, _Sums()
+        held = {0: _Sums(), 1: _Sums()}
         texts = words_seen = 0
         for whole in batches(arrivals, "text", _BATCH):
             part, other = whole.filter(whole["learnt"]), whole.filter(pc.invert(whole["learnt"]))
-            asked.add(byte_runs(*column_bytes(other["text"]))[0])
-            if asked.full():
-                codes, counts = asked.take()
-                yield _coded(1, codes, 0 * counts)
             words, at = texts_words(part["text"], SPACED_BYTES)
             texts, words_seen = texts + len(at) - 1, words_seen + len(words)
             held[0].add(words)
             held[1].add(byte_runs(*column_bytes(part["text"]))[0])
+            held[1].add(byte_runs(*column_bytes(other["text"]))[0], weight=0)
             for kind, sums in held.items():
                 if sums.full():
                     yield _coded(kind, *sums.take())
         for kind, sums in held.items():
             yield _coded(kind, *sums.take())
-        codes, counts = asked.take()
-        yield _coded(1, codes, 0 * counts)
         yield _coded(2, np.zeros(1, np.int64), np.array([texts]))
         yield _coded(3, np.zeros(1, np.int64), np.array([words_seen]))
 
@@ -415,7 +411,7 @@ def _scored(rows: DataFrame, models: Models) -> DataFrame:
     def run(arrivals):
         models = shared.value
         scorer = Scorer(models.bytes) if models.bytes else None
-        for part in batches(arrivals, "text", _BATCH):
+        for part in batches(arrivals, "text", _SCORED):
             words, at = texts_words(part["text"], SPACED_BYTES)
             n = len(at) - 1
             place = np.minimum(np.searchsorted(models.common, words), max(0, len(models.common) - 1))
@@ -435,23 +431,20 @@ def _scored(rows: DataFrame, models: Models) -> DataFrame:
             rare_text, rare, times = (np.concatenate(x) for x in zip(*rarer))
             kinds = np.repeat(np.array([2, 0, 1], np.int8), [n, *(len(x[0]) for x in rarer)])
             m = len(rare)
-            nothing = lambda kind: pa.nulls(m, kind)
+            about = [part["doc_id"].combine_chunks(), pa.array(np.diff(at) + 1, pa.int64()), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
+            info = pa.StructArray.from_arrays(about, ["doc_id", "n_tokens", "known", "base", "score"])
             columns = {
                 "key": pa.array(np.concatenate((key, key[rare_text]))),
                 "kind": pa.array(kinds),
                 "code": pa.array(np.concatenate((key, rare.view(np.int64)))),
                 "times": pa.array(np.concatenate((np.zeros(n, np.int64), times))),
-                "rows": pa.array(np.concatenate((np.ones(n, np.int64), np.zeros(m, np.int64)))),
-                "doc_id": pa.concat_arrays([part["doc_id"].combine_chunks(), nothing(part["doc_id"].type)]),
-                "n_tokens": pa.concat_arrays([pa.array(np.diff(at) + 1, pa.int64()), nothing(pa.int64())]),
-                "known": pa.array(np.concatenate((known, np.zeros(m, np.int64))).astype(np.int64)),
-                "base": pa.array(np.concatenate((base, np.zeros(m)))),
-                "score": pa.concat_arrays([pa.array(score), nothing(pa.float64())]),
+                "info": pa.concat_arrays([info, pa.nulls(m, info.type)]),
             }
             yield from pa.table(columns).combine_chunks().to_batches()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"key bigint, kind tinyint, code bigint, times bigint, rows bigint, doc_id {kind}, n_tokens bigint, known bigint, base double, score double"
+    info = f"struct<doc_id: {kind}, n_tokens: bigint, known: bigint, base: double, score: double>"
+    schema = f"key bigint, kind tinyint, code bigint, times bigint, info {info}"
     return rows.mapInArrow(run, schema)
 
 
@@ -466,12 +459,12 @@ def score_texts(docs: DataFrame, learn_parts: int = 10) -> DataFrame:
     value = F.coalesce("value", F.log10(F.lit(0.1) / F.lit(models.scale)))
     word, run = F.col("kind") == 0, F.col("kind") == 1
     summed = found.groupBy("key").agg(
-        F.sum("rows").alias("rows"),
-        F.max("doc_id").alias("doc_id"),
-        F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.col("known") + F.when(word & F.col("value").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
-        F.sum(F.col("base") + F.when(word, F.col("times") * value).otherwise(0.0)).alias("base"),
-        F.sum(F.when(run, F.col("times") * F.col("value")).otherwise(F.col("score"))).alias("score"),
+        F.count("info").alias("rows"),
+        F.max("info.doc_id").alias("doc_id"),
+        F.max("info.n_tokens").alias("n_tokens"),
+        F.sum(F.coalesce("info.known", F.lit(0)) + F.when(word & F.col("value").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
+        F.sum(F.coalesce("info.base", F.lit(0.0)) + F.when(word, F.col("times") * value).otherwise(0.0)).alias("base"),
+        F.sum(F.when(run, F.col("times") * F.col("value")).otherwise(F.col("info.score"))).alias("score"),
     )
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))
     return summed.select("*", each.alias("copy")).select(
