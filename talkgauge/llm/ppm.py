@@ -7,12 +7,13 @@ estimated by method D; a context reached by an escape leaves out the bytes that
 Texts begin behind the sign 255, which UTF-8 never uses, and end with it, so that the probabilities of all texts
 sum to 1.
 
-Counts of words and of byte runs are summed in Spark.  The commonest words, at most ``COMMON``, are
-broadcast; the others reach their counts by a join on the word's hash, pre-summed per text.  A trie of few runs
+Counts of words and of byte runs are summed in Spark.  They are dealt to parts by their hash or code, and
+what a task has counted travels as one row per part, not per word.  The commonest words, at most ``COMMON``, are
+broadcast; the others meet their counts part by part, where they are summed per text.  A trie of few runs
 is broadcast as it is.  Otherwise every run of ORDER + 1 bytes of any text, learnt or not, gets its probability
 where the part of the trie that it asks lies: runs are dealt by the last ``LOW`` bytes before their last one, which
 all longer contexts share; runs of at most ``LOW`` bytes are known everywhere.  The commonest probabilities, at most
-``COMMON_RUNS``, are broadcast, the others joined like the rarer words.
+``COMMON_RUNS``, are broadcast, the others met like the rarer words.
 
 Defined results: a null or empty text is its end only; rows of equal id and text are answered as often as
 they occur; without learning texts the base score is 0 and every byte has probability 1/256.
@@ -27,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from talkgauge.llm.bpe import IntMap
 from talkgauge.llm.frames import held_out, stored
@@ -40,9 +42,12 @@ TRIE_RUNS = 1 << 17  # different runs of ORDER + 1 bytes up to which the whole t
 LOW = 3
 _END = 255
 _LONG = 8 * (ORDER + 1)
-_BATCH = 1 << 20
+_BATCH = 1 << 18
 _SCORED = 1 << 18  # bytes of text scored at once
-_HELD = 1 << 20  # codes that a task sums before it passes them on
+_HELD = 1 << 21  # codes that a task sums before it passes them on
+_SENT = 1 << 17  # sums in a batch of rows
+_PART = 1 << 18  # logarithms in a part, about
+_SPREAD = 1_000_003  # prime; what codes leave modulo this is dealt to parts
 _PIECE = 1 << 17
 _CHUNK = 1 << 16  # runs whose part of the trie is built at once, or one group, if larger
 _ROOT = 0
@@ -266,8 +271,11 @@ class _Sums:
         if len(values):
             values = np.sort(values)
             heads = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
-            self.parts.append((values[heads], weight * np.diff(np.append(heads, len(values)))))
-            self.size += len(heads)
+            self.put(values[heads], weight * np.diff(np.append(heads, len(values))))
+
+    def put(self, codes: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((codes, counts))
+        self.size += len(codes)
 
     def full(self) -> bool:
         """Whether there are too many codes even after those that are equal are summed."""
@@ -278,10 +286,8 @@ class _Sums:
     def _sum(self) -> None:
         if len(self.parts) > 1:
             codes, counts = (np.concatenate(x) for x in zip(*self.parts))
-            order = np.argsort(codes)
-            codes, counts = codes[order], counts[order]
-            heads = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
-            self.parts = [(codes[heads], np.add.reduceat(counts, heads))]
+            self.parts = []
+            self.parts = [_totals(codes, counts)]
         self.size = sum(len(c) for c, _ in self.parts)
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
@@ -291,9 +297,63 @@ class _Sums:
         return codes.view(np.int64), counts
 
 
-def _coded(kind: int, codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    kinds = pa.array(np.full(len(codes), kind, dtype=np.int8))
-    return pa.RecordBatch.from_arrays([kinds, pa.array(codes), pa.array(counts.astype(np.int64))], ["kind", "code", "n"])
+def _parts(codes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each code in ascending order, and the order; codes of a part stay in their order."""
+    part = (codes.view(np.int64) % _SPREAD % parts).astype(np.min_scalar_type(parts))
+    order = np.argsort(part, kind="stable")
+    return part[order].astype(np.int32), order
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where any of the columns begins a new value."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
+    return np.flatnonzero(new)
+
+
+def _lists(at: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values))
+
+
+_DEALT = "kind tinyint, part int, codes array<bigint>, few array<tinyint>, many array<bigint>"
+
+
+def _dealt(kind: int, codes: np.ndarray, counts: np.ndarray, parts: int):
+    """A row for each part that has codes, and one for those that have codes with counts above 127."""
+    for name, own, width in (("few", counts < 128, np.int8), ("many", counts >= 128, np.int64)):
+        if own.any():
+            part, order = _parts(codes[own], parts)
+            heads = _starts(part)
+            at = np.append(heads, len(part))
+            columns = {name: _lists(at, counts[own].astype(width)[order])}
+            columns = [columns.get(c, pa.nulls(len(heads), pa.list_(t))) for c, t in (("few", pa.int8()), ("many", pa.int64()))]
+            kinds = pa.array(np.full(len(heads), kind, dtype=np.int8))
+            yield pa.RecordBatch.from_arrays([kinds, pa.array(part[heads]), _lists(at, codes[own][order]), *columns], ["kind", "part", "codes", "few", "many"])
+
+
+def _added(arrivals):
+    """Sums over the rows of parts that a task gets; a code comes more than once if there are too many to hold."""
+
+    def sent(kind: int, sums: _Sums):
+        codes, counts = sums.take()
+        for a in range(0, len(codes), _SENT):
+            some = codes[a : a + _SENT]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, dtype=np.int8)), pa.array(some), pa.array(counts[a : a + _SENT])], ["kind", "code", "n"])
+
+    held: dict[int, _Sums] = {}
+    for batch in arrivals:
+        for kind in batch.column("kind").unique().to_pylist():
+            rows = batch.filter(pc.equal(batch.column("kind"), kind))
+            sums = held.setdefault(kind, _Sums())
+            for name in "few", "many":
+                own = rows.filter(rows.column(name).is_valid())
+                if len(own):
+                    codes, counts = (own.column(c).flatten().to_numpy() for c in ("codes", name))
+                    sums.put(codes, counts.astype(np.int64))
+            if sums.full():
+                yield from sent(kind, sums)
+    for kind, sums in held.items():
+        yield from sent(kind, sums)
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -301,6 +361,7 @@ def _counted(rows: DataFrame) -> DataFrame:
 
     Byte runs of the other texts come, too, and add nothing to the counts.
     """
+    parts = _shuffled(rows)
 
     def run(arrivals):
         held = {0: _Sums(), 1: _Sums()}
@@ -314,13 +375,18 @@ def _counted(rows: DataFrame) -> DataFrame:
             held[1].add(byte_runs(*column_bytes(other["text"]))[0], weight=0)
             for kind, sums in held.items():
                 if sums.full():
-                    yield _coded(kind, *sums.take())
+                    yield from _dealt(kind, *sums.take(), parts)
         for kind, sums in held.items():
-            yield _coded(kind, *sums.take())
-        yield _coded(2, np.zeros(1, np.int64), np.array([texts]))
-        yield _coded(3, np.zeros(1, np.int64), np.array([words_seen]))
+            yield from _dealt(kind, *sums.take(), parts)
+        yield from _dealt(2, np.zeros(1, np.int64), np.array([texts]), parts)
+        yield from _dealt(3, np.zeros(1, np.int64), np.array([words_seen]), parts)
 
-    return rows.mapInArrow(run, "kind tinyint, code bigint, n bigint").groupBy("kind", "code").agg(F.sum("n").alias("n"))
+    dealt = rows.mapInArrow(run, _DEALT).repartition("part")
+    return dealt.mapInArrow(_added, "kind tinyint, code bigint, n bigint").groupBy("kind", "code").agg(F.sum("n").alias("n"))
+
+
+def _shuffled(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 @dataclass
@@ -332,6 +398,7 @@ class Models:
     end_log: float
     train_tokens: int
     scale: float  # N + 0.1 (V + 1)
+    parts: int  # to which the other words and as many to which the other runs are dealt
 
 
 def _level() -> Column:
@@ -351,7 +418,7 @@ def _least_level(rows: DataFrame, most: int) -> int:
 
 
 def fit(texts: DataFrame) -> tuple[Models, DataFrame]:
-    """Models of all rows of (text), and the logarithms (kind, code, value) that are not broadcast.
+    """Models of all rows of (text), and the logarithms (kind: 0 of words, 1 of runs, code, value) that are not broadcast.
 
     With a column ``learnt``, only the rows where it is true are learnt; the logarithms are those of all rows.
     """
@@ -364,6 +431,7 @@ def fit(texts: DataFrame) -> tuple[Models, DataFrame]:
     n_bytes = sums[1].n if 1 in sums else 0
     train = n_words + n_texts
     scale = train + 0.1 * ((sums[0].distinct if 0 in sums else 0) + (1 if n_texts else 0) + 1)
+    parts = max(1, -(-max((r.rows for r in sums.values()), default=0) // _PART))
     runs = every = counts.where("kind = 1")
     least = max(1.0, SHARE * n_bytes)
     small = 1 not in sums or sums[1].rows <= TRIE_RUNS
@@ -384,29 +452,38 @@ def fit(texts: DataFrame) -> tuple[Models, DataFrame]:
     end = float(np.log10((n_texts + 0.1) / scale))
     rarer = words.where(F.col("level") < level).select(F.lit(0).cast("tinyint").alias("kind"), "code", F.log10((F.col("n") + F.lit(0.1)) / F.lit(scale)).alias("value"))
     if small:
-        return Models(ByteModel.of(*trie, n_texts), None, code[order], log[order], end, train, scale), rarer
+        return Models(ByteModel.of(*trie, n_texts), None, code[order], log[order], end, train, scale, parts), rarer
     answered = _answered(every, trie, n_texts, least).withColumn("level", _level())
     level = _least_level(answered, COMMON_RUNS)
     known = answered.where(F.col("level") >= level).select("code", "value").toArrow()  # at most COMMON_RUNS rows
     answers = Answers(IntMap(known["code"].to_numpy(), np.arange(len(known))), known["value"].to_numpy())
     rarer = rarer.unionAll(answered.where(F.col("level") < level).select(F.lit(1).cast("tinyint"), "code", "value"))
-    return Models(None, answers, code[order], log[order], end, train, scale), rarer
+    return Models(None, answers, code[order], log[order], end, train, scale, parts), rarer
 
 
-def _repeats(text: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different pairs of a text and a code, and how often each occurs."""
-    order = np.lexsort((codes, text))
+def _met(kind: int, text: np.ndarray, codes: np.ndarray, keys: np.ndarray, parts: int) -> dict[str, pa.Array]:
+    """A row for each part: the keys of the texts that have codes there, how many each has, and the codes."""
+    part, order = _parts(codes, parts)
     text, codes = text[order], codes[order]
-    heads = np.ones(len(codes), bool)
-    heads[1:] = (codes[1:] != codes[:-1]) | (text[1:] != text[:-1])
-    heads = np.flatnonzero(heads)
-    return text[heads], codes[heads], np.diff(np.append(heads, len(codes)))
+    heads, first = _starts(part, text), _starts(part)
+    at = np.append(first, len(part))
+    among = np.searchsorted(heads, at)
+    return {
+        "part": pa.array(part[first] + np.int32(kind * parts)),
+        "keys": _lists(among, keys[text[heads]]),
+        "sizes": _lists(among, np.diff(np.append(heads, len(part))).astype(np.int32)),
+        "codes": _lists(at, codes.view(np.int64)),
+    }
 
 
 def _scored(rows: DataFrame, models: Models) -> DataFrame:
-    """Per text one row with what the task knows, and one per rarer word (kind 0) or run of bytes (1) of it: its hash
-    or code and how often it occurs."""
+    """Per text one row with what the task knows (info), and for the rarer words and runs of bytes of some texts
+    together one row per part.  Parts of runs come after those of words."""
     shared = rows.sparkSession.sparkContext.broadcast(models)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    info = f"struct<doc_id: {kind}, n_tokens: bigint, known: bigint, base: double, score: double>"
+    schema = f"part int, key bigint, keys array<bigint>, sizes array<int>, codes array<bigint>, info {info}"
+    names = ["part", "key", "keys", "sizes", "codes", "info"]
 
     def run(arrivals):
         models = shared.value
@@ -427,27 +504,88 @@ def _scored(rows: DataFrame, models: Models) -> DataFrame:
             else:
                 score, *runs = models.answers.score(*column_bytes(part["text"]))
             key = part["key"].to_numpy()
-            rarer = _repeats(text[~common], words[~common]), _repeats(*runs)
-            rare_text, rare, times = (np.concatenate(x) for x in zip(*rarer))
-            kinds = np.repeat(np.array([2, 0, 1], np.int8), [n, *(len(x[0]) for x in rarer)])
-            m = len(rare)
             about = [part["doc_id"].combine_chunks(), pa.array(np.diff(at) + 1, pa.int64()), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
             info = pa.StructArray.from_arrays(about, ["doc_id", "n_tokens", "known", "base", "score"])
-            columns = {
-                "key": pa.array(np.concatenate((key, key[rare_text]))),
-                "kind": pa.array(kinds),
-                "code": pa.array(np.concatenate((key, rare.view(np.int64)))),
-                "times": pa.array(np.concatenate((np.zeros(n, np.int64), times))),
-                "info": pa.concat_arrays([info, pa.nulls(m, info.type)]),
-            }
-            yield from pa.table(columns).combine_chunks().to_batches()
+            own = {"part": pa.array((key % models.parts).astype(np.int32)), "key": pa.array(key), "info": info}
+            lists = pa.list_(pa.int64())
+            types = dict(zip(names, (pa.int32(), pa.int64(), lists, pa.list_(pa.int32()), lists, info.type)))
+            for columns in own, _met(0, text[~common], words[~common], key, models.parts), _met(1, *runs, key, models.parts):
+                size = len(columns["part"])
+                if size:
+                    yield pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(size, t)) for c, t in types.items()], names)
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    info = f"struct<doc_id: {kind}, n_tokens: bigint, known: bigint, base: double, score: double>"
-    schema = f"key bigint, kind tinyint, code bigint, times bigint, info {info}"
     return rows.mapInArrow(run, schema)
 
 
+def _logarithms(known: DataFrame, parts: int) -> DataFrame:
+    """The logarithms (kind, code, value) in rows of many codes of a part."""
+
+    def run(arrivals):
+        for some in batches(arrivals, "value", _BATCH):
+            code, value, kind = (some[c].to_numpy() for c in ("code", "value", "kind"))
+            for k in 0, 1:
+                own = np.flatnonzero(kind == k)
+                part, order = _parts(code[own], parts)
+                if len(own):
+                    heads = _starts(part)
+                    at = np.append(heads, len(part))
+                    lists = (_lists(at, x[own][order]) for x in (code, value))
+                    yield pa.RecordBatch.from_arrays([pa.array(part[heads] + np.int32(k * parts)), *lists], ["part", "codes", "values"])
+
+    return known.select("kind", "code", "value").mapInArrow(run, "part int, codes array<bigint>, values array<double>")
+
+
+def _summed(met: DataFrame, models: Models) -> DataFrame:
+    """Sums per text (key) over its words and runs that are in one part, and the rows of texts (info).  Of each part the
+    logarithms come first."""
+    parts, unknown = models.parts, float(np.log10(0.1 / models.scale))
+    kind = met.schema["info"].dataType["doc_id"].dataType
+    id_type = to_arrow_type(kind)
+    schema = f"key bigint, rows bigint, doc_id {kind.simpleString()}, n_tokens bigint, known bigint, base double, score double"
+    names = ["key", "rows", "doc_id", "n_tokens", "known", "base", "score"]
+
+    def lists(rows: pa.RecordBatch, *columns: str):
+        return (rows.column(c).flatten().to_numpy() for c in columns)
+
+    def sums(part: int, table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+        known, value = np.zeros(len(codes), np.int64), np.full(len(codes), unknown if part < parts else 0.0)
+        if len(table[0]):
+            place = np.minimum(np.searchsorted(table[0], codes), len(table[0]) - 1)
+            hit = table[0][place] == codes
+            known[hit], value[hit] = part < parts, table[1][place[hit]]
+        first = np.cumsum(sizes) - sizes
+        n, value = len(keys), np.add.reduceat(value, first)
+        base, score = (value, np.zeros(n)) if part < parts else (np.zeros(n), value)
+        columns = [keys, np.zeros(n, np.int64), pa.nulls(n, id_type), pa.nulls(n, pa.int64()), np.add.reduceat(known, first), base, score]
+        return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names)
+
+    def run(arrivals):
+        mine, held, table = -1, [], None
+        for batch in arrivals:
+            part = batch.column("part").to_numpy()
+            cuts = _starts(part)
+            for a, b in zip(cuts, np.append(cuts[1:], len(part))):
+                if part[a] != mine:
+                    mine, held, table = int(part[a]), [], None
+                own = batch.slice(a, b - a)
+                texts = own.filter(own.column("info").is_valid())
+                if len(texts):
+                    about = texts.column("info").flatten()
+                    yield pa.RecordBatch.from_arrays([texts.column("key"), pa.array(np.ones(len(texts), np.int64)), *about], names)
+                logs = own.filter(own.column("values").is_valid())
+                if len(logs):
+                    held.append([x.copy() for x in lists(logs, "codes", "values")])
+                asked = own.filter(own.column("keys").is_valid())
+                if len(asked):
+                    if table is None:
+                        code, value = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64), np.zeros(0))
+                        order = np.argsort(code)
+                        table, held = (code[order], value[order]), []
+                    yield sums(mine, table, *lists(asked, "keys", "sizes", "codes"))
+
+    return met.repartition("part").sortWithinPartitions("part", F.col("values").isNull()).mapInArrow(run, schema)
+
+
 def score_texts(docs: DataFrame, learn_parts: int = 10) -> DataFrame:
     """Scores of all documents (doc_id, text); those whose crc32 of the id leaves 0 modulo ``learn_parts`` are not learnt.
 
@@ -455,16 +593,13 @@ def score_texts(docs: DataFrame, learn_parts: int = 10) -> DataFrame:
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     models, rarer = fit(rows.select("text", (~held_out("doc_id", learn_parts)).alias("learnt")))
-    found = _scored(rows.withColumn("key", F.xxhash64("doc_id", "text")), models).join(rarer, ["kind", "code"], "left")
-    value = F.coalesce("value", F.log10(F.lit(0.1) / F.lit(models.scale)))
-    word, run = F.col("kind") == 0, F.col("kind") == 1
-    summed = found.groupBy("key").agg(
-        F.count("info").alias("rows"),
-        F.max("info.doc_id").alias("doc_id"),
-        F.max("info.n_tokens").alias("n_tokens"),
-        F.sum(F.coalesce("info.known", F.lit(0)) + F.when(word & F.col("value").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
-        F.sum(F.coalesce("info.base", F.lit(0.0)) + F.when(word, F.col("times") * value).otherwise(0.0)).alias("base"),
-        F.sum(F.when(run, F.col("times") * F.col("value")).otherwise(F.col("info.score"))).alias("score"),
+    scored = _scored(rows.withColumn("key", F.xxhash64("doc_id", "text")), models)
+    met = scored.unionByName(_logarithms(rarer, models.parts), allowMissingColumns=True)
+    summed = _summed(met, models).groupBy("key").agg(
+        F.sum("rows").alias("rows"),
+        F.max("doc_id").alias("doc_id"),
+        F.max("n_tokens").alias("n_tokens"),
+        *(F.sum(c).alias(c) for c in ("known", "base", "score")),
     )
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))
     return summed.select("*", each.alias("copy")).select(

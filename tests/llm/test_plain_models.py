@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from talkgauge.llm import language, ppm, toxicity
@@ -123,6 +124,37 @@ def test_rare_runs_stay_when_the_corpus_grows(spark):
     assert len(got) == 30 and all(abs(got[k] - coder.score(t)) < 1e-6 for k, t in few)
 
 
+def test_rarer_words_and_runs_travel_by_part_not_one_by_one(spark, monkeypatch):
+    for name in "TRIE_RUNS", "COMMON_RUNS", "COMMON":
+        monkeypatch.setattr(ppm, name, 0)
+    rng = random.Random(23)
+    texts = [prose(rng, "en", 40) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    models, _ = ppm.fit(frame.selectExpr("text", "true AS learnt"))
+    sent = ppm._scored(frame.withColumn("key", F.xxhash64("doc_id", "text")), models)
+    assert sent.count() <= len(texts) + 2 * 3  # each text, and one part of words and one of runs from each task
+
+
+@pytest.mark.parametrize("held,part", [(64, 1 << 18), (1 << 20, 50), (64, 50)])
+def test_sums_in_pieces_and_many_parts_equal_a_plain_coder(spark, monkeypatch, held, part):
+    settings = {"TRIE_RUNS": 0, "COMMON_RUNS": 40, "COMMON": 3, "_HELD": held, "_PART": part, "_SENT": 30, "_BATCH": 400, "_SCORED": 300}
+    for name, value in settings.items():
+        monkeypatch.setattr(ppm, name, value)
+    rng = random.Random(24)
+    rows = [(k, prose(rng, ("en", "de")[k % 2], rng.randint(1, 60))) for k in range(60)]
+    rows += [(60, None), (61, ""), (62, "Q"), (63, rows[4][1]), (63, rows[4][1]), (None, "ÿÿ \x00 中"), (64, "zz" * 300), (65, "a b " * 200)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    learnt = [t for i, t in rows if crc_rest(i, 10)]
+    coder = PlainCoder(counted(learnt), len(learnt))
+    tokens = [(i, re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + [None], coder.score(t)) for i, t in rows]
+    counts = Counter(w for i, t, _ in tokens if crc_rest(i, 10) for w in t)
+    scale = counts.total() + 0.1 * (len(counts) + 1)
+    want = Counter((i, len(t), sum(w in counts for w in t), round(sum(math.log10((counts[w] + 0.1) / scale) for w in t), 4), round(score, 4)) for i, t, score in tokens)
+    got = ppm.score_texts(frame).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 4), round(r.score, 4)) for r in got) == want
+    assert {r.train_tokens for r in got} == {counts.total()}
+
+
 def network(seed: int) -> toxicity.Network:
     """Random weights, large enough for every part of the network to matter."""
     rng = np.random.default_rng(seed)
